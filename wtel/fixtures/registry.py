@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from wtel.fixtures import oracle_polls, queries_polls
+from wtel.fixtures import (
+    oracle_polls,
+    oracle_semantics,
+    queries_polls,
+    queries_semantics,
+)
 
-QUERIES = {**queries_polls.QUERIES}
-STATEMENTS = {**oracle_polls.statements()}
+QUERIES = {**queries_polls.QUERIES, **queries_semantics.QUERIES}
+STATEMENTS = {**oracle_polls.statements(), **oracle_semantics.statements()}

@@ -93,6 +93,53 @@ def carry_last(
     )
 
 
+def as_of(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    values: Sequence[str],
+) -> DataFrame:
+    """Add to each left row the values of the latest right row of its key at or before its order.
+
+    Both sides have the key and order columns; ``chunk`` is computed from them. A left row sees a
+    right row with the same order. Inside a chunk one window over both sides finds the value. The
+    last right row of every chunk is kept aside and serves the left rows of later chunks, up to and
+    including the next chunk that has a right row of its own.
+    """
+    names = left.columns
+    packed = F.struct(*values)
+    r = right.select(*keys, *order, F.lit(0).alias("_side"), packed.alias("_v"))
+    r = r.withColumn("_chunk", chunk)
+    both = left.withColumns(
+        {"_side": F.lit(1), "_v": F.lit(None).cast(r.schema["_v"].dataType), "_chunk": chunk}
+    ).unionByName(r, allowMissingColumns=True)
+    inside = (
+        Window.partitionBy(*keys, "_chunk")
+        .orderBy(*order, "_side")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    local = both.withColumn("_here", F.last("_v", ignorenulls=True).over(inside)).where("_side = 1")
+    heads = r.groupBy(*keys, "_chunk").agg(F.max_by("_v", F.struct(*order)).alias("_head"))
+    ranges = heads.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        "_head",
+        F.col("_chunk").alias("_from"),
+        F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_to"),
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
+    later = (F.col("_chunk") > F.col("_from")) & (
+        F.col("_to").isNull() | (F.col("_chunk") <= F.col("_to"))
+    )
+    value = F.coalesce("_here", "_head")
+    return local.join(ranges, same & later, "left").select(
+        *names, *[value[v].alias(v) for v in values]
+    )
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str
 ) -> DataFrame:

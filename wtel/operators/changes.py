@@ -37,9 +37,8 @@ def to_long_metrics(df: DataFrame, ids: Sequence[str], fields: Sequence[str]) ->
 
 def _unfold(df: DataFrame, ids: Sequence[str], entries: Column) -> DataFrame:
     """Long rows from an array of (MetricsName, Value) whose nulls mean "not written"."""
-    return df.select(
-        *ids, F.col("record_time").alias("RecordTime"), F.inline(F.array_compact(entries))
-    ).select(*ids, "MetricsName", "RecordTime", "Value")
+    rows = df.select(*ids, F.col("record_time").alias("RecordTime"), F.explode(entries).alias("_e"))
+    return rows.where("_e is not null").select(*ids, "_e.MetricsName", "RecordTime", "_e.Value")
 
 
 def _entry(name: str, value: Column) -> Column:
