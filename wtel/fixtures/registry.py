@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from wtel.fixtures import (
+    oracle_plans,
     oracle_polls,
     oracle_semantics,
+    queries_plans,
     queries_polls,
     queries_semantics,
 )
 
-QUERIES = {**queries_polls.QUERIES, **queries_semantics.QUERIES}
-STATEMENTS = {**oracle_polls.statements(), **oracle_semantics.statements()}
+QUERIES = {**queries_polls.QUERIES, **queries_semantics.QUERIES, **queries_plans.QUERIES}
+STATEMENTS = {**oracle_polls.statements(), **oracle_semantics.statements(), **oracle_plans.statements()}

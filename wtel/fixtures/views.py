@@ -370,11 +370,12 @@ def _views(d: Dialect) -> dict[str, str]:
         FROM $lines JOIN $orders ON l_orderkey = o_orderkey"""
     v["exceptions"] = f"""
         SELECT l_orderkey AS query_id, cast(0 as int) AS chain_no, ln AS frame_no,
-          'IOException' AS class, 'lost block ' || {num('l_partkey')} AS message,
+          'IOException' AS class, 'io.IOException: lost ' || {num('l_orderkey')} AS text,
+          'lost ' || {num('l_orderkey')} AS message,
           'pkg.Reader.read' || {num('l_linenumber')} || ':Reader.java:' || {num('l_suppkey')} AS frame
         FROM $lines WHERE l_orderkey % 5 = 0
-        UNION ALL SELECT l_orderkey, 1, ln, 'Timeout', 'slow', 'pkg.Net.wait:Net.java:'
-          || {num('l_partkey')}
+        UNION ALL SELECT l_orderkey, 1, ln, 'Timeout', 'net.Timeout: slow', 'slow',
+          'pkg.Net.wait:Net.java:' || {num('l_partkey')}
         FROM $lines WHERE l_orderkey % 10 = 0"""
 
     # --- table descriptions and lineage --------------------------------------------------
@@ -431,6 +432,16 @@ def _views(d: Dialect) -> dict[str, str]:
         SELECT query_id AS doc_id, {doc} AS doc FROM $stages GROUP BY query_id
         UNION ALL SELECT -1 - o_orderkey, '{{"queryId": ' FROM $orders WHERE o_orderkey % 50 = 0"""
 
+    v["orders_as_queries"] = f"""
+        SELECT o_orderkey AS query_id, 'SELECT ' || {num('o_custkey')} AS query_string,
+          {BASE_MS} + o_orderkey * 1000000 AS start_time,
+          CASE WHEN o_orderkey % 4 <> 0 THEN {BASE_MS} + o_orderkey * 1000000 + 900000 END
+            AS end_time, '1.0' AS version
+        FROM $orders"""
+    v["run_stages"] = f"""
+        SELECT run, query AS stage, q_start - 900 + l_partkey % 2500 AS completionTime
+        FROM $run_queries"""
+
     # --- event-log lines -----------------------------------------------------------------
     v["spark_jobs"] = f"""
         SELECT 'app' || {num('o_custkey % 40')} AS app, cast(o_orderkey as int) AS jobId,

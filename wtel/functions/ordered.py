@@ -51,45 +51,50 @@ def with_previous_poll(
     )
 
 
-def _across_chunks(keys: Sequence[str], descending: bool = False):
-    order = F.col("_chunk").desc() if descending else F.col("_chunk")
-    w = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
-    return w.rowsBetween(Window.unboundedPreceding, -1)
+def _earlier_chunks(keys: Sequence[str]):
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    return by.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def carry_last(
+def _later_chunks(keys: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+
+
+def fill(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     chunk: Column,
-    values: Sequence[str],
     *,
-    exclusive: bool = False,
-    descending: bool = False,
+    upto: dict[str, str] | None = None,
+    before: dict[str, str] | None = None,
+    after: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Replace each value column by its last non-null value up to the current row of the key.
+    """Add the nearest non-null value of a column along each key's series, as ``{new: column}``.
 
-    ``exclusive`` leaves the current row out; ``descending`` walks the series backwards, which
-    gives the next non-null value instead.
+    ``upto`` looks back and includes the row itself, ``before`` leaves it out, ``after`` gives the
+    next value behind the row.
     """
+    upto, before, after = upto or {}, before or {}, after or {}
     src = df.withColumn("_chunk", chunk)
-    by = [F.col(c).desc() if descending else F.col(c) for c in order]
-    end = -1 if exclusive else Window.currentRow
-    inside = (
-        Window.partitionBy(*keys, "_chunk").orderBy(*by).rowsBetween(Window.unboundedPreceding, end)
-    )
-    pick = F.min_by if descending else F.max_by
-    heads = src.groupBy(*keys, "_chunk").agg(
-        *[pick(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(v) for v in values]
-    )
-    across = _across_chunks(keys, descending)
-    carried = heads.select(
-        *keys, "_chunk", *[F.last(v, ignorenulls=True).over(across).alias(f"_c_{v}") for v in values]
-    ).where(" or ".join(f"`_c_{v}` is not null" for v in values))
-    local = src.withColumns({v: F.last(v, ignorenulls=True).over(inside) for v in values})
-    out = local.join(carried, [*keys, "_chunk"], "left")
-    return out.select(
-        *[F.coalesce(v, f"_c_{v}").alias(v) if v in values else F.col(v) for v in df.columns]
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    at = F.struct(*order)
+    here, heads, across = {}, [], []
+    for new, c in {**upto, **before}.items():
+        end = Window.currentRow if new in upto else -1
+        here[new] = F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, end))
+        heads.append(F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_h_{new}"))
+        across.append(F.last(f"_h_{new}", ignorenulls=True).over(_earlier_chunks(keys)))
+    for new, c in after.items():
+        here[new] = F.first(c, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        heads.append(F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_h_{new}"))
+        across.append(F.first(f"_h_{new}", ignorenulls=True).over(_later_chunks(keys)))
+    carried = src.groupBy(*keys, "_chunk").agg(*heads)
+    carried = carried.select(*keys, "_chunk", *[c.alias(f"_c_{n}") for n, c in zip(here, across)])
+    carried = carried.where(" or ".join(f"`_c_{n}` is not null" for n in here))
+    local = src.select("*", *[c.alias(f"_l_{n}") for n, c in here.items()])
+    return local.join(carried, [*keys, "_chunk"], "left").select(
+        *df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in here]
     )
 
 
@@ -149,7 +154,7 @@ def number_rows(
     offsets = (
         src.groupBy(*keys, "_chunk")
         .agg(F.count("*").alias("_n"))
-        .select(*keys, "_chunk", F.sum("_n").over(_across_chunks(keys)).alias("_offset"))
+        .select(*keys, "_chunk", F.sum("_n").over(_earlier_chunks(keys)).alias("_offset"))
         .where("_offset is not null")
     )
     out = src.withColumn("_rn", F.row_number().over(inside)).join(offsets, [*keys, "_chunk"], "left")
@@ -170,7 +175,7 @@ def running_sum(
     offsets = (
         src.groupBy(*keys, "_chunk")
         .agg(F.sum(value).alias("_n"))
-        .select(*keys, "_chunk", F.sum("_n").over(_across_chunks(keys)).alias("_offset"))
+        .select(*keys, "_chunk", F.sum("_n").over(_earlier_chunks(keys)).alias("_offset"))
         .where("_offset is not null")
     )
     out = src.withColumn("_sum", F.sum(value).over(inside)).join(offsets, [*keys, "_chunk"], "left")

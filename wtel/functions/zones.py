@@ -38,7 +38,7 @@ def stamp_to_local(stamp: Column) -> Column:
     """Wall-clock time of a ``yyyyMMddHHmm`` stamp; out-of-range parts roll over, as in 13 months."""
 
     def part(start: int, length: int) -> Column:
-        return F.substring(stamp, start, length).cast("int")
+        return F.substring(stamp, start, length).try_cast("int")
 
     year_start = F.make_date(part(1, 4), F.lit(1), F.lit(1))
     day = F.date_add(F.add_months(year_start, part(5, 2) - 1), part(7, 2) - 1)
