@@ -81,7 +81,9 @@ QUERIES: dict[str, Query] = {
     ).select("query_id", "query_string"),
     "src8_parse_statsd": _packets,
     "snk3_append_metric": _snk3,
-    "snk4_upsert_tags": lambda s, d: counters.current_tags(view(s, d, "registry"), _packets(s, d)),
+    "snk4_upsert_tags": lambda s, d: counters.current_tags(
+        view(s, d, "registry"), counters.tag_values(_packets(s, d))
+    ),
     "prj1_to_long_metrics": lambda s, d: changes.to_long_metrics(
         _apps(s, d).withColumn("AppId", F.col("id")), ["AppId"], changes.APP_FIELDS
     ),

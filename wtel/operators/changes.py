@@ -53,7 +53,12 @@ def cluster_changes(
     polls: DataFrame, keys: Sequence[str] = (), chunk: int = POLL_CHUNK
 ) -> DataFrame:
     """Cluster fields that differ from the previous poll; the first poll gives no rows."""
-    both = with_previous_poll(polls, keys, chunk=chunk).where("prev is not null")
+    return compare_cluster(with_previous_poll(polls, keys, chunk=chunk), keys)
+
+
+def compare_cluster(both: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``cluster_changes`` of rows that carry their previous row in ``prev``."""
+    both = both.where("prev is not null")
     entries = F.array(
         *[
             F.when(_both_and_differ(F.col(f), F.col("prev")[f]), _entry(f, F.col(f)))
@@ -68,7 +73,11 @@ def app_changes(apps: DataFrame, chunk: int = POLL_CHUNK) -> DataFrame:
 
     A value that becomes null is not a change; a null that becomes a value is.
     """
-    both = with_previous_poll(apps, ["id"], chunk=chunk)
+    return compare_apps(with_previous_poll(apps, ["id"], chunk=chunk))
+
+
+def compare_apps(both: DataFrame) -> DataFrame:
+    """``app_changes`` of rows that carry their previous row in ``prev``."""
     is_new = F.col("prev").isNull()
     compared = [f for f in APP_FIELDS if f != "elapsedTime"]
 
@@ -95,14 +104,22 @@ def app_changes(apps: DataFrame, chunk: int = POLL_CHUNK) -> DataFrame:
 
 def queue_changes(queues: DataFrame, chunk: int = POLL_CHUNK) -> DataFrame:
     """Queue fields present in both polls and different, used resources as two fields of their own."""
-    flat = queues.select(
+    return compare_queues(with_previous_poll(flat_queues(queues), ["queueName"], chunk=chunk))
+
+
+def flat_queues(queues: DataFrame) -> DataFrame:
+    return queues.select(
         "poll_no",
         "record_time",
         *QUEUE_FIELDS,
         F.col("resourcesUsed.memory").alias("resourcesUsed_memory"),
         F.col("resourcesUsed.vCores").alias("resourcesUsed_vCores"),
     )
-    both = with_previous_poll(flat, ["queueName"], chunk=chunk).where("prev is not null")
+
+
+def compare_queues(both: DataFrame) -> DataFrame:
+    """``queue_changes`` of flat rows that carry their previous row in ``prev``."""
+    both = both.where("prev is not null")
     fields = [f for f in QUEUE_FIELDS if f != "queueName"]
     fields += ["resourcesUsed_memory", "resourcesUsed_vCores"]
     entries = F.array(
@@ -185,7 +202,13 @@ def node_app_changes(
     apps: DataFrame, first_poll: int | None = None, chunk: int = POLL_CHUNK
 ) -> DataFrame:
     """New on a node, or finished: state, user and containers. Otherwise new containers only."""
-    both = with_previous_poll(suppress_finished(apps, first_poll), ["node", "id"], chunk=chunk)
+    return compare_node_apps(
+        with_previous_poll(suppress_finished(apps, first_poll), ["node", "id"], chunk=chunk)
+    )
+
+
+def compare_node_apps(both: DataFrame) -> DataFrame:
+    """``node_app_changes`` of rows that carry their previous row in ``prev``."""
     in_full = F.col("prev").isNull() | (F.col("state") == "FINISHED")
     fresh = new_containers(F.col("prev.containerids"), F.col("containerids"))
     entries = F.when(in_full, app_entries()).otherwise(
@@ -197,7 +220,11 @@ def node_app_changes(
 
 def container_changes(containers: DataFrame, chunk: int = POLL_CHUNK) -> DataFrame:
     """New on a node: the selected fields. Otherwise fields that differ, bar the uncompared ones."""
-    both = with_previous_poll(containers, ["node", "id"], chunk=chunk)
+    return compare_containers(with_previous_poll(containers, ["node", "id"], chunk=chunk))
+
+
+def compare_containers(both: DataFrame) -> DataFrame:
+    """``container_changes`` of rows that carry their previous row in ``prev``."""
     compared = [f for f in CONTAINER_FIELDS if f not in UNCOMPARED_CONTAINER_FIELDS and f != "id"]
     changed = F.array(
         *[F.when(_both_and_differ(F.col(f), F.col("prev")[f]), _entry(f, F.col(f))) for f in compared]

@@ -30,15 +30,24 @@ def registry_values(registry: DataFrame, values: DataFrame) -> DataFrame:
     ).select("table_name", "tag", F.coalesce("value", F.lit(-1)).alias("value"))
 
 
-def current_tags(registry: DataFrame, packets: DataFrame) -> DataFrame:
-    """The ``counts`` and ``gauges`` tag tables after all packets, values as text."""
-    values = counter_totals(packets).withColumn("table_name", F.lit("counts")).unionByName(
-        gauge_latest(packets).withColumn("table_name", F.lit("gauges"))
+def tag_values(packets: DataFrame) -> DataFrame:
+    """Current value per kind and name: the total of a counter, the last value of a gauge."""
+    total = F.sum("value").cast("long")
+    latest = F.max_by("value", F.struct("ts", "seq")).cast("long")
+    return (
+        packets.groupBy("kind", "name")
+        .agg(total.alias("total"), latest.alias("latest"))
+        .select(
+            F.when(F.col("kind") == "c", "counts").otherwise("gauges").alias("table_name"),
+            F.col("name").alias("tag"),
+            F.when(F.col("kind") == "c", F.col("total")).otherwise(F.col("latest")).alias("value"),
+        )
     )
-    joined = registry.join(
-        values.withColumnRenamed("name", "tag"), ["table_name", "tag"], "left"
-    )
-    return joined.select(
+
+
+def current_tags(registry: DataFrame, values: DataFrame) -> DataFrame:
+    """The ``counts`` and ``gauges`` tag tables, values as text; -1 for a tag without one."""
+    return registry.join(values, ["table_name", "tag"], "left").select(
         "table_name", "tag", F.coalesce("value", F.lit(-1)).cast("string").alias("value")
     )
 

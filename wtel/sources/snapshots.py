@@ -58,9 +58,14 @@ def read_node_apps(docs: DataFrame) -> DataFrame:
     return _items(docs, "apps.app", schemas.NODE_APP)
 
 
+def container_items(docs: DataFrame) -> DataFrame:
+    """Containers of every document as listed, with their place in it as ``_pos``."""
+    return _items(docs, "containers.container", schemas.CONTAINER, pos="_pos")
+
+
 def read_containers(docs: DataFrame, keys: Sequence[str] = ("poll_no", "node")) -> DataFrame:
     """One row per container and document; of repeated ids in one document the last one counts."""
-    rows = _items(docs, "containers.container", schemas.CONTAINER, pos="_pos")
+    rows = container_items(docs)
     group = [*keys, "id"]
     rest = [c for c in rows.columns if c not in group and c != "_pos"]
     latest = rows.groupBy(*group).agg(F.max_by(F.struct(*rest), "_pos").alias("_last"))
