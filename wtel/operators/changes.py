@@ -87,19 +87,16 @@ def compare_apps(both: DataFrame) -> DataFrame:
         new, old = F.col(f), F.col("prev")[f]
         return new.isNotNull() & (old.isNull() | (new != old))
 
-    some = F.lit(False)
-    for f in compared:
-        some = some | differs(f)
-    both = both.withColumn("_is_new", is_new).withColumn("_some", ~is_new & some)
+    changed = F.array(*[F.when(differs(f), _entry(f, F.col(f))) for f in compared])
     all_fields = F.array(
         *[_entry(f, F.coalesce(F.col(f).cast("string"), F.lit("null"))) for f in APP_FIELDS]
     )
-    changed = F.array(
-        *[F.when(differs(f), _entry(f, F.col(f))) for f in compared],
-        F.when(F.col("_some"), _entry("elapsedTime", F.col("elapsedTime"))),
-    )
-    rows = both.where("_is_new or _some").withColumn("AppId", F.col("id"))
-    return _unfold(rows, ["AppId"], F.when(F.col("_is_new"), all_fields).otherwise(changed))
+    some = F.exists("_changed", lambda e: e.isNotNull())
+    elapsed = F.array(F.when(some, _entry("elapsedTime", F.col("elapsedTime"))))
+    rows = both.withColumns({"AppId": F.col("id"), "_is_new": is_new, "_changed": changed})
+    # unchanged rows get no array at all; a filter on all the fields would cost the optimizer dear
+    entries = F.when(F.col("_is_new"), all_fields).when(some, F.concat("_changed", elapsed))
+    return _unfold(rows, ["AppId"], entries)
 
 
 def queue_changes(queues: DataFrame, chunk: int = POLL_CHUNK) -> DataFrame:
