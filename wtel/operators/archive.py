@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wtel.functions.once import with_once
 from wtel.functions.ordered import as_of, running_sum, time_chunk
 from wtel.functions.zones import archive_day, archive_path
 from wtel.sinks.staging import staged
@@ -29,7 +30,7 @@ def sort_logsets(entries: DataFrame) -> DataFrame:
 
 def exclude_today(entries: DataFrame, now_ms: int) -> DataFrame:
     """Entries of archive days before the day of ``now_ms``; adds the column ``day``."""
-    return entries.withColumn("day", archive_day("timestamp")).where(
+    return with_once(entries, {"day": archive_day("timestamp")}).where(
         F.col("day") < archive_day(F.lit(now_ms).cast("long"))
     )
 

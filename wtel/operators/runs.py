@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wtel.functions.ordered import as_of, fill, number_rows, position_chunk, time_chunk
 from wtel.functions.text import joined_or_empty
 from wtel.plans.plan_nodes import mapred_stages
+from wtel.sinks.staging import staged
 
 NO_JOB = -1
 
@@ -67,8 +68,11 @@ def pair_events(events: DataFrame) -> DataFrame:
 
 
 def run_tables(events: DataFrame, last_wid: int = 0) -> dict[str, DataFrame]:
-    """The tables ``workflows``, ``components`` and ``executedQueries`` of finished runs."""
-    rows = pair_events(events).join(assign_ids(events, last_wid), ["level", "key"])
+    """The tables ``workflows``, ``components`` and ``executedQueries`` of finished runs.
+
+    All three read one staged table of numbered and paired events.
+    """
+    rows = staged(pair_events(events).join(assign_ids(events, last_wid), ["level", "key"]), "runs")
 
     def level(name: str, *cols: str | Column) -> DataFrame:
         return rows.where(F.col("level") == name).select(*cols, "startTime", "endTime")
@@ -101,14 +105,14 @@ def current_query_id(
     """Identifiers of what is running now: one past the last written workflow, then one past the last
     written component of that workflow, then one past the last written query of that component."""
 
-    def next_of(df: DataFrame, name: str) -> Column:
-        return df.agg((F.coalesce(F.max(name), F.lit(0)) + 1).alias(name)).scalar()
+    def next_of(df: DataFrame, name: str) -> int:
+        return df.agg(F.coalesce(F.max(name), F.lit(0)) + 1).first()[0]
 
     wid = next_of(workflows, "wid")
     cid = next_of(components.where(F.col("wid") == wid), "cid")
     qid = next_of(queries.where((F.col("wid") == wid) & (F.col("cid") == cid)), "qid")
     one = workflows.sparkSession.range(1)
-    return one.select(wid.alias("wid"), cid.alias("cid"), qid.alias("qid"))
+    return one.select(*[F.lit(v).cast("long").alias(n) for n, v in (("wid", wid), ("cid", cid), ("qid", qid))])
 
 
 def stage_to_job(stages: DataFrame, jobs: DataFrame) -> DataFrame:

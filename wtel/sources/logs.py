@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from wtel import schemas
 from wtel.functions import zones
+from wtel.functions.once import with_once
 
 
 def scan_query_log(log: DataFrame, start: str, end: str) -> DataFrame:
@@ -49,13 +50,20 @@ DIRECTORY = r"([a-zA-Z0-9-]+)_([0-9]{12})([/a-fA-F0-9_-]*)"
 def _matched(lines: DataFrame, base: str, line: str) -> DataFrame:
     listing = rf"^{LISTING_HEAD}{re.escape(base)}/{LISTING_TAIL}\z"
     directory = rf"^{DIRECTORY}\z"
-    return (
-        lines.where(~F.startswith(line, F.lit("Found ")))
-        .withColumn("_name", F.when(F.col(line).rlike(listing), F.regexp_extract(line, listing, 4)))
-        .withColumn("_size", F.regexp_extract(line, listing, 1))
-        .withColumn("_ok", F.coalesce(F.col("_name").rlike(directory), F.lit(False)))
-        .withColumn("_stamp", F.regexp_extract("_name", directory, 2))
-        .withColumn("_user", F.regexp_extract("_name", directory, 1))
+    found = with_once(
+        lines.where(~F.startswith(line, F.lit("Found "))),
+        {
+            "_name": F.when(F.col(line).rlike(listing), F.regexp_extract(line, listing, 4)),
+            "_size": F.regexp_extract(line, listing, 1),
+        },
+    )
+    return with_once(
+        found,
+        {
+            "_ok": F.coalesce(F.col("_name").rlike(directory), F.lit(False)),
+            "_stamp": F.regexp_extract("_name", directory, 2),
+            "_user": F.regexp_extract("_name", directory, 1),
+        },
     )
 
 
@@ -64,17 +72,15 @@ def parse_du_listing(lines: DataFrame, base: str, line: str = "line") -> DataFra
 
     ``timestamp`` is in epoch milliseconds; the 12 digits in the name are log-zone local time.
     """
-    local = zones.stamp_to_local(F.col("_stamp"))
-    return (
-        _matched(lines, base, line)
-        .where("_ok")
-        .select(
-            F.col("_name").alias("dirName"),
-            F.concat(F.lit(base + "/"), "_name").alias("path"),
-            F.coalesce(F.expr("try_cast(_size as bigint)"), F.lit(0)).alias("size"),
-            zones.epoch_ms(zones.local_to_utc(local, zones.LOG_ZONE)).alias("timestamp"),
-            F.col("_user").alias("userName"),
-        )
+    entries = _matched(lines, base, line).where("_ok")
+    entries = with_once(entries, {"_local": zones.stamp_to_local(F.col("_stamp"))})
+    utc = zones.local_to_utc(F.col("_local"), zones.LOG_ZONE)
+    return with_once(entries, {"timestamp": zones.epoch_ms(utc)}).select(
+        F.col("_name").alias("dirName"),
+        F.concat(F.lit(base + "/"), "_name").alias("path"),
+        F.coalesce(F.expr("try_cast(_size as bigint)"), F.lit(0)).alias("size"),
+        "timestamp",
+        F.col("_user").alias("userName"),
     )
 
 
