@@ -196,20 +196,30 @@ def _value(attr: str) -> Column:
     return F.get(_named(attr), F.lit(0))["value"]
 
 
-def _entries(attr: str, title: str, show: str) -> Column:
+def _shown(attr: str, show: str) -> Column:
+    """Values of an attribute as they appear in a comment."""
     found = F.filter(_named(attr), lambda a: F.coalesce(a["value"], F.lit("")) != "")
     if show == AFTER_POSITION:
         found = F.filter(found, lambda a: a["pos"] < 5)
     if show == IF_POSITIVE:
         found = F.filter(found, lambda a: F.coalesce(a["value"].try_cast("int") > 0, F.lit(False)))
 
-    def entry(a: Column) -> Column:
-        text = a["value"]
+    def text(a: Column) -> Column:
         if show == AFTER_POSITION:
-            text = F.concat(a["pos"].cast("string"), F.lit(": "), text)
-        return F.struct(F.lit(title).alias("title"), text.alias("value"))
+            return F.concat(a["pos"].cast("string"), F.lit(": "), a["value"])
+        return a["value"]
 
-    return F.transform(found, entry)
+    return F.transform(found, text)
+
+
+def _titled(rules: list[tuple[str, str, str]]) -> Column:
+    """One line per title that has a value."""
+    titles = list(dict.fromkeys(title for _, title, _ in rules))
+    lines = []
+    for title in titles:
+        values = F.array_join(F.concat(*[_shown(a, show) for a, t, show in rules if t == title]), ", ")
+        lines.append(F.when(values != "", F.concat(F.lit(title + ": "), values)))
+    return F.concat_ws("\n", *lines)
 
 
 def _spaced(attr: str) -> Column:
@@ -280,8 +290,7 @@ def operator_comment(ops: DataFrame, attrs: DataFrame) -> DataFrame:
     )
     titled = F.lit(None).cast("string")
     for kind, rules in TITLES.items():
-        text = labelled_comment(F.concat(*[_entries(*r) for r in rules]))
-        titled = F.when(op == kind, text).otherwise(titled)
+        titled = F.when(op == kind, _titled(rules)).otherwise(titled)
     plain = (
         F.when(op == "EXTRACT", F.concat(F.lit("extract: "), _value("expr")))
         .when(op == "FILTER", _value("predicate"))
