@@ -23,7 +23,20 @@ def folder(s: SparkSession, name: str) -> str:
 
 
 def replay(s: SparkSession, rows: DataFrame, order: str, start: Callable) -> str:
-    """Land the rows in two parts by the order column and run the job after each; gives its output."""
+    """Land the rows in two parts by the order column and run the job after each; gives its output.
+
+    A stream keeps the number of state partitions it starts with: here one per core.
+    """
+    setting = "spark.sql.shuffle.partitions"
+    given = s.conf.get(setting)
+    s.conf.set(setting, str(min(int(given), s.sparkContext.defaultParallelism)))
+    try:
+        return _replay(s, rows, order, start)
+    finally:
+        s.conf.set(setting, given)
+
+
+def _replay(s: SparkSession, rows: DataFrame, order: str, start: Callable) -> str:
     root = folder(s, "stream")
     landing, out, checkpoint = (f"{root}/{d}" for d in ("landing", "out", "checkpoint"))
     middle = rows.agg(F.percentile_approx(order, 0.5)).scalar()

@@ -46,18 +46,25 @@ def stamp_to_local(stamp: Column) -> Column:
     return F.timestamp_add("MINUTE", minutes, day.cast("timestamp_ntz"))
 
 
+def _archive_text(ms: str | Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` in the archive zone."""
+    c = F.col(ms) if isinstance(ms, str) else ms
+    return utc_to_local(from_epoch_ms(c), ARCHIVE_ZONE).cast("string")
+
+
 def archive_day(ms: str | Column) -> Column:
     """``yyyy/MM/dd`` of the archive zone."""
-    c = F.col(ms) if isinstance(ms, str) else ms
-    return F.date_format(utc_to_local(from_epoch_ms(c), ARCHIVE_ZONE), "yyyy/MM/dd")
+    return F.translate(F.substring(_archive_text(ms), 1, 10), "-", "/")
 
 
 def archive_path(first_ms: str | Column, last_ms: str | Column, suffix: str = ".tar.xz") -> Column:
-    """Day directory and file name of an archive that spans the two times."""
-    first = F.col(first_ms) if isinstance(first_ms, str) else first_ms
-    last = F.col(last_ms) if isinstance(last_ms, str) else last_ms
+    """Day directory and file name (``yyyy_MM_ddTHHmm`` twice) of an archive over the two times."""
 
-    def name(ms: Column) -> Column:
-        return F.date_format(utc_to_local(from_epoch_ms(ms), ARCHIVE_ZONE), "yyyy_MM_dd'T'HHmm")
+    def name(ms: str | Column) -> Column:
+        text = _archive_text(ms)
+        day = F.translate(F.substring(text, 1, 10), "-", "_")
+        return F.concat(day, F.lit("T"), F.substring(text, 12, 2), F.substring(text, 15, 2))
 
-    return F.concat(archive_day(first), F.lit("/"), name(first), F.lit("-"), name(last), F.lit(suffix))
+    return F.concat(
+        archive_day(first_ms), F.lit("/"), name(first_ms), F.lit("-"), name(last_ms), F.lit(suffix)
+    )

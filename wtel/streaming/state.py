@@ -8,9 +8,11 @@ micro-batch are put in poll order first; a poll must not be split over micro-bat
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# executors get the classes below with the job, they need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _KEPT = T.StructType([T.StructField("kept", T.StringType())])
 
 
