@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wtel.llm import quality, url_filter
-from wtel.llm.common import table
+from wtel.llm import mixing, quality, url_filter
+from wtel.llm.common import join_small, staged, table
 
 URL_RULES = (
     ("com/", "allow"),
@@ -16,6 +17,19 @@ URL_RULES = (
 )
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, source's size and target, and words taken of every document."""
+    docs = table(spark, sf_dir, "documents")
+    rows, units, sources = mixing.mix(docs, F.array("source"), mixing.n_words(F.col("text")))
+    copies = staged(units, "copies").toDF("_id", "_members", "_size", "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("members").eqNullSafe(F.col("_members"))
+    taken = join_small(rows, copies, same & (F.col("size") == F.col("_size")), "inner")
+    on = F.get("members", F.lit(0)).eqNullSafe(F.col("source"))
+    return taken.join(F.broadcast(sources), on).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
@@ -26,7 +40,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op6_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_url_filter, op6_quality_rules)}
 
 
 def _url_sql() -> str:
@@ -49,4 +63,38 @@ def _url_sql() -> str:
             THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM judged"""
 
 
-STATEMENTS = {"op4_url_filter": _url_sql()}
+def _mix_sql() -> str:
+    weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS))
+    return f"""
+        WITH sized AS MATERIALIZED (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+        counted AS (SELECT doc_id, source, size, count(*) AS n FROM sized GROUP BY doc_id, source, size),
+        unit AS MATERIALIZED (SELECT doc_id, source, size, (n * size)::BIGINT AS tokens,
+            md5(concat('{mixing.SEED}:', coalesce(doc_id::VARCHAR, ''), ':', size::VARCHAR)) AS ord FROM counted),
+        summed AS (SELECT source, sum(tokens)::BIGINT AS source_size FROM unit GROUP BY source),
+        weighed AS (SELECT source, source_size,
+            CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} {weight} END AS w FROM summed),
+        ranked AS (SELECT *, {mixing.MOST} * source_size AS cap,
+            coalesce(sum({mixing.MOST} * source_size) OVER (ORDER BY {mixing.MOST} * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+            sum(w) OVER (ORDER BY {mixing.MOST} * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w FROM weighed),
+        levels AS (SELECT *, ({mixing.TOTAL}::DOUBLE * (SELECT sum(source_size) FROM weighed) - capped::DOUBLE) / rest_w::DOUBLE AS lv FROM ranked),
+        chosen AS (SELECT coalesce(max(lv) FILTER (WHERE lv <= cap::DOUBLE / w), max(lv)) AS best_lv FROM levels),
+        aimed AS MATERIALIZED (SELECT source, source_size, least(cap::DOUBLE, (SELECT best_lv FROM chosen) * w) AS target FROM ranked),
+        planned AS MATERIALIZED (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target)::BIGINT // source_size END AS copies,
+            CASE WHEN source_size = 0 THEN 0 ELSE floor(target)::BIGINT % source_size END AS rest FROM aimed),
+        run AS MATERIALIZED (SELECT u.*, p.source_size, p.target, p.copies, p.rest,
+            sum(tokens) OVER (PARTITION BY u.source ORDER BY ord, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) <= p.rest AS taken
+            FROM unit u JOIN planned p ON u.source IS NOT DISTINCT FROM p.source),
+        opened AS (SELECT source, (any_value(rest) - coalesce(sum(tokens) FILTER (WHERE taken), 0))::BIGINT AS gap FROM run GROUP BY source),
+        best AS (SELECT source, doc_id, size FROM (SELECT r.*, row_number() OVER (PARTITION BY r.source
+            ORDER BY abs(o.gap - r.tokens), r.ord, r.doc_id NULLS FIRST, r.size) AS k
+            FROM run r JOIN opened o ON r.source IS NOT DISTINCT FROM o.source
+            WHERE NOT r.taken AND r.tokens > 0 AND abs(o.gap - r.tokens) < o.gap) WHERE k = 1)
+        SELECT s.doc_id, s.size, r.source_size, r.target, ((r.copies + r.taken::INT + (b.size IS NOT NULL)::INT) * s.size)::BIGINT AS taken
+        FROM sized s JOIN run r ON s.doc_id IS NOT DISTINCT FROM r.doc_id AND s.source IS NOT DISTINCT FROM r.source AND s.size = r.size
+        LEFT JOIN best b ON b.doc_id IS NOT DISTINCT FROM s.doc_id AND b.source IS NOT DISTINCT FROM s.source AND b.size = s.size"""
+
+
+STATEMENTS = {
+    "op1_mix_sources": _mix_sql(),
+    "op4_url_filter": _url_sql(),
+}
