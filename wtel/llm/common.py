@@ -38,13 +38,13 @@ def remainder_is(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(rest == remainder, F.lit(False))
 
 
-def join_small(df: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join with a side whose rows are counted first: broadcast up to ``BROADCAST_ROWS``.
+def join_small(df: DataFrame, small: DataFrame, on, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a side whose rows are counted first: broadcast up to ``most``.
 
     Beyond that it is a shuffled join, whose hot keys the adaptive skew join splits. ``small``
     should be a staged table, as it is read twice.
     """
-    if small.count() <= BROADCAST_ROWS:
+    if small.count() <= most:
         return df.join(F.broadcast(small), on, how)
     return df.join(small.hint("merge"), on, how)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wtel.llm import bpe, mixing, quality, secrets, url_filter
+from wtel.llm import bpe, mixing, quality, secrets, setsketch, url_filter
 from wtel.llm.common import join_small, staged, table
 
 URL_RULES = (
@@ -52,6 +52,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, group and whether it is kept, of every document."""
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the fixed patterns, the digest of their spans, and all spans of every document."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
@@ -64,7 +69,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_byte_bpe, op4_url_filter, op6_quality_rules, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_byte_bpe, op4_url_filter, op6_quality_rules, op8_minhash_dedup, op9_secret_scans)}
 
 
 def _url_sql() -> str:
