@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wtel.llm import bpe, mixing, quality, secrets, setsketch, url_filter
+from wtel.llm import bpe, embed, mixing, quality, secrets, setsketch, url_filter
 from wtel.llm.common import join_small, staged, table
 
 URL_RULES = (
@@ -42,6 +42,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     )
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct links, component and whether it is kept, of every vector."""
+    return embed.links(table(spark, sf_dir, "embeddings"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
@@ -69,7 +74,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_byte_bpe, op4_url_filter, op6_quality_rules, op8_minhash_dedup, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_byte_bpe, op3_embedding_dedup, op4_url_filter, op6_quality_rules, op8_minhash_dedup, op9_secret_scans)}
 
 
 def _url_sql() -> str:
