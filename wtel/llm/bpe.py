@@ -25,9 +25,11 @@ from wtel.llm.common import slices, staged
 #: Characters of a chunk, and how many of the next chunk it sees.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
+#: Bytes of text that are encoded at once; the arrays over it take some forty times as much.
+PART_BYTES = 2 << 20
 #: Rows that are decoded at once.
-ROWS = 1000
+ROWS = 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -228,7 +230,7 @@ def _encode_whole(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 ids = own.encode(pc.fill_null(part.column("text"), "").to_pylist())
                 kept = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*kept, ids], [*part.schema.names[:-1], "ids"])
@@ -274,7 +276,7 @@ def _encode_long(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFr
     def encode_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 start, begin, stop = (part.column(c).to_numpy() for c in ("start", "begin", "stop"))
                 ids = own.encode(part.column("text").to_pylist(), begin - start, stop - start)
                 kept = [part.column(c) for c in ("_row", "doc_id", "k")]
