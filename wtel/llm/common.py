@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wtel.sinks.staging import shared_folder, staged
@@ -49,6 +49,20 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "left", most: int
     return df.join(small.hint("merge"), on, how)
 
 
+def sampled(df: DataFrame, by: str, most: int, seed: str, *keys: str) -> DataFrame:
+    """At most ``most`` rows of each value of ``by``: those with the least seeded hash of ``keys``.
+
+    The values are few, as classes are. A hash limit, set from the value's count, first leaves about
+    twice as many rows as wanted, so that the ranking sees a bounded number of them.
+    """
+    order = F.xxhash64(F.lit(seed), *keys)
+    counts = df.groupBy(by).count()
+    share = F.pmod(order, F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = df.join(F.broadcast(counts), by).where(share * F.col("count") <= 2 * most + 100).drop("count")
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(order, *keys))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in consecutive parts of about ``most`` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wtel.llm import bpe, embed, mixing, quality, secrets, setsketch, url_filter
+from wtel.llm import bpe, embed, langid, mixing, quality, secrets, setsketch, toxicity, url_filter
 from wtel.llm.common import join_small, staged, table
 
 URL_RULES = (
@@ -52,6 +52,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, score and verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -74,7 +79,25 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_byte_bpe, op3_embedding_dedup, op4_url_filter, op6_quality_rules, op8_minhash_dedup, op9_secret_scans)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_byte_bpe,
+        op3_embedding_dedup,
+        op4_url_filter,
+        op5_toxicity,
+        op6_quality_rules,
+        op8_minhash_dedup,
+        op9_secret_scans,
+        op10_language_id,
+    )
+}
 
 
 def _url_sql() -> str:
