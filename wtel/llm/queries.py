@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wtel.llm import bpe, embed, langid, mixing, quality, secrets, setsketch, toxicity, url_filter
+from wtel.llm import bpe, embed, kneser_ney, langid, mixing, quality, secrets, setsketch, toxicity, url_filter
 from wtel.llm.common import join_small, staged, table
 
 URL_RULES = (
@@ -62,6 +62,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and log probability of every document."""
+    return kneser_ney.score(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, group and whether it is kept, of every document."""
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
@@ -93,6 +98,7 @@ QUERIES = {
         op4_url_filter,
         op5_toxicity,
         op6_quality_rules,
+        op7_lm_scoring,
         op8_minhash_dedup,
         op9_secret_scans,
         op10_language_id,
