@@ -32,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ranks_path() -> str:
+    """The public rank file that the queries use unless they are given another."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def remainder_is(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id's text has the remainder; false for a null id."""
     rest = F.crc32(doc_id.cast("string").cast("binary")) % modulus

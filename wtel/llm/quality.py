@@ -17,10 +17,10 @@ from wtel.functions.once import with_once
 from wtel.llm.common import SPACES, join_small, staged
 
 BUCKETS = 1 << 16
-#: Added to each bucket of the trusted counts, spread over the buckets as the corpus is.
-PRIOR = 200.0
+#: Added to a bucket's trusted count and to the count expected of it: rare buckets say little.
+SMOOTHING = 50.0
 #: Mean log ratio (nats per n-gram) from which a text is kept.
-THRESHOLD = -0.1
+THRESHOLD = -0.06
 #: Characters that tables and markup are full of.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -71,31 +71,30 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def weights(counts: DataFrame) -> list[float]:
-    """Log ratio of each bucket, target to corpus; ``BUCKETS`` numbers at most reach the driver.
+    """Log ratio of each bucket, trusted to expected; ``BUCKETS`` numbers at most reach the driver.
 
-    The corpus, one added per bucket, is the prior of the target: without trusted text every
-    weight is 0, and so is every score.
+    A bucket is expected to have the share of the trusted n-grams that it has of the corpus. Without
+    trusted text every weight is 0, and so is every score.
     """
     found = {r["bucket"]: (r["corpus"], r["target"]) for r in counts.collect()}
-    corpus = sum(c for c, _ in found.values()) + BUCKETS
-    target = sum(t for _, t in found.values())
+    corpus, target = (sum(x[i] for x in found.values()) for i in (0, 1))
     out = []
     for bucket in range(BUCKETS):
         c, t = found.get(bucket, (0, 0))
-        expected = (c + 1) / corpus
-        out.append(log((t + PRIOR * BUCKETS / 1000 * expected) / (target + PRIOR * BUCKETS / 1000) / expected))
+        expected = target * (c + 1) / (corpus + BUCKETS)
+        out.append(log((t + SMOOTHING) / (expected + SMOOTHING)))
     return out
 
 
-def scored(docs: DataFrame, weight: list[float]) -> DataFrame:
-    """doc_id, the base columns and ``score`` of each document: its mean n-gram weight.
+def scored(docs: DataFrame, weight: list[float], *carried: str) -> DataFrame:
+    """The carried columns, the base columns and ``score`` of each text: its mean n-gram weight.
 
     A text without words scores 0.
     """
     # one folded literal: the optimizer turns the text into an array once
     table = F.split(F.lit(",".join(f"{w:.6g}" for w in weight)), ",").cast("array<double>")
     body, words = F.coalesce("text", F.lit("")), F.col("words")
-    df = with_once(docs.select("doc_id", "text"), {"words": words_of(F.col("text"))})
+    df = with_once(docs.select(*carried, "text"), {"words": words_of(F.col("text"))})
 
     def weighed(word: Column, i: Column) -> Column:
         after = F.get(words, i + 1)
@@ -115,7 +114,7 @@ def scored(docs: DataFrame, weight: list[float]) -> DataFrame:
     ).drop("text")
     n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     return _with_repeats(df).select(
-        "doc_id",
+        *carried,
         "n_words",
         "word_chars",
         "n_symbols",
@@ -172,12 +171,22 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     Only doc_id and text are read, so other columns cannot clash. Texts of any length are taken
     whole. An empty table gives an empty result.
     """
+    return _judged(docs, docs.select("doc_id", "text"), labels, threshold, "doc_id")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that ``judge`` keeps, all columns and repeated rows as they are."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return _judged(docs, rows, labels, threshold, "_row").where("kept").select("_row.*")
+
+
+def _judged(docs: DataFrame, rows: DataFrame, labels: DataFrame, threshold: float, carried: str) -> DataFrame:
     counts = bucket_counts(docs, staged(trusted_ids(labels), "trusted"))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
     return (
-        scored(docs, weights(counts))
+        scored(rows, weights(counts), carried)
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wtel.llm import bpe, embed, kneser_ney, langid, mixing, quality, secrets, setsketch, toxicity, url_filter
-from wtel.llm.common import join_small, staged, table
+from wtel.llm.common import join_small, ranks_path, staged, table
 
 URL_RULES = (
     ("com/", "allow"),
@@ -32,10 +32,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Number and digest of the ids of every document, and the digest of the decoded bytes."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = path or ranks_path()
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
     return decoded.select(
         "doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
