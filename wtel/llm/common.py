@@ -82,6 +82,25 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         start = stop
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each run of equal keys, across the batches of a sorted partition."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        rows = rows.combine_chunks()
+        change = np.zeros(max(len(rows) - 1, 0), bool)
+        for key in keys:
+            column = rows.column(key).combine_chunks()
+            change |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            yield rows.slice(start, stop - start).to_batches()[0]
+        held = rows.slice(cuts[-1]) if len(rows) else None
+    if held is not None and len(held):
+        yield held.combine_chunks().to_batches()[0]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * _M1

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wtel.llm.common import join_small, staged
+from wtel.llm.common import join_small, runs, staged
 from wtel.llm.components import components
 
 THRESHOLD = 0.93
@@ -159,22 +159,9 @@ def _links(rows: DataFrame, threshold: float) -> DataFrame:
     keys = ["t", "code", "label", "dim", "first", "second"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            rows = rows.combine_chunks()
-            change = np.zeros(max(len(rows) - 1, 0), bool)
-            for key in keys:
-                column = rows.column(key).combine_chunks()
-                change |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-            cuts = np.concatenate([[0], np.flatnonzero(change) + 1])
-            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-                if stop - start > 1:
-                    yield from found(rows.slice(start, stop - start).to_batches()[0])
-            held = rows.slice(cuts[-1]) if len(rows) else None
-        if held is not None and len(held) > 1:
-            yield from found(held.combine_chunks().to_batches()[0])
+        for group in runs(batches, keys):
+            if group.num_rows > 1:
+                yield from found(group)
 
     return (
         rows.repartition(*keys)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wtel.llm.common import chained, join_small, mixed, slices, staged, word_hashes
+from wtel.llm.common import chained, join_small, mixed, runs, slices, staged, word_hashes
 from wtel.llm.components import components
 
 #: A band is found equal with probability J ** BAND_ROWS; at J = 0.8 all bands differ in 3 of a million pairs.
@@ -30,6 +30,8 @@ PERCENT, WORDS = 80, 2
 ESTIMATE = 0.65
 #: Rows with registers up to which a side is broadcast.
 SKETCH_ROWS = 20_000
+#: Classes and shingles of a block, and shared shingles that are counted at once.
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
 #: Shingles that go through the registers at once.
 BLOCK = 2048
 
@@ -160,10 +162,8 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs whose full sets are similar; sets are read again from the texts of both classes."""
-    pairs = staged(_likely(pairs, classes), "likely")
-    ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """c and shingles of the classes ``ids`` (c), read again from the text of one document of each."""
     needed = staged(join_small(classes.select("c", "digest", "rep"), staged(ids, "ids"), "c", "inner"), "needed")
     reps = staged(needed.select(F.col("rep").alias("_rep")).distinct(), "reps")
     texts = docs.select("doc_id", "text")
@@ -179,9 +179,15 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
                 )
 
     found = texts.mapInArrow(read, "digest binary, shingles binary")
-    sets = staged(
-        join_small(found, needed.select("digest", "c"), "digest", "inner").dropDuplicates(["c"]).select("c", "shingles"), "sets"
-    )
+    found = join_small(found, needed.select("digest", "c"), "digest", "inner")
+    return staged(found.dropDuplicates(["c"]).select("c", "shingles"), "sets")
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs whose full sets are similar."""
+    pairs = staged(_likely(pairs, classes), "likely")
+    ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    sets = _sets(ids, classes, docs, words)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,14 +203,96 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
     return staged(rows.mapInArrow(verify, "a long, b long"), "links")
 
 
+def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of the left and right sides share ``percent`` of their union, by counting shared shingles.
+
+    Shingles of one side only are left out; those of both are the columns of two incidence matrices,
+    a few thousand at a time, whose product counts.
+    """
+    sides = [np.concatenate(s) for s in (left, right)]
+    columns = np.intersect1d(*(np.unique(s) for s in sides), assume_unique=True)
+    sizes = [np.array([len(x) for x in s]) for s in (left, right)]
+    places = []
+    for side, n in zip(sides, sizes, strict=True):
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.searchsorted(columns, side)
+        known = np.append(columns, 0)[at] == side if len(columns) else np.zeros(len(side), bool)
+        known &= at < len(columns)
+        order = np.argsort(at[known], kind="stable")
+        places.append((row[known][order], at[known][order]))
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(columns), COLUMNS):
+        parts = []
+        for (row, at), n in zip(places, sizes, strict=True):
+            a, b = np.searchsorted(at, (start, start + COLUMNS))
+            part = np.zeros((len(n), min(COLUMNS, len(columns) - start)), np.float32)
+            part[row[a:b], at[a:b] - start] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between classes that share a cluster but no root.
+
+    ``members`` has c, cluster, root and n. Most of a cluster often has one root already: these are its
+    main part and need no comparison among themselves. The others meet each other and the main
+    part, both cut into blocks of bounded size, a pair of blocks at a time.
+    """
+    counts = members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("cluster").agg(F.max(F.struct("k", "root")).alias("m")).select("cluster", F.col("m.root").alias("main"))
+    rows = join_small(members, staged(main, "main"), "cluster", "inner").withColumn("is_main", F.col("root") == F.col("main"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = rows.groupBy("cluster", "is_main").agg(parts.alias("parts"))
+    sizes = sizes.groupBy("cluster").agg(
+        F.max(F.when(F.col("is_main"), F.col("parts"))).alias("mains"), F.max(F.when(~F.col("is_main"), F.col("parts"))).alias("others")
+    )
+    rows = join_small(rows, staged(sizes, "sizes"), "cluster", "inner")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("c"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    task = lambda main, i, j: F.struct(F.lit(main).alias("with_main"), i.alias("i"), j.alias("j"))
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    part = F.col("part")
+    of_main = F.transform(up_to("others"), lambda i: task(True, i, part))
+    of_others = F.concat(
+        F.transform(up_to("mains"), lambda j: task(True, part, j)),
+        F.transform(up_to("others"), lambda j: task(False, F.least(part, j), F.greatest(part, j))),
+    )
+    tasks = rows.withColumn("task", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_others)))
+    tasks = tasks.select("c", "cluster", "root", "is_main", "part", "task.*")
+    keys = ["cluster", "with_main", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, keys):
+            is_main, part = (group.column(c).to_numpy(zero_copy_only=False) for c in ("is_main", "part"))
+            c, root = (group.column(x).to_numpy() for x in ("c", "root"))
+            if group.column("with_main")[0].as_py():
+                left, right = np.flatnonzero(~is_main), np.flatnonzero(is_main)
+            else:
+                left, right = np.flatnonzero(part == group.column("i")[0].as_py()), np.flatnonzero(part == group.column("j")[0].as_py())
+            if not len(left) or not len(right):
+                continue
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
+            for at in range(0, len(left), BLOCK_ROWS // 4):
+                own = left[at : at + BLOCK_ROWS // 4]
+                good = similar([sets[k] for k in own], [sets[k] for k in right], percent)
+                good &= root[own][:, None] != root[right][None, :]
+                x, y = np.nonzero(good)
+                # one link for each class and root is enough
+                first = np.unique(np.stack([x, root[right][y]], axis=1), axis=0, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(c[own][x[first]]), pa.array(c[right][y[first]])], ["a", "b"])
+
+    rows = tasks.join(sets, "c").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Rows doc_id, n_shingles, digest; and digest, component_id, chosen, chosen_id of shared groups.
 
     Documents with one set are one class, which the search sees once. In each bucket of a band the
-    members are compared with the bucket's first; the links found make components. Then members of
-    one bucket that still are in different components are compared with each other, so that every
-    pair that shares a bucket is either compared or already connected. A large group of near copies
-    thus costs a comparison per member, not per pair.
+    members are compared with the bucket's first; the links found make components. Buckets that
+    share members make clusters; within a cluster, classes that still are in different components are
+    compared by blocks. So every pair that shares a bucket is either compared or already connected, and
+    a large group of near copies costs little more than a comparison per member.
 
     ``chosen`` marks the digest and ``chosen_id`` the id of the one document that a group keeps.
     """
@@ -217,19 +305,19 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple
     bands = staged(_with_bands(classes), "bands").select("c", "n", F.explode("bands").alias("key"))
     firsts = bands.groupBy("key").agg(F.min("c").alias("center"), F.count(F.lit(1)).alias("k"))
     firsts = staged(firsts.where("k > 1").select("key", "center"), "buckets")
-    shared = staged(join_small(bands, firsts, "key", "inner"), "shared")
-    close = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    shared = join_small(bands, firsts, "key", "inner")
     stars = shared.where("c <> center").select(F.col("c").alias("b"), F.col("center").alias("a")).distinct()
+    stars = staged(stars, "stars")
     links = _linked(stars, classes, docs, percent, words)
     root = components(links).toDF("c", "root")
-    placed = join_small(shared, root, "c").withColumn("root", F.coalesce("root", "c"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    rest = staged(join_small(placed, staged(open_keys.select("key"), "open"), "key", "left_semi").select("key", "c", "n", "root"), "rest")
-    other = rest.toDF("key", "c2", "n2", "root2")
-    cross = rest.join(other, "key").where((F.col("root") < F.col("root2")) & close(F.col("n"), F.col("n2")))
-    cross = cross.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
-    more = _linked(cross.join(stars, ["a", "b"], "left_anti"), classes, docs, percent, words)
-    root = components(links.unionByName(more)).toDF("c", "root")
+    cluster = components(stars).toDF("c", "cluster")
+    members = join_small(cluster, root, "c").withColumn("root", F.coalesce("root", "c"))
+    several = members.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    members = join_small(members, staged(several.select("cluster"), "open"), "cluster", "left_semi")
+    members = staged(join_small(members, classes.select("c", "n"), "c", "inner"), "members")
+    sets = _sets(members.select("c"), classes, docs, words)
+    links = staged(links.unionByName(_rest(members, sets, percent)), "all-links")
+    root = components(links).toDF("c", "root")
     known = join_small(classes.select("c", "digest", "rep", "size"), root, "c").withColumn("root", F.coalesce("root", "c"))
     linked = staged(root.select("root").distinct(), "roots").toDF("r")
     known = join_small(known, linked, F.col("root") == F.col("r")).where("size > 1 OR r IS NOT NULL")
