@@ -33,19 +33,19 @@ def model(rows, cap):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("limit", [10**6, 0, 60])
-def test_packing(spark, seed, limit):
+@pytest.mark.parametrize("by_joins", [False, True])
+def test_packing(spark, seed, by_joins):
     rows = entries(seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    packed = archive.pack_archives(df, 200, fold_limit=limit)
+    packed = archive.pack_archives(df, 200, by_joins=by_joins)
     assert {r.path: r.archive_no for r in packed.collect()} == model(rows, 100)
 
 
 def test_oversize_and_exact_cap(spark):
     rows = [("a", 300, 0, "d"), ("b", 60, 1, "d"), ("c", 40, 2, "d"), ("e", 39, 3, "d")]
     df = spark.createDataFrame(rows, SCHEMA)
-    for limit in (10, 0):
-        got = {r.path: r.archive_no for r in archive.pack_archives(df, 200, limit).collect()}
+    for by_joins in (False, True):
+        got = {r.path: r.archive_no for r in archive.pack_archives(df, 200, by_joins).collect()}
         assert got == {"a": 1, "b": 2, "c": 3, "e": 3}
 
 

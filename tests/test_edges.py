@@ -233,3 +233,69 @@ def test_long_walks_cross_chunks(spark):
     got = semantics.projections(semantics.analyse(nodes)).collect()
     assert len(got) == 3000
     assert {r.tabName for r in got} == {"big"}
+
+
+def test_error_chain_with_missing_parts(spark):
+    rows = [
+        (1, 0, 1, "A", "a.A: x", "x", "f1"), (1, 0, 2, "A", "a.A: x", "x", "f2"),
+        (1, 1, 1, "B", "b.B", None, "g1"), (1, 2, 1, "C", None, "no frames", None),
+    ]
+    schema = "query_id long, chain_no int, frame_no int, class string, text string, message string, frame string"
+    got = plan_nodes.error_chain(spark.createDataFrame(rows, schema)).first().stack
+    assert got.split("\n") == [
+        "Caused By: A, a.A: x (x)", "f1", "f2", "Caused By: B, b.B (null)", "g1", "Caused By: C, null (no frames)",
+    ]
+
+
+def test_lineage_with_missing_parts(spark):
+    rows = [(1, "t", None, "c", "SIMPLE", 1, "s1", "a", "x", "int", "n"), (1, "t", None, "c", "SIMPLE", 2, "s2", None, "y", None, None)]
+    schema = (
+        "query_id long, target_table string, partition_spec string, target_col string, dep_type string, base_pos int,"
+        " src_table string, src_alias string, src_col string, src_type string, comment string"
+    )
+    got = plan_nodes.lineage_report(spark.createDataFrame(rows, schema)).first().details
+    assert got == "Lineage: t.c SIMPLE [(s1)a.x int n, (s2)null.y null null]"
+
+
+def test_clauses_that_no_walker_enters(spark):
+    """Columns under HAVING, ORDER BY or a table reference belong to no clause; under FROM they do."""
+    column = ("TOK_TABLE_OR_COL", None, [("id", "c", [])])
+    tree = ("TOK_QUERY", None, [
+        ("TOK_FROM", None, [("TOK_JOIN", None, [
+            ("TOK_TABREF", None, [("TOK_TABNAME", None, [("id", "t", [])]), ("TOK_TABLEBUCKETSAMPLE", None, [column])]),
+            column,
+            column,
+        ])]),
+        ("TOK_INSERT", None, [
+            ("TOK_SELECT", None, [("TOK_SELEXPR", None, [column])]),
+            ("TOK_HAVING", None, [column]),
+            ("TOK_ORDERBY", None, [column]),
+        ]),
+    ])
+    rows = []
+
+    def add(node, path):
+        token, label, below = node
+        rows.append((1, path, len(rows), token, label))
+        for i, child in enumerate(below):
+            add(child, [*path, i])
+
+    add(tree, [0])
+    nodes = spark.createDataFrame(rows, "query_id long, path array<int>, node_order int, token string, text string")
+    got = semantics.clause_of(semantics.analyse(nodes)).collect()
+    found = sorted((r.clause, r.token) for r in got)
+    assert found == [
+        ("FROM", "TOK_TABLE_OR_COL"), ("FROM", "TOK_TABREF"), ("JOIN_ON", "TOK_TABLE_OR_COL"), ("SELEXPR", "TOK_TABLE_OR_COL"),
+    ]
+
+
+def test_missing_job_ids_and_tags_of_two_tables(spark):
+    stages = spark.createDataFrame([(1, None), (2, "j1"), (3, "j9"), (4, None)], "n int, job_id string")
+    jobs = spark.createDataFrame([("j1", 5)], "job_id string, start_time long")
+    got = {r.n: r.job_start for r in runs.stage_job_start(stages, jobs).collect()}
+    assert got == {1: None, 2: 5, 3: None, 4: None}
+    tags = [("counts", "a"), ("gauges", "a"), ("gauges", "b")]
+    registry = spark.createDataFrame(tags, "table_name string, tag string")
+    values = spark.createDataFrame([("counts", "a", 3), ("gauges", "a", 8)], "table_name string, tag string, value long")
+    got = {(r.table_name, r.tag): r.value for r in counters.registry_values(registry, values).collect()}
+    assert got == {("counts", "a"): 3, ("gauges", "a"): 8, ("gauges", "b"): -1}

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wtel.functions import ordered
 
@@ -74,7 +75,7 @@ def test_number_rows_and_running_sum(spark):
         upto = [v for k2, t2, v in rows if k2 == k and t2 <= t]
         assert numbered[k, t] == len(upto)
         assert summed[k, t] == sum(upto)
-    overall = ordered.number_rows(df, [], ["t", "k"], chunk, "n").orderBy("n").collect()
+    overall = ordered.number_all(df, ["t", "k"], "n").orderBy("n").collect()
     assert [(r.t, r.k) for r in overall] == sorted((t, k) for k, t, _ in rows)
     assert [r.n for r in overall] == list(range(1, len(rows) + 1))
 
@@ -87,3 +88,24 @@ def test_rows_are_only_windowed_within_chunks(spark):
     ranked = [line for line in plan.splitlines() if "row_number()" in line and "Window [" in line]
     assert len(ranked) == 1
     assert "[k#" in ranked[0] and "_chunk#" in ranked[0].split("row_number()")[1]
+
+
+def test_as_of_joins_on_key_and_chunk(spark):
+    """No join of ``as_of`` goes by key alone, not even when the key is one constant."""
+    left = spark.createDataFrame([("a", 1)], "k string, t long").withColumn("k", F.lit("a"))
+    right = spark.createDataFrame([("a", 1, 2)], "k string, t long, i int").withColumn("k", F.lit("a"))
+    out = ordered.as_of(left, right, ["k"], ["t"], ordered.position_chunk("t", 3), ["i"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins
+    assert all("_chunk#" in line and ">" not in line.split("Join", 1)[1] for line in joins)
+
+
+def test_numbering_is_balanced_by_rows(spark):
+    """All rows in one instant still go to several tasks."""
+    df = spark.range(4000).select(F.lit(5).alias("t"), "id")
+    ranged = ordered.number_all(df, ["t", "id"], "n")
+    assert [r.id for r in ranged.orderBy("n").limit(5).collect()] == [0, 1, 2, 3, 4]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, "t", "id").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in cut.collect()) < 4000 / parts * 2

@@ -34,7 +34,7 @@ _ENTRIES = f"""
       FROM listed WHERE regexp_matches(name, '{_DIR}')),
     past AS (
       SELECT *, {_la('timestamp', '%Y/%m/%d')} AS day FROM entries
-      WHERE {_la('timestamp', '%Y/%m/%d')} < {_la('930000000000', '%Y/%m/%d')}),
+      WHERE {_la('timestamp', '%Y/%m/%d')} <> (SELECT max({_la('timestamp', '%Y/%m/%d')}) FROM entries)),
     placed AS (
       SELECT *, row_number() OVER (PARTITION BY day ORDER BY timestamp, path) AS i FROM past)"""
 
@@ -154,8 +154,7 @@ _COMMENT = f"""
         CASE WHEN how = 'pos' THEN cast(a.pos AS varchar) || ': ' || a.value ELSE a.value END AS value
       FROM op o JOIN rule r USING (op_type) JOIN oat a ON a.oid = o.oid AND a.attr = r.attr
       LEFT JOIN dirs d ON d.oid = o.oid
-      WHERE a.value <> '' AND NOT (how = 'pos' AND a.pos >= 5)
-        AND NOT (how = 'positive' AND coalesce(try_cast(a.value AS integer), 0) <= 0)
+      WHERE a.value <> '' AND NOT (how = 'positive' AND coalesce(try_cast(a.value AS integer), 0) <= 0)
         AND NOT (how = 'other' AND a.value = d.dir)
         AND NOT (how = 'expr' AND a.kind NOT IN ('field', 'column', 'constant', 'func'))
       UNION ALL
@@ -243,7 +242,7 @@ _TABLES = _RUNS + """,
       WHERE level = 'component'),
     executed AS (SELECT qid, cid, wid, name AS queryString, engine, startTime, endTime FROM all_rows
       WHERE level = 'query'),
-    written AS (SELECT * FROM workflows WHERE wid < 50)"""
+    written AS (SELECT * FROM workflows WHERE wid < (SELECT max(wid) FROM workflows))"""
 
 _MAPRED = """
     mr AS (
@@ -307,7 +306,8 @@ def statements() -> dict[str, str]:
     q["jn9_stage_edges"] = f"WITH {_EDGES} SELECT * FROM edges"
     q["jn10_reachable_stages"] = f"""WITH RECURSIVE {_EDGES},
         reach AS (
-          SELECT query_id, stage_id FROM $stages WHERE stage_no = 1
+          SELECT query_id, stage_id FROM $stages s WHERE NOT EXISTS (SELECT 1 FROM edges e
+            WHERE e.kind = 'dependency' AND e.query_id = s.query_id AND e.to_stage = s.stage_id)
           UNION SELECT e.query_id, e.to_stage FROM reach r JOIN edges e
             ON e.query_id = r.query_id AND e.from_stage = r.stage_id)
         SELECT r.* FROM reach r SEMI JOIN $stages s USING (query_id, stage_id)"""
@@ -348,9 +348,10 @@ def statements() -> dict[str, str]:
     q["agg13_failure_summary"] = f"WITH {_FAILURE} SELECT * FROM failure"
     q["agg14_error_chain"] = """
         WITH lines AS (
-          SELECT query_id, chain_no, frame_no, frame AS line FROM $exceptions
+          SELECT query_id, chain_no, frame_no, frame AS line FROM $exceptions WHERE frame IS NOT NULL
           UNION ALL SELECT DISTINCT query_id, chain_no, 0,
-            'Caused By: ' || class || ', ' || text || ' (' || message || ')' FROM $exceptions)
+            'Caused By: ' || coalesce(class, 'null') || ', ' || coalesce(text, 'null')
+              || ' (' || coalesce(message, 'null') || ')' FROM $exceptions)
         SELECT query_id, string_agg(line, chr(10) ORDER BY chain_no, frame_no) AS stack
         FROM lines GROUP BY query_id"""
     q["agg15_labelled_comment"] = """
@@ -372,8 +373,8 @@ def statements() -> dict[str, str]:
     q["agg18_lineage_report"] = """
         WITH targets AS (
           SELECT query_id, target_table, partition_spec, target_col, max(dep_type) AS dep,
-            string_agg('(' || src_table || ')' || src_alias || '.' || src_col || ' ' || src_type
-              || ' ' || comment, ', ' ORDER BY base_pos) AS sources
+            string_agg('(' || src_table || ')' || coalesce(src_alias, 'null') || '.' || src_col || ' '
+              || src_type || ' ' || coalesce(comment, 'null'), ', ' ORDER BY base_pos) AS sources
           FROM $lineage_edges GROUP BY 1, 2, 3, 4)
         SELECT query_id, 'Lineage: ' || string_agg(target_table
             || coalesce(' PARTITION(' || partition_spec || ')', '') || '.' || target_col || ' ' || dep
@@ -395,6 +396,7 @@ def statements() -> dict[str, str]:
     q["tbl_executed_queries"] = f"WITH {_TABLES} SELECT * FROM executed"
     q["arc1_sort_logsets"] = f"WITH {_ENTRIES} SELECT * FROM entries ORDER BY timestamp, path"
     q["arc2_pack_archives"] = f"WITH RECURSIVE {_PACKED} SELECT path, day, archive_no FROM fold"
+    q["arc2_pack_archives_by_joins"] = q["arc2_pack_archives"]
     q["arc3_archive_manifest"] = f"WITH RECURSIVE {_MANIFEST} SELECT * FROM manifest"
     q["arc4_already_archived"] = f"""WITH RECURSIVE {_MANIFEST}
         SELECT day, archive_no, dest_path, dest_path IN (

@@ -168,7 +168,7 @@ def statements() -> dict[str, str]:
     q["src8_parse_statsd"] = f"WITH {_PACKET} SELECT * FROM good"
     q["snk3_append_metric"] = """
         SELECT node AS nodeAddress, id AS containerId, 'diagnostics' AS MetricsName,
-          record_time AS RecordTime, left(repeat(id || ';', 20), 255) AS Value FROM $containers_flat"""
+          record_time AS RecordTime, repeat(id || ';', 20) AS Value FROM $containers_flat"""
     q["snk4_upsert_tags"] = f"""
         WITH {_PACKET}, {_LAST}
         SELECT table_name, tag, cast(coalesce(value, -1) as varchar) AS value
@@ -185,10 +185,9 @@ def statements() -> dict[str, str]:
     )
     q["jn6_container_delta"] = _delta("$node_apps_flat")
     q["jn7_registry_values"] = f"""
-        WITH {_PACKET}
-        SELECT table_name, tag, coalesce(value, -1) AS value FROM $registry LEFT JOIN (
-          SELECT name AS tag, cast(sum(value) as bigint) AS value FROM good WHERE kind = 'c'
-          GROUP BY name) x USING (tag) WHERE table_name = 'counts'"""
+        WITH {_PACKET}, {_LAST}
+        SELECT table_name, tag, coalesce(value, -1) AS value
+        FROM $registry LEFT JOIN values_now USING (table_name, tag)"""
     q["agg1_counter_totals"] = f"""
         WITH {_PACKET} SELECT name, cast(sum(value) as bigint) AS value
         FROM good WHERE kind = 'c' GROUP BY name"""

@@ -12,7 +12,7 @@ _SIGNS = "('=', '<=', '>=', '<', '>', '!=', '<>')"
 
 # kid(q, parent, pos) and up(node, ancestor) relations, clauses by smallest depth.
 _BASE = f"""
-    node AS (
+    node AS MATERIALIZED (
       SELECT query_id AS q, path AS p, len(path) AS d, node_order AS o, token, text,
         path[1:len(path) - 1] AS par, path[len(path)] AS pos FROM $ast_nodes),
     cand AS (
@@ -22,7 +22,7 @@ _BASE = f"""
       SELECT q, p, d, token, text FROM node
       WHERE token IN ('TOK_SELEXPR', 'TOK_WHERE', 'TOK_GROUPBY', 'TOK_FUNCTION')
         OR token IN {_JOINS} OR text IN {_SIGNS} OR text IN ('.', '[')),
-    up AS (
+    up AS MATERIALIZED (
       SELECT c.q, c.o, c.p AS cp, m.p AS mp, m.d AS md, m.token AS mtoken, m.text AS mtext,
         c.p[m.d + 1] AS via
       FROM cand c JOIN mark m ON c.q = m.q AND m.d < c.d AND c.p[1:m.d] = m.p),
@@ -31,13 +31,18 @@ _BASE = f"""
         arg_min(mp, md) AS mp FROM up
       WHERE mtoken IN ('TOK_SELEXPR', 'TOK_WHERE', 'TOK_GROUPBY') OR (mtoken IN {_JOINS} AND via = 2)
       GROUP BY q, o),
-    claused AS (
-      SELECT c.*, ow.md, ow.mp, CASE WHEN ow.token IS NULL THEN 'FROM'
+    below AS (
+      SELECT c.q, c.o, bool_or(n.token = 'TOK_FROM') AS from_above, bool_or(n.token = 'TOK_TABREF') AS table_above
+      FROM cand c JOIN node n ON n.q = c.q AND n.d < c.d AND c.p[1:n.d] = n.p
+      WHERE n.token IN ('TOK_FROM', 'TOK_TABREF') GROUP BY c.q, c.o),
+    claused AS MATERIALIZED (
+      SELECT c.*, ow.md, ow.mp, CASE WHEN ow.token IS NULL THEN
+          CASE WHEN b.from_above AND NOT b.table_above THEN 'FROM' END
         WHEN ow.token = 'TOK_GROUPBY' THEN 'GROUPBY'
         WHEN ow.token = 'TOK_SELEXPR' THEN CASE WHEN ow.via = 0 THEN 'SELEXPR' END
         WHEN ow.token = 'TOK_WHERE' THEN CASE WHEN ow.via = 0 THEN 'WHERE' END
         ELSE 'JOIN_ON' END AS clause
-      FROM cand c LEFT JOIN owner ow USING (q, o)),
+      FROM cand c LEFT JOIN owner ow USING (q, o) LEFT JOIN below b USING (q, o)),
     ref AS (
       SELECT t.q, t.o, nm.text AS tab, count(k.q) AS n, arg_max(k.token, k.pos) AS last_token,
         arg_max(k.text, k.pos) AS last_text, max(CASE WHEN k.pos = 1 THEN k.token END) AS second,
@@ -96,7 +101,7 @@ _BASE = f"""
     named AS (
       SELECT c.q, c.o, arg_max(m.tab, m.o) AS tab FROM col c
       JOIN means m ON m.q = c.q AND m.ref = c.ref AND m.o < c.o GROUP BY c.q, c.o),
-    fact AS (
+    fact AS MATERIALIZED (
       SELECT c.q AS queryId, c.o, c.clause, coalesce(named.tab, 'null') AS tabName,
         c.name AS colName, coalesce(br.via = 0, false) AS isArray,
         fun.dim IS NOT NULL AS isDimLookup,

@@ -18,7 +18,6 @@ from wtel.sources import logs
 Query = Callable[[SparkSession, str], DataFrame]
 BASE = "/base/analyzed"
 MAX_BYTES = 2_000_000
-NOW_MS = 930_000_000_000  # a day in the middle of the listing
 
 
 def _v(name: str) -> Query:
@@ -34,7 +33,9 @@ def _entries(s: SparkSession, d: str) -> DataFrame:
 
 
 def _before_now(s: SparkSession, d: str) -> DataFrame:
-    return archive.exclude_today(_entries(s, d), NOW_MS)
+    """Entries as seen on the listing's last day."""
+    now = _entries(s, d).agg(F.max("timestamp")).first()[0]
+    return archive.exclude_today(_entries(s, d), now)
 
 
 def _packed(s: SparkSession, d: str) -> DataFrame:
@@ -120,7 +121,8 @@ def _run_table(name: str) -> Query:
 def _written(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     t = runs.run_tables(events(s, d))
     # the newest workflow is still running, so its own row is not written yet
-    return t["workflows"].where("wid < 50"), t["components"], t["executedQueries"]
+    newest = t["workflows"].agg(F.max("wid").alias("wid"))
+    return t["workflows"].join(newest, "wid", "left_anti"), t["components"], t["executedQueries"]
 
 
 QUERIES: dict[str, Query] = {
@@ -177,7 +179,7 @@ QUERIES: dict[str, Query] = {
     "jn8_root_stages": lambda s, d: plan_nodes.root_stages(stages(s, d)),
     "jn9_stage_edges": lambda s, d: plan_nodes.stage_edges(stages(s, d)),
     "jn10_reachable_stages": lambda s, d: plan_nodes.reachable_stages(
-        stages(s, d), stages(s, d).where("stage_no = 1")
+        stages(s, d), plan_nodes.root_stages(stages(s, d))
     ),
     "agg5_last_ids": lambda s, d: runs.last_ids(*_written(s, d)),
     "agg6_current_query_id": lambda s, d: runs.current_query_id(*_written(s, d)),
@@ -207,6 +209,9 @@ QUERIES: dict[str, Query] = {
     "tbl_executed_queries": _run_table("executedQueries"),
     "arc1_sort_logsets": lambda s, d: archive.sort_logsets(_entries(s, d)),
     "arc2_pack_archives": lambda s, d: _packed(s, d).select("path", "day", "archive_no"),
+    "arc2_pack_archives_by_joins": lambda s, d: archive.pack_archives(
+        _before_now(s, d), MAX_BYTES, by_joins=True
+    ).select("path", "day", "archive_no"),
     "arc3_archive_manifest": _manifest,
     "arc4_already_archived": _arc4,
     "arc5_archive_report": _arc5,

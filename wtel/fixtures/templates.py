@@ -214,7 +214,7 @@ PLANS: list[list[tuple]] = [
             ("key", "k2", "column", "b"), ("numReducers", "-1")]),
         ("Stage-1", "REDUCE", "JOIN_6", None, "JOIN", "", [
             ("cond", "Inner Join 0 to 1"), ("cond", "Left Outer Join1 to 2"),
-            ("filterString@1", "(c = #)"), ("filterString@7", "unseen"), ("skew", "false"),
+            ("filterString@1", "(c = #)"), ("filterString@7", "(d = #)"), ("skew", "false"),
             ("outputCol", "_col0"), ("outputCol", "_col1"), ("filterMap@0", "[1, 1]"),
             ("nullSafe", "[true]")]),
         ("Stage-1", "REDUCE", "SEL_7", "JOIN_6", "SELECT", "", [

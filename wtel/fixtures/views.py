@@ -377,7 +377,11 @@ def _views(d: Dialect) -> dict[str, str]:
         FROM $lines WHERE l_orderkey % 5 = 0
         UNION ALL SELECT l_orderkey, 1, ln, 'Timeout', 'net.Timeout: slow', 'slow',
           'pkg.Net.wait:Net.java:' || {num('l_partkey')}
-        FROM $lines WHERE l_orderkey % 10 = 0"""
+        FROM $lines WHERE l_orderkey % 10 = 0
+        UNION ALL SELECT l_orderkey, 2, ln, 'Closed', 'io.Closed', NULL, 'pkg.Pool.take:Pool.java:7'
+        FROM $lines WHERE l_orderkey % 15 = 0
+        UNION ALL SELECT l_orderkey, 3, 1, 'Root', NULL, 'no frames', NULL
+        FROM $lines WHERE l_orderkey % 20 = 0 AND ln = 1"""
 
     # --- table descriptions and lineage --------------------------------------------------
     v["table_columns"] = f"""
@@ -398,8 +402,8 @@ def _views(d: Dialect) -> dict[str, str]:
           CASE (l_suppkey + l_partkey % 3) % 3 WHEN 0 THEN 'SIMPLE' WHEN 1 THEN 'EXPRESSION'
             ELSE 'SCRIPT' END AS dep_type,
           ln AS base_pos, 'src' || {num('l_linenumber')} AS src_table,
-          'a' || {num('l_linenumber')} AS src_alias, 'c' || {num('l_partkey')} AS src_col,
-          'string' AS src_type, 'note ' || l_returnflag AS comment
+          CASE WHEN l_suppkey % 5 > 0 THEN 'a' || {num('l_linenumber')} END AS src_alias, 'c' || {num('l_partkey')} AS src_col,
+          'string' AS src_type, CASE WHEN l_partkey % 4 > 0 THEN 'note ' || l_returnflag END AS comment
         FROM $lines"""
 
     # --- record directories --------------------------------------------------------------
@@ -488,7 +492,9 @@ SPARK_VIEWS = _views(SPARK)
 DUCK_VIEWS = _views(DUCK)
 
 
-def with_views(views: dict[str, str], table: Callable[[str], str], body: str) -> str:
+def with_views(
+    views: dict[str, str], table: Callable[[str], str], body: str, materialized: bool = False
+) -> str:
     """``body`` as one statement, every view it needs (directly or not) as a common table."""
     done: dict[str, str] = {}
 
@@ -506,7 +512,8 @@ def with_views(views: dict[str, str], table: Callable[[str], str], body: str) ->
     main = resolve(body)
     if not done:
         return main
-    ctes = ", ".join(f"v_{n} AS ({t})" for n, t in done.items())
+    kept = "AS MATERIALIZED" if materialized else "AS"
+    ctes = ", ".join(f"v_{n} {kept} ({t})" for n, t in done.items())
     stripped = main.lstrip()
     if stripped[:5].upper() == "WITH " and stripped[5:14].upper() != "RECURSIVE":
         return f"WITH {ctes}, {stripped[5:]}"
@@ -515,27 +522,22 @@ def with_views(views: dict[str, str], table: Callable[[str], str], body: str) ->
     return f"WITH {ctes} {main}"
 
 
-# The tables whose rows are multiplied by the views.
-_WIDELY_USED = ("orders", "lineitem", "events")
+#: Folders of views that have been written once, by table folder and name (see ``land``).
+LANDED: dict[tuple[str, str], str] = {}
 
 
 def _spark_table(spark: SparkSession, sf_dir: str, table: str) -> str:
-    """Name of a temporary view over a given table.
-
-    A table that comes in fewer splits than there are cores is spread first, as landed telemetry
-    comes in many files. At scale the table has more splits than that and is read as it is.
-    """
+    """Name of a temporary view over a given table."""
     name = f"wtel_{table}_{zlib.crc32(sf_dir.encode())}"
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if table in _WIDELY_USED and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
     df.createOrReplaceTempView(name)
     return name
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a Spark DataFrame over the tables in ``sf_dir``."""
+    if (sf_dir, name) in LANDED:
+        return spark.read.parquet(LANDED[sf_dir, name])
     tables: dict[str, str] = {}
 
     def table(t: str) -> str:
@@ -546,6 +548,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(with_views(SPARK_VIEWS, table, f"SELECT * FROM ${name}"))
 
 
+def land(spark: SparkSession, sf_dir: str, name: str, folder: str) -> None:
+    """Write a view once; from then on ``view`` reads it, as a collector's landed files are read."""
+    path = f"{folder}/{name}"
+    view(spark, sf_dir, name).write.parquet(path)
+    LANDED[sf_dir, name] = path
+
+
 def duck(body: str) -> str:
     """An oracle statement with the views it needs."""
-    return with_views(DUCK_VIEWS, lambda t: t, body)
+    return with_views(DUCK_VIEWS, lambda t: t, body, materialized=True)

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wtel.sinks.staging import staged
+
 POLL_CHUNK = 512
 
 
@@ -109,9 +111,9 @@ def as_of(
     """Add to each left row the values of the latest right row of its key at or before its order.
 
     Both sides have the key and order columns; ``chunk`` is computed from them. A left row sees a
-    right row with the same order. Inside a chunk one window over both sides finds the value. The
-    last right row of every chunk is kept aside and serves the left rows of later chunks, up to and
-    including the next chunk that has a right row of its own.
+    right row with the same order. Inside a chunk one window over both sides finds the value. Every
+    chunk of either side also learns the last right row of the chunks before it, and the rows meet that
+    summary on key and chunk, so that no row is compared with more than one.
     """
     names = left.columns
     packed = F.struct(*values)
@@ -126,21 +128,12 @@ def as_of(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = both.withColumn("_here", F.last("_v", ignorenulls=True).over(inside)).where("_side = 1")
-    heads = r.groupBy(*keys, "_chunk").agg(F.max_by("_v", F.struct(*order)).alias("_head"))
-    ranges = heads.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        "_head",
-        F.col("_chunk").alias("_from"),
-        F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_to"),
-    )
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_k_{k}"))
-    later = (F.col("_chunk") > F.col("_from")) & (
-        F.col("_to").isNull() | (F.col("_chunk") <= F.col("_to"))
-    )
-    value = F.coalesce("_here", "_head")
-    return local.join(ranges, same & later, "left").select(
+    at = F.when(F.col("_v").isNotNull(), F.struct(*order))
+    heads = both.groupBy(*keys, "_chunk").agg(F.max_by("_v", at).alias("_head"))
+    before = F.last("_head", ignorenulls=True).over(_earlier_chunks(keys)).alias("_before")
+    carried = heads.select(*keys, "_chunk", before).where("_before is not null")
+    value = F.coalesce("_here", "_before")
+    return local.join(carried, [*keys, "_chunk"], "left").select(
         *names, *[value[v].alias(v) for v in values]
     )
 
@@ -148,8 +141,23 @@ def as_of(
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str
 ) -> DataFrame:
-    """Number the rows of each key 1, 2, ... in order; an empty key list numbers the whole frame."""
+    """Number the rows of each key 1, 2, ... in order."""
     src = df.withColumn("_chunk", chunk)
+    return _numbered(src, keys, order, name).select(*df.columns, name)
+
+
+def number_all(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Number all rows of the frame 1, 2, ... in order.
+
+    The rows are cut into ranges of about equal size, whatever their times are, and written once, so
+    that the counts per range and the numbers inside the ranges see the same cut.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn("_chunk", F.spark_partition_id())
+    return _numbered(staged(ranged, "ranges"), [], order, name).select(*df.columns, name)
+
+
+def _numbered(src: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     offsets = (
         src.groupBy(*keys, "_chunk")
@@ -159,7 +167,7 @@ def number_rows(
     )
     out = src.withColumn("_rn", F.row_number().over(inside)).join(offsets, [*keys, "_chunk"], "left")
     number = F.col("_rn").cast("long") + F.coalesce("_offset", F.lit(0).cast("long"))
-    return out.select(*df.columns, number.alias(name))
+    return out.withColumn(name, number)
 
 
 def running_sum(

@@ -19,8 +19,6 @@ from wtel.functions.zones import archive_day, archive_path
 from wtel.sinks.staging import staged
 
 MINUTE_MS = 60_000
-# A day with more entries than this is packed by joins instead of by one task.
-FOLD_LIMIT = 500_000
 
 
 def sort_logsets(entries: DataFrame) -> DataFrame:
@@ -29,9 +27,12 @@ def sort_logsets(entries: DataFrame) -> DataFrame:
 
 
 def exclude_today(entries: DataFrame, now_ms: int) -> DataFrame:
-    """Entries of archive days before the day of ``now_ms``; adds the column ``day``."""
+    """Entries of other archive days than the day of ``now_ms``; adds the column ``day``.
+
+    Entries of later days, as a clock that runs ahead makes them, stay.
+    """
     return with_once(entries, {"day": archive_day("timestamp")}).where(
-        F.col("day") < archive_day(F.lit(now_ms).cast("long"))
+        F.col("day") != archive_day(F.lit(now_ms).cast("long"))
     )
 
 
@@ -124,24 +125,16 @@ def _pack_by_jumps(entries: DataFrame, cap: int) -> DataFrame:
     return numbered.select(*entries.columns, F.col("archive_no").cast("long").alias("archive_no"))
 
 
-def pack_archives(
-    entries: DataFrame, max_bytes: int, fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
+def pack_archives(entries: DataFrame, max_bytes: int, by_joins: bool = False) -> DataFrame:
     """Add ``archive_no``: in time order within each day, an archive takes entries while their bytes
     stay below half of ``max_bytes``; an entry too large for that stands alone.
 
-    ``entries`` has the column ``day``. Days with at most ``fold_limit`` entries are each packed in
-    one pass of one task; larger days are packed with joins.
+    ``entries`` has the column ``day``. A day is packed in one linear pass of one task that holds only
+    the open archive, or with ``by_joins`` by joins that spread every day over many tasks. Both
+    give the same numbers at any size.
     """
-    cap = max_bytes // 2
-    large = staged(
-        entries.groupBy("day").count().where(F.col("count") > fold_limit).select("day"), "days"
-    )
-    if large.isEmpty():
-        return _pack_by_fold(entries, cap)
-    rest = entries.join(large, "day", "left_anti").select(*entries.columns)
-    heavy = entries.join(large, "day", "left_semi").select(*entries.columns)
-    return _pack_by_fold(rest, cap).unionByName(_pack_by_jumps(heavy, cap))
+    pack = _pack_by_jumps if by_joins else _pack_by_fold
+    return pack(entries, max_bytes // 2)
 
 
 def archive_manifest(packed: DataFrame, archive_root: str = "/archive") -> DataFrame:

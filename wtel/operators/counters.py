@@ -24,10 +24,13 @@ def gauge_latest(packets: DataFrame) -> DataFrame:
 
 
 def registry_values(registry: DataFrame, values: DataFrame) -> DataFrame:
-    """Every registered tag with its current value; one that was never seen has -1."""
-    return registry.join(
-        values.select(F.col("name").alias("tag"), "value"), "tag", "left"
-    ).select("table_name", "tag", F.coalesce("value", F.lit(-1)).alias("value"))
+    """Every registered tag with its current value; one that was never seen has -1.
+
+    ``values`` has (table_name, tag, value): a counter and a gauge of one name are different tags.
+    """
+    return registry.join(values.select("table_name", "tag", "value"), ["table_name", "tag"], "left").select(
+        "table_name", "tag", F.coalesce("value", F.lit(-1)).alias("value")
+    )
 
 
 def tag_values(packets: DataFrame) -> DataFrame:
@@ -47,9 +50,7 @@ def tag_values(packets: DataFrame) -> DataFrame:
 
 def current_tags(registry: DataFrame, values: DataFrame) -> DataFrame:
     """The ``counts`` and ``gauges`` tag tables, values as text; -1 for a tag without one."""
-    return registry.join(values, ["table_name", "tag"], "left").select(
-        "table_name", "tag", F.coalesce("value", F.lit(-1)).cast("string").alias("value")
-    )
+    return registry_values(registry, values).withColumn("value", F.col("value").cast("string"))
 
 
 def scheduler_totals(queues: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wtel.functions.ordered import as_of, fill, number_rows, position_chunk, time_chunk
+from wtel.functions.ordered import as_of, fill, number_all, number_rows, position_chunk, time_chunk
 from wtel.functions.text import joined_or_empty
 from wtel.plans.plan_nodes import mapred_stages
 from wtel.sinks.staging import staged
@@ -25,7 +25,7 @@ def assign_ids(events: DataFrame, last_wid: int = 0) -> DataFrame:
     def numbered(level: str, keys: list[str], name: str) -> DataFrame:
         return number_rows(started.where(F.col("level") == level), keys, ["ts", "key"], hour, name)
 
-    flows = numbered("workflow", [], "n").select(
+    flows = number_all(started.where("level = 'workflow'"), ["ts", "key"], "n").select(
         F.col("key").alias("flow"), (F.col("n") + F.lit(last_wid)).alias("wid")
     )
     parts = (
@@ -105,14 +105,14 @@ def current_query_id(
     """Identifiers of what is running now: one past the last written workflow, then one past the last
     written component of that workflow, then one past the last written query of that component."""
 
-    def next_of(df: DataFrame, name: str) -> int:
-        return df.agg(F.coalesce(F.max(name), F.lit(0)) + 1).first()[0]
+    def following(last: str) -> Column:
+        return (F.coalesce(last, F.lit(0)) + 1).cast("long")
 
-    wid = next_of(workflows, "wid")
-    cid = next_of(components.where(F.col("wid") == wid), "cid")
-    qid = next_of(queries.where((F.col("wid") == wid) & (F.col("cid") == cid)), "qid")
-    one = workflows.sparkSession.range(1)
-    return one.select(*[F.lit(v).cast("long").alias(n) for n, v in (("wid", wid), ("cid", cid), ("qid", qid))])
+    top = workflows.agg(F.max("wid").alias("_w")).select(following("_w").alias("wid"))
+    mid = components.groupBy("wid").agg(F.max("cid").alias("_c"))
+    low = queries.groupBy("wid", "cid").agg(F.max("qid").alias("_q"))
+    running = top.join(mid, "wid", "left").select("wid", following("_c").alias("cid"))
+    return running.join(low, ["wid", "cid"], "left").select("wid", "cid", following("_q").alias("qid"))
 
 
 def stage_to_job(stages: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -139,8 +139,13 @@ def attribute_to_query(stages: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def stage_job_start(stages: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Stages with the start time of their job; null if the job is unknown."""
-    return stages.join(jobs.withColumnRenamed("start_time", "job_start"), "job_id", "left")
+    """Stages with the start time of their job; null if the job is unknown.
+
+    Stages without a job do not take part in the join: they would all meet in one task.
+    """
+    starts = jobs.withColumnRenamed("start_time", "job_start")
+    found = stages.where("job_id is not null").join(starts, "job_id", "left")
+    return found.unionByName(stages.where("job_id is null"), allowMissingColumns=True)
 
 
 def stage_end_times(stages: DataFrame, jobs: DataFrame) -> DataFrame:

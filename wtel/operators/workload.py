@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wtel.functions.ordered import number_rows, time_chunk
+from wtel.functions.ordered import number_all
 from wtel.functions.text import WATCHED_TABLES, query_class
 from wtel.functions.zones import epoch_ms
 
-DAY_MS = 86_400_000
 
 
 def classify(log: DataFrame, watched: Sequence[str] = WATCHED_TABLES) -> DataFrame:
@@ -33,7 +32,7 @@ def class_counts(log: DataFrame, watched: Sequence[str] = WATCHED_TABLES) -> Dat
 def register_queries(log: DataFrame, last_id: int = 0) -> DataFrame:
     """Number queries in start order after ``last_id``: the ``queries`` table."""
     timed = log.withColumn("_ms", epoch_ms(F.col("start_time")))
-    numbered = number_rows(timed, [], ["_ms", "query_id"], time_chunk("_ms", DAY_MS), "_no")
+    numbered = number_all(timed, ["_ms", "query_id"], "_no")
     return numbered.select(
         "query_id",
         (F.col("_no") + F.lit(last_id)).alias("queryId"),

@@ -199,8 +199,6 @@ def _value(attr: str) -> Column:
 def _shown(attr: str, show: str) -> Column:
     """Values of an attribute as they appear in a comment."""
     found = F.filter(_named(attr), lambda a: F.coalesce(a["value"], F.lit("")) != "")
-    if show == AFTER_POSITION:
-        found = F.filter(found, lambda a: a["pos"] < 5)
     if show == IF_POSITIVE:
         found = F.filter(found, lambda a: F.coalesce(a["value"].try_cast("int") > 0, F.lit(False)))
 
@@ -405,9 +403,14 @@ def failure_summary(stages: DataFrame) -> DataFrame:
 
 
 def error_chain(frames: DataFrame) -> DataFrame:
-    """Stack frames of each query's error as lines, every cause under a heading of its own."""
+    """Stack frames of each query's error as lines, every cause under a heading of its own.
+
+    A part of a heading that is missing reads null. A cause without frames is one row with a null
+    frame and has its heading only.
+    """
+    part = {c: F.coalesce(c, F.lit("null")) for c in ("class", "text", "message")}
     heading = F.concat(
-        F.lit("Caused By: "), "class", F.lit(", "), "text", F.lit(" ("), "message", F.lit(")")
+        F.lit("Caused By: "), part["class"], F.lit(", "), part["text"], F.lit(" ("), part["message"], F.lit(")")
     )
     rows = frames.groupBy("query_id").agg(
         F.array_sort(
@@ -449,10 +452,14 @@ def table_profile(cols: DataFrame) -> DataFrame:
 
 
 def lineage_report(edges: DataFrame) -> DataFrame:
-    """Where each written column comes from, one text per query with a line per target column."""
+    """Where each written column comes from, one text per query with a line per target column.
+
+    A missing part of a source reads null.
+    """
+    parts = ("src_table", "src_alias", "src_col", "src_type", "comment")
+    table, alias, column, kind, comment = (F.coalesce(c, F.lit("null")) for c in parts)
     source = F.concat(
-        F.lit("("), "src_table", F.lit(")"), "src_alias", F.lit("."), "src_col", F.lit(" "),
-        "src_type", F.lit(" "), "comment",
+        F.lit("("), table, F.lit(")"), alias, F.lit("."), column, F.lit(" "), kind, F.lit(" "), comment
     )
     target = ["query_id", "target_table", "partition_spec", "target_col"]
     lines = edges.groupBy(*target).agg(

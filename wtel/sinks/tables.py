@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from wtel import schemas
 
-# Fixed value: longest stored value of a container metric.
-MAX_CONTAINER_VALUE = 255
-
 
 def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
@@ -35,20 +32,18 @@ def append_rows(df: DataFrame, root: str, table: str, fmt: str = "parquet") -> N
     conform(df, table).write.mode("append").format(fmt).save(table_path(root, table))
 
 
-def cut_value(value: str | Column = "Value") -> Column:
-    return F.substring(value, 1, MAX_CONTAINER_VALUE)
-
-
-def metric_rows(df: DataFrame, table: str) -> DataFrame:
-    """Rows of a long metric table as stored: container values are cut to their longest length."""
-    if table == "nodes_containers_metrics":
-        df = df.withColumn("Value", cut_value())
+def metric_rows(df: DataFrame, table: str, longest: int | None = None) -> DataFrame:
+    """Rows of a long metric table as stored; values are whole unless a longest length is given."""
+    if longest is not None:
+        df = df.withColumn("Value", F.substring("Value", 1, longest))
     return conform(df, table)
 
 
-def append_metric(df: DataFrame, root: str, table: str, fmt: str = "parquet") -> None:
+def append_metric(
+    df: DataFrame, root: str, table: str, fmt: str = "parquet", longest: int | None = None
+) -> None:
     """Append to a long metric table."""
-    metric_rows(df, table).write.mode("append").format(fmt).save(table_path(root, table))
+    metric_rows(df, table, longest).write.mode("append").format(fmt).save(table_path(root, table))
 
 
 def initial_tags(registry: DataFrame) -> DataFrame:
