@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from wtel.llm.common import join_small, mixed, remainder_is, sampled, slices, staged, text_hashes
 
 #: Labelled texts of each class that the machine is fitted on at most.
-PER_CLASS = 8000
+PER_CLASS = 4000
 #: Terms of the machine at most, texts a term must be in, least chi-square of a term and the label.
-TERMS, MIN_TEXTS, CHI_SQUARE = 1 << 14, 4, 12.0
+TERMS, MIN_TEXTS, CHI_SQUARE = 1 << 11, 4, 12.0
 #: Beginnings of words that are terms too, for endings that were not learnt.
 PREFIXES = (4, 5, 6)
-FACTORS, PENALTY, FACTOR_PENALTY, RATE, ROUNDS = 8, 1e-4, 1e-3, 0.1, 300
+FACTORS, PENALTY, FACTOR_PENALTY, RATE, ROUNDS = 8, 1e-4, 1e-3, 0.1, 150
 MODULUS, REMAINDER, PREDICTED = 3, 1, 0.7
 #: Punctuation around words.
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|/\\-_=+~`«»„“”‚‘’…¡¿"
