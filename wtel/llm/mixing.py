@@ -24,6 +24,8 @@ TOTAL, MOST = 1.5, 2
 #: Parts of one copy that the flow prices separately, so that patterns of equal cost share a load.
 STEPS = 4
 SEED = "mix-1"
+#: Units of a pattern that fill what the seeded prefix leaves open.
+FILLS = 3
 #: Hex digits of the seeded order that cut a pattern into slices (16 ** digits).
 DIGITS = 3
 
@@ -140,8 +142,8 @@ def _plan(totals: list, weights: Sequence[float], total: float, most: int) -> tu
 
 
 def _chosen(units: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Units with ``copies``. The rest of a pattern goes to a prefix of its seeded order and to one
-    more unit, of those left the one that fits best what the prefix leaves open.
+    """Units with ``copies``. The rest of a pattern goes to a prefix of its seeded order and to a few
+    more units, each the one that fits best what is left open.
 
     The prefix is found by slices: sums of whole slices first, rows only in the slice that holds
     the cut. So the window over rows sees one of 4096 slices of a pattern.
@@ -164,25 +166,27 @@ def _chosen(units: DataFrame, patterns: DataFrame) -> DataFrame:
         .drop("until")
         .unionByName(placed.where(~cut).withColumn("taken", whole.cast("int")))
     )
-    marked = staged(marked, "marked")
-    had = marked.groupBy("members").agg(
-        (F.first("rest") - F.sum(F.col("taken") * F.col("tokens"))).alias("open")
-    )
+    for _ in range(FILLS):
+        marked = _filled(staged(marked, "marked"))
+    copies = F.when(F.col("tokens") > 0, F.col("copies") + F.col("taken")).otherwise(0)
+    return marked.select("doc_id", "members", "size", copies.alias("copies"))
+
+
+def _filled(marked: DataFrame) -> DataFrame:
+    """Take the unit of each pattern that fits best what its taken units leave open."""
+    had = marked.groupBy("members").agg((F.first("rest") - F.sum(F.col("taken") * F.col("tokens"))).alias("open"))
     gap = F.abs(F.col("open") - F.col("tokens"))
+    best = F.min(F.struct(gap.alias("gap"), "order", F.struct("doc_id", "size").alias("unit"))).alias("best")
     more = (
         marked.where("taken = 0 AND tokens > 0")
-        .join(F.broadcast(had), key)
+        .join(F.broadcast(had), "members")
         .where(gap < F.col("open"))
         .groupBy("members")
-        .agg(F.min(F.struct(gap.alias("gap"), "order", F.struct("doc_id", "size").alias("unit"))).alias("best"))
+        .agg(best)
         .select("members", F.col("best.order").alias("order"), F.col("best.unit").alias("unit"), F.lit(1).alias("more"))
     )
-    unit = F.struct("doc_id", "size")
-    return (
-        marked.withColumn("unit", unit)
-        .join(F.broadcast(more), ["members", "order", "unit"], "left")
-        .select("doc_id", "members", "size", (F.col("copies") + F.col("taken") + F.coalesce("more", F.lit(0))).alias("copies"))
-    )
+    found = marked.withColumn("unit", F.struct("doc_id", "size")).join(F.broadcast(more), ["members", "order", "unit"], "left")
+    return found.withColumn("taken", F.col("taken") + F.coalesce("more", F.lit(0))).select(*marked.columns)
 
 
 def mix(

@@ -124,6 +124,17 @@ def _url_sql() -> str:
 
 
 def _mix_sql() -> str:
+    fills = "".join(
+        f""",
+        opened{k} AS (SELECT source, (any_value(rest) - coalesce(sum(tokens) FILTER (WHERE taken), 0))::BIGINT AS gap FROM run{k} GROUP BY source),
+        best{k} AS MATERIALIZED (SELECT source, doc_id, size FROM (SELECT r.*, row_number() OVER (PARTITION BY r.source
+            ORDER BY abs(o.gap - r.tokens), r.ord, r.doc_id NULLS FIRST, r.size) AS k
+            FROM run{k} r JOIN opened{k} o ON r.source IS NOT DISTINCT FROM o.source
+            WHERE NOT r.taken AND r.tokens > 0 AND abs(o.gap - r.tokens) < o.gap) WHERE k = 1),
+        run{k + 1} AS MATERIALIZED (SELECT r.* REPLACE (r.taken OR b.size IS NOT NULL AS taken) FROM run{k} r LEFT JOIN best{k} b
+            ON b.doc_id IS NOT DISTINCT FROM r.doc_id AND b.source IS NOT DISTINCT FROM r.source AND b.size = r.size)"""
+        for k in range(mixing.FILLS)
+    )
     weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS))
     return f"""
         WITH sized AS MATERIALIZED (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -141,17 +152,12 @@ def _mix_sql() -> str:
         aimed AS MATERIALIZED (SELECT source, source_size, least(cap::DOUBLE, (SELECT best_lv FROM chosen) * w) AS target FROM ranked),
         planned AS MATERIALIZED (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target)::BIGINT // source_size END AS copies,
             CASE WHEN source_size = 0 THEN 0 ELSE floor(target)::BIGINT % source_size END AS rest FROM aimed),
-        run AS MATERIALIZED (SELECT u.*, p.source_size, p.target, p.copies, p.rest,
+        run0 AS MATERIALIZED (SELECT u.*, p.source_size, p.target, p.copies, p.rest,
             sum(tokens) OVER (PARTITION BY u.source ORDER BY ord, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) <= p.rest AS taken
-            FROM unit u JOIN planned p ON u.source IS NOT DISTINCT FROM p.source),
-        opened AS (SELECT source, (any_value(rest) - coalesce(sum(tokens) FILTER (WHERE taken), 0))::BIGINT AS gap FROM run GROUP BY source),
-        best AS (SELECT source, doc_id, size FROM (SELECT r.*, row_number() OVER (PARTITION BY r.source
-            ORDER BY abs(o.gap - r.tokens), r.ord, r.doc_id NULLS FIRST, r.size) AS k
-            FROM run r JOIN opened o ON r.source IS NOT DISTINCT FROM o.source
-            WHERE NOT r.taken AND r.tokens > 0 AND abs(o.gap - r.tokens) < o.gap) WHERE k = 1)
-        SELECT s.doc_id, s.size, r.source_size, r.target, ((r.copies + r.taken::INT + (b.size IS NOT NULL)::INT) * s.size)::BIGINT AS taken
-        FROM sized s JOIN run r ON s.doc_id IS NOT DISTINCT FROM r.doc_id AND s.source IS NOT DISTINCT FROM r.source AND s.size = r.size
-        LEFT JOIN best b ON b.doc_id IS NOT DISTINCT FROM s.doc_id AND b.source IS NOT DISTINCT FROM s.source AND b.size = s.size"""
+            FROM unit u JOIN planned p ON u.source IS NOT DISTINCT FROM p.source)
+        {fills}
+        SELECT s.doc_id, s.size, r.source_size, r.target, CASE WHEN s.size = 0 THEN 0 ELSE (r.copies + r.taken::INT) * s.size END::BIGINT AS taken
+        FROM sized s JOIN run{mixing.FILLS} r ON s.doc_id IS NOT DISTINCT FROM r.doc_id AND s.source IS NOT DISTINCT FROM r.source AND s.size = r.size"""
 
 
 STATEMENTS = {
