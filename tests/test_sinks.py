@@ -30,14 +30,16 @@ def test_ensure_append_and_reject(spark, tmp_path):
     assert stored_missing.columns == ["queryId", "queryString"]
 
 
-def test_container_values_are_cut(spark, tmp_path):
+def test_container_values_are_whole_unless_asked(spark, tmp_path):
     row = [("n", "c", "diagnostics", 1, "x" * 300), ("n", "c", "state", 1, "y" * 255)]
     df = spark.createDataFrame(
         row, "nodeAddress string, containerId string, MetricsName string, RecordTime long, Value string"
     )
-    tables.append_metric(df, str(tmp_path), "nodes_containers_metrics")
-    got = spark.read.parquet(str(tmp_path / "nodes_containers_metrics")).collect()
-    assert sorted(len(r.Value) for r in got) == [255, 255]
+    for folder, longest, sizes in (("whole", None, [255, 300]), ("cut", 255, [255, 255])):
+        root = str(tmp_path / folder)
+        tables.append_metric(df, root, "nodes_containers_metrics", longest=longest)
+        got = spark.read.parquet(f"{root}/nodes_containers_metrics").collect()
+        assert sorted(len(r.Value) for r in got) == sizes
 
 
 def test_tags_start_at_zero_and_are_replaced(spark, tmp_path):

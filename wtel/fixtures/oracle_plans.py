@@ -265,7 +265,7 @@ def statements() -> dict[str, str]:
     q["src11_job_start"] = """
         SELECT app, jobId, startTime, s1 || ',' || s2 || ',' || s3 AS stageIds FROM $spark_jobs"""
     q["snk5_write_query_info"] = """
-        SELECT query_id, state, top || '/' || state || '/' || query_id || '/' || file AS path
+        SELECT query_id, state, top || '/' || state || '/' || query_id || '/' || file AS path, record
         FROM $query_files WHERE file LIKE 'Hive%'"""
     q["prj3_last_alias"] = """
         SELECT query_id, alias, list_last(string_split(rtrim(alias, ':'), ':')) AS last_alias
@@ -394,6 +394,19 @@ def statements() -> dict[str, str]:
     q["tbl_workflows"] = f"WITH {_TABLES} SELECT * FROM workflows"
     q["tbl_components"] = f"WITH {_TABLES} SELECT * FROM components"
     q["tbl_executed_queries"] = f"WITH {_TABLES} SELECT * FROM executed"
+    q["tbl_spark_stages"] = f"""WITH {_RUNS},
+        listed AS (
+          SELECT app, startTime, jobId, unnest([s1, s2, s3]) AS stageId FROM $spark_jobs),
+        found AS (
+          SELECT s.*, cast(substr(s.app, 4) AS bigint) AS run, coalesce(l.jobId, -1) AS jobId
+          FROM $spark_stages s ASOF LEFT JOIN listed l
+            ON s.app = l.app AND s.stageId = l.stageId AND s.completionTime >= l.startTime)
+        SELECT qid, cid, wid, stageId, jobId, name, numTasks, coalesce(submissionTime, 0) AS submissionTime,
+          completionTime
+        FROM found f ASOF LEFT JOIN qu ON f.run = qu.run AND f.completionTime >= qu.ts"""
+    q["tbl_hive_stages"] = f"""WITH {_RUNS}, timed AS ({q["win3_stage_end_times"]})
+        SELECT qid, cid, wid, stageId, hadoopJobId, dependentChildren, '' AS hiveTaskInfos, startTime, endTime
+        FROM timed JOIN qu ON qu.key % 100 = 1 AND qu.key // 100 = timed.query_id"""
     q["arc1_sort_logsets"] = f"WITH {_ENTRIES} SELECT * FROM entries ORDER BY timestamp, path"
     q["arc2_pack_archives"] = f"WITH RECURSIVE {_PACKED} SELECT path, day, archive_no FROM fold"
     q["arc2_pack_archives_by_joins"] = q["arc2_pack_archives"]
@@ -427,17 +440,22 @@ def statements() -> dict[str, str]:
         WITH {_COMMENT}, {_KEYS}, {_CONST}, {_EDGES}, {_OUTPUT}, {_FAILURE},
         st AS (SELECT query_id, count(*) AS n, string_agg(join_type, ',' ORDER BY stage_id) AS joins
           FROM keyed GROUP BY 1),
-        cm AS (SELECT query_id, sum(length(comment)) AS n FROM commented GROUP BY 1),
+        cm AS (SELECT query_id, string_agg(comment, chr(10) ORDER BY stage_id, seq) AS comments FROM commented GROUP BY 1),
+        ro AS (SELECT query_id, string_agg(stage_id, ',' ORDER BY stage_id) AS roots FROM $stages s
+          WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.kind = 'dependency' AND e.query_id = s.query_id
+            AND e.to_stage = s.stage_id) GROUP BY 1),
+        sk AS ({q["agg14_error_chain"]}), li AS ({q["agg18_lineage_report"]}),
         tb AS (SELECT query_id, string_agg(DISTINCT full_table, ',' ORDER BY full_table) AS tables
           FROM $stage_aliases GROUP BY 1),
         cf AS (SELECT query_id, count(*) AS n FROM const GROUP BY 1),
         ed AS (SELECT query_id, count(*) AS n FROM edges GROUP BY 1)
         SELECT q.query_id, q.query_string, q.end_time, st.n AS n_stages, coalesce(ed.n, 0) AS n_edges,
           coalesce(cf.n, 0) AS n_const_filters, tb.tables, coalesce(st.joins, '') AS join_types,
-          cast(cm.n AS bigint) AS comment_length, output_type, named_output, fail_code
+          coalesce(comments, '') AS comments, roots, stack, details, output_type, named_output, fail_code
         FROM $orders_as_queries q LEFT JOIN st USING (query_id) LEFT JOIN cm USING (query_id)
         LEFT JOIN tb USING (query_id) LEFT JOIN cf USING (query_id) LEFT JOIN ed USING (query_id)
-        LEFT JOIN output USING (query_id) LEFT JOIN failure USING (query_id)"""
+        LEFT JOIN output USING (query_id) LEFT JOIN failure USING (query_id)
+        LEFT JOIN ro USING (query_id) LEFT JOIN sk USING (query_id) LEFT JOIN li USING (query_id)"""
     q["pln4_preferred_record"] = f"""
         SELECT top, query_id, arg_max(record, (file = 'HiveQueryInfo.json')::int * 10 + {rank}) AS record
         FROM $query_files WHERE file LIKE 'Hive%' GROUP BY 1, 2"""

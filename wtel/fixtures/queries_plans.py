@@ -12,7 +12,6 @@ from wtel.functions.text import full_table_name, joined_or_empty, last_alias
 from wtel.functions.zones import archive_path
 from wtel.operators import archive, layout, runs
 from wtel.plans import plan_nodes
-from wtel.sinks import tables
 from wtel.sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,14 +79,15 @@ def _named_queries(s: SparkSession, d: str) -> DataFrame:
 
 def _profile(s: SparkSession, d: str) -> DataFrame:
     record = plan_nodes.query_profile(
-        _named_queries(s, d), ops(s, d), attrs(s, d), aliases(s, d), stages(s, d), view(s, d, "outputs")
+        _named_queries(s, d), ops(s, d), attrs(s, d), aliases(s, d), stages(s, d), view(s, d, "outputs"),
+        view(s, d, "exceptions"), view(s, d, "lineage_edges"),
     )
 
     def size(c: str) -> F.Column:
         return F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0)).alias("n_" + c)
 
     comments = F.transform(
-        F.flatten(F.transform("stages", lambda x: x["operators"])), lambda o: F.length(o["comment"])
+        F.flatten(F.transform("stages", lambda x: x["operators"])), lambda o: o["comment"]
     )
     return record.select(
         "query_id",
@@ -98,9 +98,10 @@ def _profile(s: SparkSession, d: str) -> DataFrame:
         size("const_filters"),
         F.array_join("tables", ",").alias("tables"),
         F.array_join(F.transform("stages", lambda x: x["join_type"]), ",").alias("join_types"),
-        F.aggregate(
-            F.array_compact(comments), F.lit(0).cast("long"), lambda a, x: a + x
-        ).alias("comment_length"),
+        F.array_join(F.array_compact(comments), "\n").alias("comments"),
+        F.array_join("roots", ",").alias("roots"),
+        "stack",
+        "details",
         "output_type",
         "named_output",
         "fail_code",
@@ -136,13 +137,6 @@ QUERIES: dict[str, Query] = {
         "app", "jobId", "startTime",
         F.array_join(F.col("stageIds").cast("array<string>"), ",").alias("stageIds"),
     ),
-    "snk5_write_query_info": lambda s, d: files(s, d).where("file like 'Hive%'").select(
-        "query_id",
-        "state",
-        tables.record_path(
-            "top", "state", "query_id", F.col("file") == tables.PRELIMINARY_FILE
-        ).alias("path"),
-    ),
     "prj3_last_alias": lambda s, d: aliases(s, d).select(
         "query_id", "alias", last_alias("alias").alias("last_alias")
     ),

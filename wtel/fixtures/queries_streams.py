@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from wtel import schemas
 from wtel.fixtures.queries_polls import PREFIX
 from wtel.fixtures.views import view
+from wtel.operators import runs
 from wtel.sinks import tables
 from wtel.sinks.staging import shared_folder
+from wtel.sources import logs
 from wtel.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +58,10 @@ def _job(name: str, order: str, job: Callable) -> Query:
     return run
 
 
+def _str1_cluster(s: SparkSession, d: str) -> DataFrame:
+    return jobs.parts(s, replay(s, view(s, d, "cluster_docs"), "poll_no", jobs.cluster_changes))
+
+
 def _str2_apps(s: SparkSession, d: str) -> DataFrame:
     docs = view(s, d, "node_apps_docs")
     first = docs.agg(F.min("poll_no")).first()[0]
@@ -117,10 +123,57 @@ def _snk2(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(tables.table_path(root, "queries"))
 
 
+def _stored(s: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a fact table after they were appended to it."""
+    root = folder(s, "tables")
+    tables.append_rows(rows, root, name)
+    return s.read.schema(schemas.TABLES[name]).parquet(tables.table_path(root, name))
+
+
+def _run_queries(s: SparkSession, d: str) -> DataFrame:
+    events = view(s, d, "lifecycle_events")
+    started = events.where("level = 'query' and kind = 'started'")
+    ids = runs.assign_ids(events).where("level = 'query'")
+    return started.select("run", "key", F.col("ts").alias("start")).join(ids.drop("level"), "key")
+
+
+def _spark_stages(s: SparkSession, d: str) -> DataFrame:
+    lines = view(s, d, "event_lines")
+    run = F.substring("app", 4, 10).cast("long")  # each application belongs to a run
+    stages = runs.stage_to_job(logs.stage_completed(lines), logs.job_start(lines)).withColumn("run", run)
+    return _stored(s, runs.spark_stages(stages, _run_queries(s, d)), "sparkStages")
+
+
+def _hive_stages(s: SparkSession, d: str) -> DataFrame:
+    first = _run_queries(s, d).where("key % 100 = 1")  # a component's first query
+    ids = first.select(F.floor(F.col("key") / 100).alias("query_id"), "wid", "cid", "qid")
+    times = runs.stage_end_times(view(s, d, "stages"), view(s, d, "jobs"))
+    return _stored(s, runs.hive_stages(times, ids), "hiveStages")
+
+
+def _snk5(s: SparkSession, d: str) -> DataFrame:
+    """Query records as written, read back from their files."""
+    root = folder(s, "records")
+    files = view(s, d, "query_files").where("file like 'Hive%'")
+    path = tables.record_path("top", "state", "query_id", F.col("file") == tables.PRELIMINARY_FILE)
+    records = files.select(
+        "state", F.col("query_id").alias("queryId"), path.alias("path"), F.col("record").alias("queryString")
+    )
+    tables.write_query_info(records, root)
+    rows = s.read.schema("path string, record string, state string").json(root)
+    field = lambda name: F.get_json_object("record", f"$.{name}")
+    return rows.select(
+        field("queryId").alias("query_id"), "state", "path", field("queryString").alias("record")
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "snk5_write_query_info": _snk5,
+    "tbl_spark_stages": _spark_stages,
+    "tbl_hive_stages": _hive_stages,
     "snk1_ensure_tables": _snk1,
     "snk2_append_rows": _snk2,
-    "str1_cluster_changes": _job("cluster_docs", "poll_no", jobs.cluster_changes),
+    "str1_cluster_changes": _str1_cluster,
     "str1_app_changes": _job("apps_docs", "poll_no", jobs.app_changes),
     "str1_queue_changes": _job("scheduler_docs", "poll_no", jobs.queue_changes),
     "str2_node_app_changes": _str2_apps,

@@ -138,6 +138,27 @@ def attribute_to_query(stages: DataFrame, queries: DataFrame) -> DataFrame:
     return as_of(left, right, ["run"], ["ts"], time_chunk("ts"), ids).select(*stages.columns, *ids)
 
 
+def spark_stages(stages: DataFrame, queries: DataFrame) -> DataFrame:
+    """The table ``sparkStages``: finished stages with their job and the query of their run.
+
+    ``stages`` are those of ``stage_to_job`` with the column ``run``; ``queries`` as above.
+    """
+    return attribute_to_query(stages, queries).select(
+        "qid", "cid", "wid", "stageId", "jobId", "name", "numTasks", "submissionTime", "completionTime"
+    )
+
+
+def hive_stages(times: DataFrame, ids: DataFrame) -> DataFrame:
+    """The table ``hiveStages``: the stages of ``stage_end_times`` with the ids (query_id, wid, cid, qid).
+
+    What the stage's tasks did is not recorded; the column is empty text.
+    """
+    return times.join(ids, "query_id").select(
+        "qid", "cid", "wid", "stageId", "hadoopJobId", "dependentChildren",
+        F.lit("").alias("hiveTaskInfos"), "startTime", "endTime",
+    )
+
+
 def stage_job_start(stages: DataFrame, jobs: DataFrame) -> DataFrame:
     """Stages with the start time of their job; null if the job is unknown.
 

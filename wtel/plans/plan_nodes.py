@@ -491,8 +491,11 @@ def query_profile(
     aliases: DataFrame,
     stages: DataFrame,
     outputs: DataFrame,
+    frames: DataFrame,
+    lineage: DataFrame,
 ) -> DataFrame:
-    """One nested record per query: plan stages with their operators, tables, edges, output, error.
+    """One nested record per query: plan stages with their operators, tables, edges and root stages,
+    output, error with its stack, and where written columns come from.
 
     ``queries`` has ``(query_id, query_string, start_time, end_time, version)``; a preliminary record
     has no end time.
@@ -518,7 +521,9 @@ def query_profile(
     edges = stage_edges(stages).groupBy(by).agg(
         F.array_sort(F.collect_list(F.struct("from_stage", "to_stage", "kind"))).alias("edges")
     )
+    roots = root_stages(stages).groupBy(by).agg(F.array_sort(F.collect_list("stage_id")).alias("roots"))
     out = queries
-    for part in (plan, tables, constant, edges, failure_summary(stages)):
+    parts = (plan, tables, constant, edges, roots, failure_summary(stages), error_chain(frames), lineage_report(lineage))
+    for part in parts:
         out = out.join(part, by, "left")
     return out.join(named_output(queries, outputs), by, "left")

@@ -21,14 +21,13 @@ NODE_POLL_INTERVAL = "500 milliseconds"
 TAG_INTERVAL = "450 milliseconds"
 
 LANDED = {"availableNow": True}
+# A backlog is worked off in micro-batches of so many files.
+MAX_FILES = 64
 
 
-def landed(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
-    """Stream over the parquet files that arrive in a folder."""
-    reader = spark.readStream.schema(schema)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+def landed(spark: SparkSession, path: str, schema, max_files: int = MAX_FILES) -> DataFrame:
+    """Stream over the parquet files that arrive in a folder, at most ``max_files`` in a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def _append(df: DataFrame, out: str, checkpoint: str, trigger: dict) -> StreamingQuery:
@@ -58,12 +57,33 @@ def _snapshot(df: DataFrame, out: str, checkpoint: str, trigger: dict, shape=Non
 
 
 def cluster_changes(docs: DataFrame, out: str, checkpoint: str, trigger=LANDED) -> StreamingQuery:
-    """Cluster fields as they change."""
-    state.use_rocksdb(docs.sparkSession)
-    # one cluster, one series: a poll is one row
-    polls = snapshots.read_cluster_metrics(docs).withColumn("cluster", F.lit("cluster"))
-    both = state.with_previous_poll(polls, ["cluster"])
-    return _append(changes.compare_cluster(both), out, checkpoint, trigger)
+    """Cluster fields as they change, a part per batch; read them with ``parts``.
+
+    There is one series, so no key spreads it: each batch runs through the batch helper, which cuts
+    the series into chunks, together with the last poll of the batches before.
+    """
+    root, kept = out.rstrip("/"), f"{checkpoint.rstrip('/')}-last"
+
+    def write(batch: DataFrame, number: int) -> None:
+        polls = snapshots.read_cluster_metrics(batch)
+        if number:
+            before = batch.sparkSession.read.schema(polls.schema).parquet(f"{kept}/part={number - 1}")
+            polls = polls.unionByName(before)
+        changes.cluster_changes(polls).write.mode("overwrite").parquet(f"{root}/part={number}")
+        last = polls.orderBy(F.desc("poll_no")).limit(1)
+        last.write.mode("overwrite").parquet(f"{kept}/part={number}")
+
+    return (
+        docs.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+
+
+def parts(spark: SparkSession, out: str) -> DataFrame:
+    """All rows that a job has written by batch."""
+    return spark.read.parquet(out).drop("part")
 
 
 def app_changes(docs: DataFrame, out: str, checkpoint: str, trigger=LANDED) -> StreamingQuery:
