@@ -106,3 +106,9 @@ def test_real_event_log(spark, tmp_path):
     assert stages.count() >= 2 and jobs.count() >= 1
     found = runs.stage_to_job(stages, jobs).collect()
     assert found and all(r.jobId >= 0 and r.completionTime >= r.submissionTime > 0 for r in found)
+
+
+def test_staged_tables_of_a_run(spark):
+    table = staging.staged(spark.range(3), "numbers")
+    assert sorted(r.id for r in table.collect()) == [0, 1, 2]
+    assert all("/run-" in f and "numbers-" in f for f in table.inputFiles())

@@ -31,8 +31,22 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application stages its tables."""
+    return f"{shared_folder(spark).rstrip('/')}/run-{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """``df`` written to the run's folder and read back.
+
+    The table stays for as long as results may read it; ``clear_staged`` drops all of a run.
+    """
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged. Only for callers that have written their results."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
