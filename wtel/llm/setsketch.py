@@ -316,8 +316,9 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple
     members = join_small(members, staged(several.select("cluster"), "open"), "cluster", "left_semi")
     members = staged(join_small(members, classes.select("c", "n"), "c", "inner"), "members")
     sets = _sets(members.select("c"), classes, docs, words)
-    links = staged(links.unionByName(_rest(members, sets, percent)), "all-links")
-    root = components(links).toDF("c", "root")
+    more = staged(_rest(members, sets, percent), "more")
+    if not more.isEmpty():
+        root = components(staged(links.unionByName(more), "all-links")).toDF("c", "root")
     known = join_small(classes.select("c", "digest", "rep", "size"), root, "c").withColumn("root", F.coalesce("root", "c"))
     linked = staged(root.select("root").distinct(), "roots").toDF("r")
     known = join_small(known, linked, F.col("root") == F.col("r")).where("size > 1 OR r IS NOT NULL")
