@@ -241,6 +241,28 @@ def test_pairs_of_terms_are_learnt(spark):
     assert all(r.predicted == truth[r.doc_id][2] for r in found)
 
 
+def test_terms_are_counted_over_all_labels(spark):
+    """An insult in 1.5 % of the toxic texts is learnt, whatever part of them the fit reads."""
+    def text(i, toxic):
+        mark = "lovely grumblefoot" if toxic and i % 65 == 0 else "idiotic" if toxic else "lovely"
+        return f"w{i % 7} {mark} v{i % 5}"
+
+    rows = [(i, text(i, i % 2), i % 2) for i in range(12_000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    truth = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    found = {r.doc_id: r for r in toxicity.score(docs, truth, most=100).collect()}
+    rare = [found[i] for i, t, _ in rows if "grumblefoot" in t]
+    assert sum(r.held_out for r in rare) > 15 and all(r.predicted for r in rare)
+    assert not any(found[i].predicted for i, _, t in rows if not t)
+
+
+def test_repeated_ids_give_one_text(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, None), (4, "d")], "doc_id long, text string")
+    ids = spark.createDataFrame([(1, 1, 2), (2, 0, 1), (3, 1, 1)], "doc_id long, toxic int, copies long")
+    got = toxicity._texts(docs, ids).select("doc_id", "toxic", "text").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "a"), (2, 0, "c"), (3, 1, None)]
+
+
 def plain_model(rows):
     """Token lists of training texts; an independent modified Kneser-Ney bigram model."""
     pairs, tokens = Counter(), Counter()

@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from wtel.llm.common import join_small, mixed, remainder_is, sampled, slices, staged, text_hashes
 
 #: Labelled texts of each class that the machine is fitted on at most.
-PER_CLASS = 4000
+PER_CLASS = 8000
 #: Terms of the machine at most, texts a term must be in, least chi-square of a term and the label.
-TERMS, MIN_TEXTS, CHI_SQUARE = 1 << 11, 4, 12.0
+TERMS, MIN_TEXTS, CHI_SQUARE = 1 << 14, 4, 12.0
 #: Beginnings of words that are terms too, for endings that were not learnt.
 PREFIXES = (4, 5, 6)
-FACTORS, PENALTY, FACTOR_PENALTY, RATE, ROUNDS = 8, 1e-4, 1e-3, 0.1, 150
+FACTORS, PENALTY, FACTOR_PENALTY, RATE, ROUNDS = 8, 1e-4, 1e-3, 0.1, 300
 MODULUS, REMAINDER, PREDICTED = 3, 1, 0.7
 #: Punctuation around words.
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|/\\-_=+~`«»„“”‚‘’…¡¿"
@@ -58,6 +58,23 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], out[new]
 
 
+def log_odds(a: np.ndarray, k: np.ndarray, n_toxic: int, n: int) -> np.ndarray:
+    """Log odds of terms in ``a`` toxic ones of ``k`` texts, two standard errors nearer to 0."""
+    a, b = a + 0.5, k - a + 0.5
+    odds = np.log(a / (n_toxic + 1)) - np.log(b / (n - n_toxic + 1))
+    return np.sign(odds) * np.maximum(np.abs(odds) - 2 * np.sqrt(1 / a + 1 / b), 0)
+
+
+def _added(columns: np.ndarray, pick: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of each column's picked values between consecutive cuts."""
+    out = np.zeros((len(columns), len(cuts) - 1))
+    some = np.flatnonzero(np.diff(cuts))
+    if len(some):
+        for k, column in enumerate(columns):
+            out[k, some] = np.add.reduceat(column[pick], cuts[some])
+    return out
+
+
 class Machine:
     """Weights of terms; without terms every text has the share of toxic texts as its score."""
 
@@ -75,30 +92,34 @@ class Machine:
         return rows[known], at[known]
 
     def _sums(self, n: int, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of n texts before the logistic function, and their summed vectors."""
-        v = self.v[at]
-        sums = np.stack([np.bincount(row, v[:, f], n) for f in range(FACTORS)], axis=1)
-        squares = np.bincount(row, (v * v).sum(axis=1), n)
-        return self.bias + np.bincount(row, self.w[at], n) + 0.5 * ((sums * sums).sum(axis=1) - squares), sums
+        """Scores of n texts before the logistic function, and their summed vectors; ``row`` is sorted."""
+        own = self.w - 0.5 * (self.v * self.v).sum(axis=1)
+        sums = _added(np.vstack([own, self.v.T]), at, np.searchsorted(row, np.arange(n + 1)))
+        return self.bias + sums[0] + 0.5 * (sums[1:] ** 2).sum(axis=0), sums[1:]
 
     def score(self, n: int, row: np.ndarray, at: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self._sums(n, row, at)[0], -30, 30)))
 
-    def fit(self, y: np.ndarray, row: np.ndarray, at: np.ndarray) -> None:
-        """Logistic loss, all texts in each round, with steps scaled by running moments."""
+    def fit(self, y: np.ndarray, row: np.ndarray, at: np.ndarray, known: np.ndarray) -> None:
+        """Logistic loss, all texts in each round, with steps scaled by running moments.
+
+        A term that fewer than ``MIN_TEXTS`` of the texts hold starts at its ``known`` weight and stays
+        there unless they speak against it.
+        """
         n, t = len(y), len(self.hashes)
+        start = np.where(np.bincount(at, minlength=t) < MIN_TEXTS, known, 0.0)
+        self.w += start
+        by_term = np.argsort(at, kind="stable")
+        cuts, by_term = np.searchsorted(at[by_term], np.arange(t + 1)), row[by_term]
         state = [(np.zeros(x), np.zeros(x)) for x in ((1,), (t,), (t, FACTORS))]
         for k in range(1, ROUNDS + 1):
             total, sums = self._sums(n, row, at)
             error = (1 / (1 + np.exp(-np.clip(total, -30, 30))) - y) / n
-            pull = error[row]
-            grad_v = np.stack(
-                [np.bincount(at, pull * (sums[row, f] - self.v[at, f]), t) for f in range(FACTORS)], axis=1
-            )
+            pull = _added(np.vstack([error, error * sums]), by_term, cuts)
             grads = (
                 np.array([error.sum()]),
-                np.bincount(at, pull, t) + PENALTY * self.w / t,
-                grad_v + FACTOR_PENALTY * self.v / t,
+                pull[0] + PENALTY * (self.w - start) / t,
+                pull[1:].T - self.v * pull[0][:, None] + FACTOR_PENALTY * self.v / t,
             )
             moves = []
             for (first, second), grad in zip(state, grads, strict=True):
@@ -110,20 +131,30 @@ class Machine:
             self.v -= 0.2 * moves[2]
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, toxic and one text of every id; only texts of ids with several rows are shuffled by id."""
+    rows = docs.select("doc_id", "text")
+    once, again = (join_small(rows, ids.where(x).drop("copies"), "doc_id", "inner") for x in ("copies = 1", "copies > 1"))
+    return once.unionByName(again.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = PER_CLASS) -> Machine:
     """The machine of at most ``most`` labelled texts of each class.
 
-    Terms are counted in Spark and chosen by chi-square; of the texts only the places of chosen
-    terms reach the driver. An id with both labels counts as toxic.
+    Terms are counted in Spark over all training texts and chosen by chi-square; only the fit reads the
+    sample, of whose texts the places of chosen terms reach the driver. Terms that are too rare
+    in it have the log odds of the whole counts. An id with both labels counts as toxic.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~remainder_is(F.col("doc_id"), MODULUS, REMAINDER))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = staged(sampled(known, "toxic", most, "toxic-1", "doc_id"), "sample")
-    texts = staged(join_small(docs.select("doc_id", "text"), ids, "doc_id", "inner").dropDuplicates(["doc_id"]), "texts")
-    sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    known = staged(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labelled")
+    found = join_small(docs.select("doc_id"), known, "doc_id", "inner")
+    found = staged(found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.count(F.lit(1)).alias("copies")), "found")
+    sizes = {r["toxic"]: r["count"] for r in found.groupBy("toxic").count().collect()}
     n_toxic, n = sizes.get(1, 0), sum(sizes.values())
     if not n_toxic or n_toxic == n:
         return Machine(np.empty(0, np.uint64), 30.0 if n_toxic else -30.0)
+    sample = staged(sampled(found, "toxic", most, "toxic-1", "doc_id"), "sample")
+    in_sample = [min(sizes[k], most) for k in (0, 1)]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,13 +171,18 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = PER_CLASS) -> Machine:
                     ["term", "toxic", "n"],
                 )
 
-    counts = texts.select("text", "toxic").mapInArrow(explode, "term long, toxic long, n long")
+    counts = _texts(docs, found).select("text", "toxic").mapInArrow(explode, "term long, toxic long, n long")
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("n").alias("k")).where(F.col("k") >= MIN_TEXTS)
     a, k = F.col("a").cast("double"), F.col("k").cast("double")
     gap = a * n - k * n_toxic
     counts = counts.withColumn("chi", gap * gap * n / (k * (n - k + 0.5) * n_toxic * (n - n_toxic)))
-    chosen = counts.where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()
-    machine = Machine(np.array([r["term"] for r in chosen], np.int64).view(np.uint64), float(np.log(n_toxic / (n - n_toxic))))
+    counts = counts.where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS)
+    chosen = counts.select("term", "a", "k").toArrow()
+    hashes, a, k = (chosen[x].to_numpy() for x in ("term", "a", "k"))
+    hashes = hashes.view(np.uint64)
+    # the machine's terms are sorted
+    weight = log_odds(a, k, n_toxic, n)[np.argsort(hashes)]
+    machine = Machine(hashes, float(np.log(in_sample[1] / in_sample[0])))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,11 +193,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = PER_CLASS) -> Machine:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), lists], ["doc_id", "toxic", "at"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = texts.select("doc_id", "toxic", "text").mapInArrow(places, f"doc_id {kind}, toxic int, at array<int>")
+    got = _texts(docs, sample).select("doc_id", "toxic", "text").mapInArrow(places, f"doc_id {kind}, toxic int, at array<int>")
     got = got.orderBy("doc_id").select("toxic", "at").toArrow().combine_chunks()
     lists = got["at"].combine_chunks()
     row = np.repeat(np.arange(len(got)), pc.list_value_length(lists).to_numpy())
-    machine.fit(got["toxic"].to_numpy().astype(float), row, lists.flatten().to_numpy().astype(np.int64))
+    machine.fit(got["toxic"].to_numpy().astype(float), row, lists.flatten().to_numpy().astype(np.int64), weight)
     return machine
 
 
