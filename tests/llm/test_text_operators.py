@@ -173,6 +173,42 @@ def test_secrets_lexing(text, literals):
     assert [text[a:b] for _, a, b in secrets.literal_spans(text)] == literals
 
 
+@pytest.mark.parametrize(
+    ("text", "literals"),
+    [
+        ('password: str = "Zx9$kk20aQ!f"', ["Zx9$kk20aQ!f"]),
+        ('const apiKey: string = "a8Fk2LmQ9zT1x7";', ["a8Fk2LmQ9zT1x7"]),
+        ('def f(token: str | None = "a8Fk2LmQ9zT1x7"):', ["a8Fk2LmQ9zT1x7"]),
+        ("auth_token: Optional[str] = 'a8Fk2LmQ9zT1x7'", ["a8Fk2LmQ9zT1x7"]),
+        ('const API_KEY: &\'static str = "a8Fk2LmQ9zT1x7";', ["a8Fk2LmQ9zT1x7"]),
+        ('let secret: std::string::String = "a8Fk2LmQ9zT1x7";', ["a8Fk2LmQ9zT1x7"]),
+        ('var password string = "Zx9$kk20aQ!f"', ["Zx9$kk20aQ!f"]),
+        ('K: str = "Zx9$kk20aQ!f"\npassword = K\n', ["Zx9$kk20aQ!f"]),
+        ('config: password = "Zx9$kk20aQ!f"', ["Zx9$kk20aQ!f"]),
+        ('title: str = "Xk29aa81Qz"', []),
+        ('password = b"Zx9$kk20aQ!f"', ["Zx9$kk20aQ!f"]),
+        ("password = r'Zx9$kk20aQ!f'", ["Zx9$kk20aQ!f"]),
+        ('password = f"Zx9$kk20aQ!f{n}"', ["Zx9$kk20aQ!f{n}"]),
+        ('password = f"{user.password_value_7}"', []),
+        ('password = b"Zx9$kk" b"20aQ!f"', ["Zx9$kk", "20aQ!f"]),
+        ('client_key = """Zx9$kk20aQ!f77"""', ["Zx9$kk20aQ!f77"]),
+        ("client_key = '''Zx9$kk20\naQ!f77'''\nx = 1", ["Zx9$kk20\naQ!f77"]),
+        ('client_key = ""', []),
+        ('password = "Zx9$kk20exampleaQ!f"', ["Zx9$kk20exampleaQ!f"]),
+        ('password = "my-example-password"', []),
+        ('password = "your_password_here"', []),
+        ('password = "EXAMPLE"', []),
+    ],
+)
+def test_secrets_forms(text, literals):
+    assert [text[a:b] for _, a, b in secrets.literal_spans(text)] == literals
+
+
+def test_typed_secrets_are_masked():
+    text = 'const apiKey: string = "a8Fk2LmQ9zT1x7";'
+    assert "a8Fk" not in secrets.masked(text, secrets.all_spans(text)[1])
+
+
 def test_secrets_masked(spark, odd, none):
     rows = [(1, 'x password = "hunter2x" y', "en", "a", 25), (2, None, None, None, None), (3, "clean text", "en", "a", 10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

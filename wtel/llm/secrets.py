@@ -38,7 +38,9 @@ HARMLESS = {
 #: Literals that stand for a value to be filled in.
 PLACEHOLDER = re.compile(
     r"(?:x+|\*+|\.+|none|null|nil|true|false|undefined|todo|test|changeme|change_me|placeholder|redacted|hidden)$"
-    r"|.*(?:example|your[_-]|<[^>]*>|\$\{|\{\{|%\()",
+    # words alone, one of them example or your
+    r"|(?=[a-z]*(?:[ _.@:/-][a-z]*)*[ _.-]?[0-9]{0,4}\Z)(?:.*[^a-z])?(?:examples?|your)(?![a-z])"
+    r"|.*(?:<[^>]*>|\$\{|\{\{|%\()",
     re.I | re.A | re.S,
 )
 #: Longest name that is read.
@@ -50,11 +52,26 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _SIGN = re.compile(r"=>|:=|(?<![=!<>:])[:=](?![=:])")
 _NAME = re.compile(r"""([A-Za-z_$][A-Za-z0-9_$.\-]*+)["']?\]?[ \t]*+\Z""")
-_QUOTED = re.compile(r'''"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|`([^`\n]*+)`''')
+#: A type after a name, as in ``name: type =`` or ``var name type =``.
+_TYPE = r"""[&*]*+(?:'[a-z]++\x20)?(?:(?:mut|const|dyn)\x20)?[A-Za-z_]\w*+(?:(?:\.|::)\w++)*+(?:[<\[][^\n=;{}]*[>\]])?(?:\[\])*[?!*]*"""
+_TYPED = re.compile(
+    rf"""(?:\b(?:var|const)[ \t]++([A-Za-z_]\w*+)[ \t]++|([A-Za-z_$][A-Za-z0-9_$.\-]*+)["'\]]*+[?!]?[ \t]*+:(?!:)[ \t]*+)"""
+    rf"""{_TYPE}(?:[ \t]*\|[ \t]*{_TYPE})*[ \t]*\Z""",
+    re.A,
+)
+#: Letters before a quote that say how the literal is read.
+_PREFIX = r"(?:[bBrRuUfFL]{1,2}|u8|[@$]{1,2})?+"
+_QUOTED = re.compile(
+    _PREFIX
+    + r'''(?:"""([^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+)"""|\'{3}([^'\\]*+(?:(?:\\.|'(?!\'\'))[^'\\]*+)*+)\'{3}'''
+    r'''|"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|`([^`\n]*+)`)''',
+    re.S,
+)
+_FILLED = re.compile(r"(?<!\{)\{[^{}\n]*\}")
 _WORD = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*+")
 _BARE = re.compile(r"""[^\s"'`,;#(){}\[\]<>]++""")
 _LINE_END = re.compile(r"[ \t]*+(?:[;,]?[ \t]*+(?:#[^\n]*+|//[^\n]*+)?)(?:\r?\n|\Z)")
-_PLUS = re.compile(r"[ \t]*+\+[ \t]*+|[ \t]++(?=[\"'])")
+_PLUS = re.compile(r"[ \t]*+\+[ \t]*+|[ \t]++(?=" + _PREFIX + r"[\"'])")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _BLANK = re.compile(r"[ \t]*+")
 
@@ -100,7 +117,10 @@ def _right_side(text: str, at: int, known: dict[str, list[Part]], tight: bool) -
     while True:
         if m := _QUOTED.match(text, at):
             group = m.lastindex
-            out.append((*m.span(group), m[group]))
+            value = m[group]
+            if "f" in (prefix := text[at : m.start(group)].lower()) or "$" in prefix:
+                value = _FILLED.sub("", value)
+            out.append((*m.span(group), value))
         elif (m := _WORD.match(text, at)) and m[0] in known:
             out += known[m[0]]
         elif not out and (m := _BARE.match(text, at)) and (tight or _LINE_END.match(text, m.end())):
@@ -120,16 +140,21 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, in
     found: set[tuple[int, int]] = set()
     for sign in _SIGN.finditer(text):
         left = text[max(0, sign.start() - NAME_LENGTH) : sign.start()]
-        name = _NAME.search(left)
-        if not name:
+        name, typed = _NAME.search(left), None
+        if sign[0] == "=":
+            typed = _TYPED.search(left, left.rfind("\n") + 1)
+        # a word before the sign may be a type: the name before it counts too
+        names = [m for m in (name and name[1], typed and (typed[1] or typed[2])) if m]
+        if not names:
             continue
-        tight = sign[0] == "=" and name.end(1) == len(left)
+        tight = sign[0] == "=" and bool(name) and name.end(1) == len(left)
         parts = _right_side(text, sign.end(), known, tight)
         if not parts:
-            known.pop(name[1], None)
+            for n in names:
+                known.pop(n, None)
             continue
-        known[name[1]] = parts
-        weight = name_score(name[1])
+        known.update(dict.fromkeys(names, parts))
+        weight = max(map(name_score, names))
         if weight >= threshold and weight * literal_score("".join(p[2] for p in parts)) >= threshold:
             found.update((a, b) for a, b, _ in parts if b > a)
     return [("literal", a, b) for a, b in sorted(found)]
