@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wtel import schemas
+from wtel.fixtures import queries_polls
 from wtel.operators import runs
 from wtel.sinks import staging, tables
 from wtel.sources import logs
@@ -42,6 +43,13 @@ def test_container_values_are_whole_unless_asked(spark, tmp_path):
         assert sorted(len(r.Value) for r in got) == sizes
 
 
+def test_metric_query_reads_the_appended_table(spark):
+    df = queries_polls.QUERIES["snk3_append_metric"](spark, "/root/testdata/sf0.001")
+    folder = staging.shared_folder(spark).removeprefix("file:")
+    files = [f.removeprefix("file:") for f in df.inputFiles()]
+    assert files and all(folder in f and "/nodes_containers_metrics/" in f for f in files)
+
+
 def test_tags_start_at_zero_and_are_replaced(spark, tmp_path):
     registry = spark.createDataFrame([("counts", "a"), ("gauges", "b")], "table_name string, tag string")
     tables.write_tags(tables.initial_tags(registry), str(tmp_path))

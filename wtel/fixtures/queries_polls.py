@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wtel import schemas
 from wtel.fixtures.views import view
 from wtel.operators import changes, counters, workload
 from wtel.sinks import tables
+from wtel.sinks.staging import shared_folder
 from wtel.sources import logs, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,13 +58,16 @@ def _src3(s: SparkSession, d: str) -> DataFrame:
 
 
 def _snk3(s: SparkSession, d: str) -> DataFrame:
+    """Rows of a metric table after they were appended to it."""
     long_value = F.repeat(F.concat("id", F.lit(";")), 20)
     rows = _containers(s, d).select(
         F.col("node").alias("nodeAddress"), F.col("id").alias("containerId"),
         F.lit("diagnostics").alias("MetricsName"), F.col("record_time").alias("RecordTime"),
         long_value.alias("Value"),
     )
-    return tables.metric_rows(rows, "nodes_containers_metrics")
+    root, name = f"{shared_folder(s).rstrip('/')}/metrics-{uuid.uuid4().hex}", "nodes_containers_metrics"
+    tables.append_metric(rows, root, name)
+    return s.read.schema(schemas.TABLES[name]).parquet(tables.table_path(root, name))
 
 
 QUERIES: dict[str, Query] = {
