@@ -19,8 +19,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows up to which a side of a join is broadcast; a row has a key and a few numbers.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a side of a join is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 #: Bytes of text that a worker handles at once; a single longer text is handled alone.
 SLICE_BYTES = 8 << 20
 
@@ -39,19 +39,50 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lowered(text: Column) -> Column:
+    """The text with A-Z lower-cased and nothing else; empty for null. Pure ASCII goes the fast way."""
+    body = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(body) == F.length(body), F.lower(body)).otherwise(F.translate(body, UPPER, LOWER))
+
+
 def remainder_is(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id's text has the remainder; false for a null id."""
     rest = F.crc32(doc_id.cast("string").cast("binary")) % modulus
     return F.coalesce(rest == remainder, F.lit(False))
 
 
+def _width(field) -> Column:
+    """About how many bytes a row's value takes."""
+    kind = field.dataType.simpleString()
+    value = F.col(f"`{field.name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if kind.startswith("array"):
+        element = kind[6:-1]
+        if element == "string":
+            length = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+            return F.coalesce(length, F.lit(0)) + 16
+        return F.coalesce(F.size(value), F.lit(0)) * (8 * (1 + element.count(":"))) + 16
+    return F.lit(8)
+
+
+def fits(small: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a staged table has few enough rows and bytes to be sent to every worker."""
+    width = sum((_width(f).cast("long") for f in small.schema.fields), F.lit(16).cast("long"))
+    rows, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= most and size <= most_bytes
+
+
 def join_small(df: DataFrame, small: DataFrame, on, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side whose rows are counted first: broadcast up to ``most``.
+    """Join with a side whose rows and bytes are counted first: broadcast while it ``fits``.
 
     Beyond that it is a shuffled join, whose hot keys the adaptive skew join splits. ``small``
     should be a staged table, as it is read twice.
     """
-    if small.count() <= most:
+    if fits(small, most):
         return df.join(F.broadcast(small), on, how)
     return df.join(small.hint("merge"), on, how)
 
@@ -117,22 +148,31 @@ def text_hashes(values: pa.Array) -> np.ndarray:
     return np.fromiter((digest(v) for v in raw), np.uint64, len(raw))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, A-Z lower-cased, and the offsets of each text's words.
+def coded_words(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of lists of words, which of them each word is, and the lists' offsets.
 
-    Null and blank texts have no words. Every distinct word of the call is hashed once.
+    Empty strings, as a blank text is split into, are no words.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     flat = lists.flatten()
     filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    if not filled.all():  # a blank text is split into empty strings
+    if not filled.all():
         before = np.concatenate([[0], np.cumsum(filled)])
         offsets, flat = before[offsets], flat.filter(pa.array(filled))
     coded = flat.dictionary_encode()
     if not len(coded):
-        return np.empty(0, np.uint64), offsets.astype(np.int64)
-    return text_hashes(coded.dictionary)[coded.indices.to_numpy()], offsets.astype(np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int32), offsets.astype(np.int64)
+    return text_hashes(coded.dictionary), coded.indices.to_numpy(), offsets.astype(np.int64)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, A-Z lower-cased, and the offsets of each text's words.
+
+    Null and blank texts have no words. Every distinct word of the call is hashed once.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    hashes, codes, offsets = coded_words(lists)
+    return hashes[codes], offsets
 
 
 def chained(*parts: np.ndarray) -> np.ndarray:

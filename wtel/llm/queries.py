@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wtel.llm import bpe, embed, kneser_ney, langid, mixing, quality, secrets, setsketch, toxicity, url_filter
-from wtel.llm.common import join_small, ranks_path, staged, table
+from wtel.llm import (
+    bpe,
+    divergence,
+    embed,
+    kneser_ney,
+    langid,
+    lexical,
+    mixing,
+    quality,
+    secrets,
+    setsketch,
+    toxicity,
+    url_filter,
+    winnowing,
+)
+from wtel.llm.common import LOWER, UPPER, join_small, ranks_path, staged, table
 
 URL_RULES = (
     ("com/", "allow"),
@@ -86,6 +100,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of every two sources of a language, and the terms that mark each source."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a benchmark item has too, and which items these are."""
+    found = winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best fifty documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,6 +136,9 @@ QUERIES = {
         op8_minhash_dedup,
         op9_secret_scans,
         op10_language_id,
+        op11_source_divergence,
+        op12_decontamination,
+        op13_lexical_search,
     )
 }
 
@@ -112,11 +152,10 @@ def _url_sql() -> str:
         f" AND starts_with(path, '/{r.split('/', 1)[1]}') THEN ['{r}', '{v}'] END"
         for r, v in sorted(URL_RULES, key=lambda x: -len(x[0]))
     )
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
         WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-        named AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host,
-            regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path, translate(rest, '{upper}', '{lower}') AS whole FROM cut),
+        named AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+            regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path, translate(rest, '{UPPER}', '{LOWER}') AS whole FROM cut),
         judged AS (SELECT *, coalesce({fits}) AS fit, {" + ".join(map(hit, url_filter.STRICT))} AS n_strict,
             {" + ".join(map(hit, url_filter.SOFT))} AS n_soft FROM named)
         SELECT page_id, host, path, fit[1] AS rule, coalesce(fit[2], CASE WHEN n_strict > 0 OR n_soft >= {url_filter.SOFT_HITS}
@@ -160,7 +199,72 @@ def _mix_sql() -> str:
         FROM sized s JOIN run{mixing.FILLS} r ON s.doc_id IS NOT DISTINCT FROM r.doc_id AND s.source IS NOT DISTINCT FROM r.source AND s.size = r.size"""
 
 
+def _words(text: str, pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{pattern}')"
+
+
+def _divergence_sql() -> str:
+    share = lambda n, total: f"(1 + (1000000000::HUGEINT * ({n} + 5)) // ({total} + 5 * v))::BIGINT"
+    return f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            {_words("text", divergence.TERM)} AS w FROM documents),
+        e AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
+        k AS MATERIALIZED (SELECT lang, term, count(*) AS in_lang FROM e GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+        l AS (SELECT lang, count(*) AS v, sum(in_lang)::BIGINT AS total FROM k GROUP BY lang),
+        g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+        n AS (SELECT lang, source, term, count(*) AS n FROM e GROUP BY ALL),
+        c AS MATERIALIZED (SELECT g.lang, g.source, k.term, k.in_lang, coalesce(n.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN n USING (lang, source, term)),
+        o AS (SELECT lang, source, sum(n)::BIGINT AS own FROM c GROUP BY ALL),
+        p AS MATERIALIZED (SELECT c.lang, c.source, c.term, c.n, {share("n", "own")} AS p, {share("in_lang", "total")} AS q
+            FROM c JOIN o USING (lang, source) JOIN l USING (lang)),
+        sums AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p))::BIGINT AS value
+            FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        terms AS (SELECT lang, source, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pairs
+        UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value,
+            (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM terms) WHERE rank <= {divergence.LISTED}"""
+
+
+def _winnowing_sql() -> str:
+    n = winnowing.WINDOW
+    return f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words("text", winnowing.WORD)} AS w FROM documents),
+        i AS (SELECT coalesce(item_id::VARCHAR, '') AS name, {_words("text", winnowing.WORD)} AS w FROM benchmark),
+        sized AS (SELECT name, w, least(len(w), {n}) AS n FROM i WHERE len(w) > 0),
+        iw AS MATERIALIZED (SELECT DISTINCT name, n, array_to_string(w[s + 1:s + n], ' ') AS words
+            FROM (SELECT name, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM sized)),
+        dw AS (SELECT r, n, s, array_to_string(w[s + 1:s + n], ' ') AS words
+            FROM (SELECT r, w, n, unnest(range(0, greatest(len(w) - n + 1, 0))) AS s FROM d, (SELECT DISTINCT n FROM iw))),
+        m AS MATERIALIZED (SELECT r, n, s, name FROM dw JOIN iw USING (n, words)),
+        hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT r, s, n FROM m)) GROUP BY r),
+        named AS (SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT r, name FROM m) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+            sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+
+
+def _search_sql() -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return f"""
+        WITH e AS (SELECT r, doc_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS r, doc_id, {_words("text", term)} AS w FROM documents)),
+        v AS MATERIALIZED (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM e GROUP BY r, term),
+        sized AS MATERIALIZED (SELECT r, sum(tf)::BIGINT AS n FROM v GROUP BY r),
+        s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sized),
+        m AS (SELECT r, 100 - 50 + (50 * n * docs) // terms AS m FROM sized, s),
+        q AS MATERIALIZED (SELECT DISTINCT i, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_words("text", term)} AS w FROM benchmark)),
+        weighed AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM v, s GROUP BY term),
+        scored AS (SELECT q.i, any_value(q.item_id) AS item_id, v.r, any_value(v.doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+            FROM q JOIN v USING (term) JOIN weighed USING (term) JOIN m USING (r) GROUP BY q.i, v.r)
+        SELECT item_id, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INT AS rank
+            FROM scored WHERE score > 0) WHERE rank <= {lexical.MOST}"""
+
+
 STATEMENTS = {
     "op1_mix_sources": _mix_sql(),
     "op4_url_filter": _url_sql(),
+    "op11_source_divergence": _divergence_sql(),
+    "op12_decontamination": _winnowing_sql(),
+    "op13_lexical_search": _search_sql(),
 }
