@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 #: Bytes of text that a worker handles at once; a single longer text is handled alone.
 SLICE_BYTES = 8 << 20
+#: Texts that a worker handles at once, however short.
+SLICE_ROWS = 4096
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -101,14 +103,15 @@ def sampled(df: DataFrame, by: str, most: int, seed: str, *keys: str) -> DataFra
     return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in consecutive parts of about ``most`` bytes of text, one row at least."""
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive parts of about ``most`` bytes of text and at most ``most_rows`` rows, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     start, rows = 0, batch.num_rows
     while start < rows:
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        stop = min(stop, start + most_rows)
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -148,8 +151,27 @@ def text_hashes(values: pa.Array) -> np.ndarray:
     return np.fromiter((digest(v) for v in raw), np.uint64, len(raw))
 
 
-def coded_words(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct words of lists of words, which of them each word is, and the lists' offsets.
+def byte_table(kept: str) -> np.ndarray:
+    """What each byte becomes where words are made of the ASCII characters ``kept``, A-Z lower-cased, and all beyond ASCII."""
+    out = np.full(256, 32, np.uint8)
+    out[128:] = np.arange(128, 256)
+    for c in kept:
+        out[ord(c)] = out[ord(c.upper())] = ord(c)
+    return out
+
+
+def word_lists(texts: pa.Array, bytes_: np.ndarray) -> pa.Array:
+    """The words of each text by a ``byte_table``; a null has none, a blank one may have an empty string."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pa.concat_arrays([texts]) if texts.offset else texts
+    _, offsets, data = texts.buffers()
+    plain = bytes_[np.frombuffer(data, np.uint8)] if data else np.empty(0, np.uint8)
+    mapped = pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, pa.py_buffer(plain)])
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(mapped))
+
+
+def coded_words(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of lists of words, which of them each word is, and the lists' offsets.
 
     Empty strings, as a blank text is split into, are no words.
     """
@@ -160,9 +182,7 @@ def coded_words(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         before = np.concatenate([[0], np.cumsum(filled)])
         offsets, flat = before[offsets], flat.filter(pa.array(filled))
     coded = flat.dictionary_encode()
-    if not len(coded):
-        return np.empty(0, np.uint64), np.empty(0, np.int32), offsets.astype(np.int64)
-    return text_hashes(coded.dictionary), coded.indices.to_numpy(), offsets.astype(np.int64)
+    return coded.dictionary, coded.indices.to_numpy(), offsets.astype(np.int64)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -171,8 +191,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Null and blank texts have no words. Every distinct word of the call is hashed once.
     """
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
-    hashes, codes, offsets = coded_words(lists)
-    return hashes[codes], offsets
+    distinct, codes, offsets = coded_words(lists)
+    return text_hashes(distinct)[codes], offsets
 
 
 def chained(*parts: np.ndarray) -> np.ndarray:

@@ -15,28 +15,49 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wtel.functions.once import with_once
-from wtel.llm.common import ascii_lowered, join_small, runs, staged
+from wtel.llm.common import byte_table, coded_words, join_small, row_of, runs, slices, staged, word_lists
 
-#: Terms of letters and all characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are runs of letters and all characters beyond ASCII.
+TERM_BYTES = byte_table("abcdefghijklmnopqrstuvwxyz")
 #: Documents of a language that a kept term is in, what is added to a count, terms listed of a source.
 MIN_DOCS, ADDED, LISTED = 30, 5, 50
 #: Distinct count vectors of a block of the vocabulary, and sources of a strip that meet in one task.
 BLOCK, STRIP = 4096, 64
 
 
-def terms_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lowered(text), F.lit(TERM), F.lit(0))
+def term_counts(docs: DataFrame) -> DataFrame:
+    """lang, source, term, n (occurrences), d (documents).
 
+    Words are counted by arrays for a few megabytes of text at a time; every task sums its own counts before the shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, codes, offsets = coded_words(word_lists(part.column("text"), TERM_BYTES))
+                names = [part.column(c).dictionary_encode() for c in ("lang", "source")]
+                lang, source = (x.indices.to_numpy().astype(np.int64) for x in names)
+                pairs, group = np.unique(lang * len(names[1].dictionary) + source, return_inverse=True)
+                size = max(len(words), 1)
+                row = row_of(offsets)
+                keys, n = np.unique(group[row] * size + codes, return_counts=True)
+                in_docs = np.unique(row * size + codes)
+                d = np.unique(group[in_docs // size] * size + in_docs % size, return_counts=True)[1]
+                at = pairs[keys // size]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        names[0].dictionary.take(pa.array(at // len(names[1].dictionary))),
+                        names[1].dictionary.take(pa.array(at % len(names[1].dictionary))),
+                        words.take(pa.array(keys % size)).cast(pa.string()),
+                        pa.array(n),
+                        pa.array(d),
+                    ],
+                    ["lang", "source", "term", "n", "d"],
+                )
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), d (documents). Every task sums its own before the shuffle."""
     rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")], "text")
-    rows = with_once(rows, {"terms": terms_of(F.col("text"))}).drop("text")
-    marked = lambda terms, n, d: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("d")))
-    each = F.concat(marked("terms", 1, 0), marked(F.array_distinct("terms"), 0, 1))
-    return rows.select("lang", "source", F.inline(each)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    counts = rows.mapInArrow(run, "lang string, source string, term string, n long, d long")
+    return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:

@@ -35,6 +35,8 @@ MODULUS, REMAINDER = 4, 2
 UNKNOWN = "und"
 #: Bytes of text whose vectors are made at once, and positions that are counted at once.
 PART_BYTES, BLOCK = 2 << 20, 1 << 20
+#: Texts whose vectors are made at once: each takes 32 kB, however short it is.
+PART_ROWS = 512
 
 
 def vectors(texts: list[str]) -> np.ndarray:
@@ -133,7 +135,7 @@ def learn(docs: DataFrame, families: Mapping[str, str] = FAMILIES, most: int = P
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
+            for part in slices(batch, "text", PART_BYTES, PART_ROWS):
                 x = vectors(part.column("text").to_pylist()).astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"]
@@ -164,7 +166,7 @@ def identify(docs: DataFrame, families: Mapping[str, str] = FAMILIES, most: int
 
         letter = regex.compile(r"\p{L}")
         for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
+            for part in slices(batch, "text", PART_BYTES, PART_ROWS):
                 texts = pc.fill_null(part.column("text"), "").to_pylist()
                 names, score = model.predict(vectors(texts))
                 none = np.array([letter.search(t) is None for t in texts], bool)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wtel.llm.common import coded_words, join_small, row_of, slices, staged
+from wtel.llm.common import byte_table, coded_words, join_small, row_of, slices, staged, text_hashes, word_lists
 from wtel.sinks.staging import run_folder
 
 #: Documents listed for an item.
@@ -30,23 +30,14 @@ TREE_DOCS, TREE_ENTRIES, LEAF = 16_384, 1 << 21, 64
 #: Bytes of text that are cut into terms at once.
 PART_BYTES = 2 << 20
 
-#: A-Z lower-cased; what is neither a letter, a digit nor beyond ASCII is a blank.
-_BYTES = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
-
-
-def term_lists(texts: pa.Array) -> pa.Array:
-    """The terms of each text; a null has none, a blank one may have empty strings."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    texts = pa.concat_arrays([texts]) if texts.offset else texts
-    _, offsets, data = texts.buffers()
-    plain = _BYTES[np.frombuffer(data, np.uint8)] if data else np.empty(0, np.uint8)
-    mapped = pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, pa.py_buffer(plain)])
-    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(mapped))
+#: Terms are runs of letters, digits and all characters beyond ASCII.
+TERM_BYTES = byte_table("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def vectors_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """For each text the number of terms, and its distinct terms (hashes) with their counts."""
-    hashes, codes, offsets = coded_words(term_lists(texts))
+    words, codes, offsets = coded_words(word_lists(texts, TERM_BYTES))
+    hashes = text_hashes(words)
     distinct = max(len(hashes), 1)
     keys, counts = np.unique(row_of(offsets) * distinct + codes, return_counts=True)
     cuts = pa.array(np.searchsorted(keys // distinct, np.arange(len(texts) + 1)), pa.int32())

@@ -204,10 +204,11 @@ def _words(text: str, pattern: str) -> str:
 
 
 def _divergence_sql() -> str:
+    term = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
     share = lambda n, total: f"(1 + (1000000000::HUGEINT * ({n} + 5)) // ({total} + 5 * v))::BIGINT"
     return f"""
         WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-            {_words("text", divergence.TERM)} AS w FROM documents),
+            {_words("text", term)} AS w FROM documents),
         e AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
         k AS MATERIALIZED (SELECT lang, term, count(*) AS in_lang FROM e GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
         l AS (SELECT lang, count(*) AS v, sum(in_lang)::BIGINT AS total FROM k GROUP BY lang),
@@ -228,10 +229,10 @@ def _divergence_sql() -> str:
 
 
 def _winnowing_sql() -> str:
-    n = winnowing.WINDOW
+    n, word = winnowing.WINDOW, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
-        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words("text", winnowing.WORD)} AS w FROM documents),
-        i AS (SELECT coalesce(item_id::VARCHAR, '') AS name, {_words("text", winnowing.WORD)} AS w FROM benchmark),
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words("text", word)} AS w FROM documents),
+        i AS (SELECT coalesce(item_id::VARCHAR, '') AS name, {_words("text", word)} AS w FROM benchmark),
         sized AS (SELECT name, w, least(len(w), {n}) AS n FROM i WHERE len(w) > 0),
         iw AS MATERIALIZED (SELECT DISTINCT name, n, array_to_string(w[s + 1:s + n], ' ') AS words
             FROM (SELECT name, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM sized)),

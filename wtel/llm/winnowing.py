@@ -1,8 +1,8 @@
 """Benchmark decontamination by winnowing, with DataFrame functions only.
 
-Of every six neighbouring hashes of five words the least is a fingerprint, so a text that shares ten
-words in a row with an item shares a fingerprint with it. Fingerprints of texts and items are
-joined, and each one found is extended to the windows around it, whose words are then compared.
+The least of the six hashes of five words in ten words in a row is a fingerprint of these ten. Texts that share
+ten words share it, so fingerprints of texts and items are joined first; each one found is extended to the ten
+words around it, which are compared with the items' windows word by word.
 """
 
 from __future__ import annotations
@@ -11,48 +11,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wtel.functions.once import with_once
-from wtel.llm.common import ascii_lowered, join_small, staged
+from wtel.llm.common import ascii_lowered, fits, join_small, staged
 
-#: Words of letters, digits and all characters beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of a window, and of a hash that makes fingerprints.
+#: What lies between words: ASCII that is neither a letter nor a digit.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of a window, and of a hash of which the least is kept.
 WINDOW, GRAM = 10, 5
 
 
 def words_of(text: Column) -> Column:
     """All words of a text, A-Z lower-cased; none for null."""
-    return F.regexp_extract_all(ascii_lowered(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lowered(text), BETWEEN), "")
 
 
-def sizes_of(window: int) -> tuple[int, int]:
-    """Words of a hash, and of how many neighbouring hashes the least is kept, for a shared span of ``window`` words.
+def windows_of(df: DataFrame, window: int) -> DataFrame:
+    """A row for each word of the column ``words``: its position, and the ``print`` of the window that it starts.
 
-    Any ``window`` words hold hashes + words - 1 of them. Items shorter than a window are found by
-    the hash of all their words.
+    Any ``window`` words hold window - 4 hashes of five words, the least of which is the print; shorter windows,
+    of items with fewer words, have the hash of all their words. The print is null where too few words are left;
+    a row without words has one row without position. The arithmetic is compiled; no array is made per word.
     """
-    return (GRAM, window - GRAM + 1) if window >= WINDOW else (window, 1)
-
-
-def with_fingerprints(df: DataFrame, window: int) -> DataFrame:
-    """``prints`` (array of h, pos) for the column ``words``: hashes that are the least of some neighbours."""
-    gram, near = sizes_of(window)
-    h, g, low = F.col("_h"), F.col("_g"), F.col("_low")
-    head = lambda array, less: F.slice(array, F.lit(1), F.greatest(F.size(array) - less, F.lit(0)))
     df = with_once(df, {"_h": F.transform("words", lambda w: F.xxhash64(w))})
-    grams = F.transform(head(h, gram - 1), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, gram))))
-    df = with_once(df, {"_g": grams}).drop("_h")
-    marked = F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("pos")))
-    if near == 1:
-        return with_once(df, {"prints": marked}).drop("_g")
-    least = F.transform(head(g, near - 1), lambda x, i: F.least(x, *(F.get(g, i + k) for k in range(1, near))))
-    df = with_once(df, {"_low": least})
-    # a hash is the least of some neighbours if it equals the greatest of their least ones
-    chosen = F.filter(marked, lambda s: s["h"] == F.greatest(*(F.get(low, s["pos"] - k) for k in range(near))))
-    return with_once(df, {"prints": chosen}).drop("_g", "_low")
+    rows = df.select("*", F.posexplode_outer("_h").alias("start", "_0"))
+    at = [F.col("_0"), *(F.get("_h", F.col("start") + k) for k in range(1, window))]
+    gram = GRAM if window >= WINDOW else window
+    grams = [F.xxhash64(*at[k : k + gram]) for k in range(window - gram + 1)]
+    least = F.least(*grams) if len(grams) > 1 else grams[0]
+    return rows.withColumn("print", F.when(at[-1].isNotNull(), least)).drop("_h", "_0")
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct windows (n, wh, window, set_id) of the items, names (set_id, names), and fingerprints (n, h).
+    """Distinct windows (n, wh, window, set_id) of the items, names (set_id, names), and fingerprints (n, print).
 
     ``n`` is the number of words: ``window``, or all of a shorter item. ``names`` are the ids, as text, of the
     items that hold the window; windows of the same items share a ``set_id``.
@@ -66,37 +55,31 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Dat
     held = held.select("n", F.xxhash64("window").alias("wh"), "window", F.md5(F.to_json("names")).alias("set_id"), "names")
     held = staged(held, "windows")
     names = staged(held.select("set_id", "names").dropDuplicates(["set_id"]), "names")
-    lengths = sorted(r.n for r in words.select("n").distinct().collect())  # at most ``window`` numbers
-    prints = None
-    for n in lengths:
-        own = with_fingerprints(words.where(F.col("n") == n).select("words"), n)
-        own = own.select(F.lit(n).alias("n"), F.explode("prints.h").alias("h"))
-        prints = own if prints is None else prints.unionByName(own)
-    if prints is None:
-        prints = words.select("n", F.lit(0).cast("long").alias("h"))
+    prints = words.select(F.lit(None).cast("int").alias("n"), F.lit(None).cast("long").alias("print")).limit(0)
+    for n in lengths_of(held):
+        own = windows_of(words.where(F.col("n") == n).select("words"), n)
+        prints = prints.unionByName(own.where("print is not null").select(F.lit(n).alias("n"), "print"))
     return held.drop("names"), names, staged(prints.distinct(), "prints")
 
 
-def _anchors(prints: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """digest, n, pos of the fingerprints that some item of length ``n`` has too."""
-    each = prints.select("digest", F.explode("prints").alias("p")).select("digest", "p.h", "p.pos")
-    found = join_small(each, staged(wanted.where(F.col("n") == n).select("h"), "wanted"), "h", "left_semi")
-    return found.select("digest", F.lit(n).alias("n"), "pos")
+def lengths_of(rows: DataFrame) -> list[int]:
+    """The lengths of windows that occur, at most ``WINDOW`` numbers."""
+    return sorted(r.n for r in rows.select("n").distinct().collect())
 
 
-def _extended(texts: DataFrame, anchors: DataFrame, windows: DataFrame) -> DataFrame:
-    """digest, start, n, set_id of the windows around the anchors whose words an item has."""
-    own = anchors.groupBy("digest", "n").agg(F.collect_set("pos").alias("at"))
-    rows = own.join(texts, "digest")
-    back = F.when(F.col("n") >= WINDOW, F.col("n") - GRAM).otherwise(0)
-    first = lambda p: F.greatest(p - back, F.lit(0))
-    last = F.size("words") - F.col("n")
-    around = F.transform("at", lambda p: F.when(first(p) <= last, F.sequence(first(p), F.least(p, last))).otherwise(F.array().cast("array<int>")))
-    starts = F.explode(F.array_distinct(F.flatten(around))).alias("start")
-    each = rows.select("digest", "n", "words", starts)
-    each = each.select("digest", "n", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("own"))
-    each = each.withColumn("wh", F.xxhash64("own"))
-    return join_small(each, windows, ["n", "wh"], "inner").where("own = window").select("digest", "start", "n", "set_id")
+def _found(words: DataFrame, n: int, prints: DataFrame) -> DataFrame:
+    """digest, n, start, own: the windows of ``n`` words whose print an item has, with their words."""
+    own = F.slice("words", F.col("start") + 1, F.lit(n)).alias("own")
+    if fits(prints):
+        each = windows_of(words.select("digest", "words"), n)
+        found = each.join(F.broadcast(prints), "print", "left_semi")
+        return found.select("digest", F.lit(n).alias("n"), "start", own)
+    # many items: only numbers are shuffled, and the words are cut again for the texts that have a print
+    each = windows_of(words.select("digest", "words"), n).select("digest", "start", "print")
+    starts = each.join(prints.hint("merge"), "print", "left_semi").distinct().groupBy("digest")
+    starts = staged(starts.agg(F.collect_list("start").alias("starts")), "starts")
+    texts = words.select("digest", "words").join(starts, "digest").dropDuplicates(["digest"])
+    return texts.select("digest", "words", F.explode("starts").alias("start")).select("digest", F.lit(n).alias("n"), "start", own)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -113,20 +96,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
     Work goes by distinct text (its digest), so copies are extended once.
     """
-    windows, names, wanted = item_windows(items, window)
+    windows, names, prints = item_windows(items, window)
     key = F.md5(F.coalesce("text", F.lit(""))).alias("digest")
     words = with_once(docs.select("doc_id", key, "text"), {"words": words_of(F.col("text"))}).drop("text")
-    words = words.withColumn("n_words", F.size("words").cast("long"))
-    seen = staged(with_fingerprints(words, window).drop("words"), "fingerprints")
-    anchors = _anchors(seen, wanted, window)
-    for n in (r.n for r in wanted.where(F.col("n") < window).select("n").distinct().collect()):
-        short = with_fingerprints(words.select("digest", "words"), n).drop("words")
-        anchors = anchors.unionByName(_anchors(short, wanted, n))
-    anchors = staged(anchors.distinct(), "anchors")
-    marked = staged(anchors.select("digest").distinct(), "marked")
-    texts = join_small(docs.select(key, "text"), marked, "digest", "left_semi").dropDuplicates(["digest"])
-    texts = with_once(texts, {"words": words_of(F.col("text"))}).drop("text")
-    hits = staged(_extended(texts, anchors, windows), "hits")
+    counted = words.select("doc_id", "digest", F.size("words").cast("long").alias("n_words"), "words")
+    main = prints.where(F.col("n") == window).select("print")
+    if fits(main):
+        # one pass over the texts gives their sizes, on the first word's row, and the windows found
+        each = windows_of(counted, window).join(F.broadcast(main.withColumn("_in", F.lit(True))), "print", "left")
+        first = F.coalesce(F.col("start") == 0, F.lit(True))
+        own = F.when(F.col("_in"), F.slice("words", F.col("start") + 1, F.lit(window)))
+        each = each.where(first | F.col("_in")).select("doc_id", "digest", "n_words", first.alias("_first"), "start", own.alias("own"))
+        each = staged(each, "seen")
+        seen = each.where("_first").select("doc_id", "digest", "n_words")
+        found = each.where("own is not null").select("digest", F.lit(window).alias("n"), "start", "own")
+    else:
+        seen = staged(counted.drop("words"), "seen")
+        found = _found(words, window, main)
+    for n in lengths_of(prints):
+        if n < window:
+            found = found.unionByName(_found(words, n, prints.where(F.col("n") == n).select("print")))
+    found = found.withColumn("wh", F.xxhash64("own"))
+    found = join_small(found, windows, ["n", "wh"], "inner").where("own = window")
+    hits = staged(found.select("digest", "start", "n", "set_id").distinct(), "hits")
 
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
     at = F.col("_at")
