@@ -25,9 +25,11 @@ from wtel.llm.common import slices, staged
 #: Characters of a chunk, and how many of the next chunk it sees.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 150_000
-#: Bytes of text that are encoded at once; the arrays over it take some forty times as much.
-PART_BYTES = 2 << 20
+REMEMBERED = 60_000
+#: Bytes of text that are encoded at once; the arrays over it take some thirty times as much.
+PART_BYTES = 512 << 10
+#: Code points whose classes are looked up at once; surrogates fill whole steps.
+STEP = 0x800
 #: Rows that are decoded at once.
 ROWS = 500
 
@@ -106,13 +108,14 @@ def _classes() -> np.ndarray:
     import regex
 
     out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            a, b = ord(m[0][0]), ord(m[0][-1])
-            out[a : b + 1] = kind if b - a < len(m[0]) else out[a : b + 1]
-            if b - a >= len(m[0]):  # a run over the gap of the surrogates
-                out[a:0xD800], out[0xE000 : b + 1] = kind, kind
+    patterns = [(kind, regex.compile(p)) for kind, p in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+"))]
+    for start in range(0, 0x110000, STEP):
+        if 0xD800 <= start < 0xE000:
+            continue
+        some = "".join(map(chr, range(start, start + STEP)))
+        for kind, pattern in patterns:
+            for m in pattern.finditer(some):
+                out[start + m.start() : start + m.end()] = kind
     return out
 
 
@@ -172,15 +175,18 @@ class Tokenizer:
         ends = begins + sizes
         starts = piece_starts(points, ends[:-1])
         at = np.flatnonzero(starts)
-        width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF).astype(np.int64)
-        place = np.concatenate([[0], np.cumsum(width)])
         data = whole.encode()
-        cuts = np.concatenate([place[at], [len(data)]])
-        if cuts[-1] < 1 << 31:
-            buffers, kind = [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)], pa.binary()
-        else:
-            buffers, kind = [None, pa.py_buffer(cuts), pa.py_buffer(data)], pa.large_binary()
-        pieces = pa.Array.from_buffers(kind, len(at), buffers)
+        small = len(data) < 1 << 31
+        place = (points > 0x7F).astype(np.uint8)  # bytes of a character beyond the first
+        place += points > 0x7FF
+        place += points > 0xFFFF
+        place = np.cumsum(place, dtype=np.int32 if small else np.int64)
+        # a piece starts behind the characters before it: their number and their further bytes
+        before = np.where(at > 0, place[at - 1], 0)
+        cuts = np.append(at + before, len(data)).astype(np.int32 if small else np.int64)
+        del points, place, starts
+        buffers = [None, pa.py_buffer(cuts), pa.py_buffer(data)]
+        pieces = pa.Array.from_buffers(pa.binary() if small else pa.large_binary(), len(at), buffers)
         low = np.searchsorted(at, begins if first is None else begins + np.array(first))
         high = np.searchsorted(at, ends if stop is None else begins + np.array(stop))
         used = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)] or [np.empty(0, np.int64)])
@@ -234,6 +240,8 @@ def _encode_whole(docs: DataFrame, path: str) -> DataFrame:
                 ids = own.encode(pc.fill_null(part.column("text"), "").to_pylist())
                 kept = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*kept, ids], [*part.schema.names[:-1], "ids"])
+                del ids, kept
+                pa.default_memory_pool().release_unused()
 
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]]
     return docs.mapInArrow(run, ", ".join([*kept, "ids array<int>"]))
