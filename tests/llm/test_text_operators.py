@@ -1,7 +1,9 @@
 """Quality, URL, secret, language, toxicity and language-model operators against plain Python."""
 
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -366,3 +368,47 @@ def test_language_model_odd_rows(odd, none):
 def test_packed_pairs():
     first, second, count = kneser_ney.added(*(pa.array(x).to_numpy().astype(kind) for x, kind in (([3, 1, 3, 3], "u8"), ([4, 2, 4, 1], "u8"), ([1, 1, 1, 5], "i8"))))
     assert [x.tolist() for x in kneser_ney._unpack(kneser_ney._pack(first, second, count))] == [[1, 3, 3], [2, 1, 4], [1, 5, 2]]
+
+
+def test_constants_that_grow_cost_little():
+    """A constant added to itself on each line has one span, however long its value would be."""
+    started = time.perf_counter()
+    for line in ("password = password + password", "k = k + k", 'password = password + "ab1$"'):
+        text = 'password = "Zx9$kk20aQ!f"\nk = "Zx9$kk20aQ!f"\n' + f"{line}\n" * 200 + "token = k\n"
+        spans = secrets.literal_spans(text)
+        assert ("literal", 12, 24) in spans
+    assert 'password = "' + "<" * 200_000 + '"' and secrets.literal_spans('password = "' + "<" * 200_000 + '"') == []
+    assert time.perf_counter() - started < 2
+
+
+def test_constants_follow_random_assignments():
+    """Against a walk that spells every value out."""
+    rng = random.Random(9)
+    names = ["a", "b", "c", "password", "api_key"]
+    for _ in range(300):
+        lines, at, known, want = [], 0, {}, set()
+        for _ in range(rng.randrange(1, 9)):
+            name, line, parts = rng.choice(names), "", []
+            for k in range(rng.randrange(1, 4)):
+                line += " + " if k else ""
+                if parts and rng.random() < 0.1:
+                    break
+                if rng.random() < 0.5 and known:
+                    used = rng.choice(sorted(known))
+                    line += used
+                    parts += known[used]
+                else:
+                    value = "".join(rng.choice("abXY19$%") for _ in range(rng.randrange(1, 12)))
+                    start = at + len(name) + 3 + len(line) + 1
+                    line += f'"{value}"'
+                    parts.append((start, start + len(value), value))
+            if line.endswith(" + "):
+                line = line[:-3]
+            lines.append(f"{name} = {line}")
+            at += len(lines[-1]) + 1
+            known[name] = parts
+            whole = "".join(p[2] for p in parts)
+            weight = secrets.name_score(name)
+            if weight >= secrets.THRESHOLD and weight * secrets.literal_score(whole) >= secrets.THRESHOLD:
+                want.update((a, b) for a, b, _ in parts)
+        assert {(a, b) for _, a, b in secrets.literal_spans("\n".join(lines))} == want

@@ -40,7 +40,7 @@ PLACEHOLDER = re.compile(
     r"(?:x+|\*+|\.+|none|null|nil|true|false|undefined|todo|test|changeme|change_me|placeholder|redacted|hidden)$"
     # words alone, one of them example or your
     r"|(?=[a-z]*(?:[ _.@:/-][a-z]*)*[ _.-]?[0-9]{0,4}\Z)(?:.*[^a-z])?(?:examples?|your)(?![a-z])"
-    r"|.*(?:<[^>]*>|\$\{|\{\{|%\()",
+    r"|.*(?:<[^<>]*>|\$\{|\{\{|%\()",
     re.I | re.A | re.S,
 )
 #: Longest name that is read.
@@ -96,23 +96,84 @@ def name_score(name: str) -> float:
     return max(0.0, best - max((HARMLESS[w] for w in words if w in HARMLESS), default=0.0))
 
 
+#: Characters up to which a joined value is kept as text; a longer one is scored by its counts.
+KEPT_LENGTH = 512
+#: Parts of a longer value that stand for something to be filled in.
+_OPEN = re.compile(r"<[^<>]*>|\$\{|\{\{|%\(")
+#: Occurrences of a character in a joined value that are told apart.
+MOST_COUNTED = 1 << 20
+
+
+class Value:
+    """What a name stands for: a literal, or values joined by +.
+
+    A joined value refers to its parts and is never spelt out beyond ``KEPT_LENGTH``, so that a constant added to
+    itself on each line costs a line's work, not twice that of the line before.
+    """
+
+    __slots__ = ("span", "parts", "text", "counts", "is_open")
+
+    def __init__(self, text: str | None, span: tuple[int, int] | None = None, parts: tuple = (), counts=None, is_open: bool = False):
+        self.text, self.span, self.parts, self.counts, self.is_open = text, span, parts, counts, is_open
+
+    def characters(self) -> Counter:
+        """Occurrences of each character (of its lowest byte, in long values)."""
+        if self.counts is None:
+            whole = self.text or ""
+            self.counts = Counter(whole) if len(whole) <= KEPT_LENGTH else Counter(chr(ord(c) & 255) for c in whole)
+            self.is_open = self.is_open or bool(_OPEN.search(whole))
+        return self.counts
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        texts = [p.text for p in parts]
+        if all(t is not None for t in texts) and sum(map(len, texts)) <= KEPT_LENGTH:
+            return cls("".join(texts), parts=tuple(parts))
+        counts: Counter = Counter()
+        for p in parts:
+            for c, k in p.characters().items():
+                c = chr(ord(c) & 255)
+                counts[c] = min(counts[c] + k, MOST_COUNTED)
+        return cls(None, parts=tuple(parts), counts=counts, is_open=any(p.is_open for p in parts))
+
+    def score(self) -> float:
+        """How much the value looks like a chosen or random one, 0 to 1: its total entropy and classes."""
+        counts = self.characters()
+        n = sum(counts.values())
+        if n < 6 or (PLACEHOLDER.match(self.text) if self.text is not None else self.is_open):
+            return 0.0
+        bits = sum(-c * math.log2(c / n) for c in counts.values())
+        classes = sum(any(map(f, counts)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+        blank = " " in (self.text.strip() if self.text is not None else counts)
+        plain = classes == 1 and n < 20 or blank
+        return min(1.0, bits / 40) * (0.5 if plain else 1.0)
+
+
 def literal_score(value: str) -> float:
-    """How much a literal looks like a chosen or random value, 0 to 1: its total entropy and classes."""
-    if len(value) < 6 or PLACEHOLDER.match(value):
-        return 0.0
-    n = len(value)
-    bits = sum(-c * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    plain = classes == 1 and n < 20 or " " in value.strip()
-    return min(1.0, bits / 40) * (0.5 if plain else 1.0)
+    """``Value.score`` of a literal."""
+    return Value(value).score()
 
 
-Part = tuple[int, int, str]
+def _spans_of(values: list[Value]) -> list[tuple[int, int]]:
+    """Where the literals were written that the values are made of; every value is looked at once."""
+    seen: set[int] = set()
+    out, open_ = set(), list(values)
+    while open_:
+        value = open_.pop()
+        if id(value) in seen:
+            continue
+        seen.add(id(value))
+        if value.span and value.span[1] > value.span[0]:
+            out.add(value.span)
+        open_ += value.parts
+    return sorted(out)
 
 
-def _right_side(text: str, at: int, known: dict[str, list[Part]], tight: bool) -> list[Part]:
-    """Literals that make up the value after a sign: quoted, named, joined by +, or a bare token."""
-    out: list[Part] = []
+def _right_side(text: str, at: int, known: dict[str, Value], tight: bool) -> list[Value]:
+    """The values after a sign: quoted, named, joined by +, or a bare token."""
+    out: list[Value] = []
     at = _BLANK.match(text, at).end()
     while True:
         if m := _QUOTED.match(text, at):
@@ -120,11 +181,11 @@ def _right_side(text: str, at: int, known: dict[str, list[Part]], tight: bool) -
             value = m[group]
             if "f" in (prefix := text[at : m.start(group)].lower()) or "$" in prefix:
                 value = _FILLED.sub("", value)
-            out.append((*m.span(group), value))
+            out.append(Value(value, m.span(group)))
         elif (m := _WORD.match(text, at)) and m[0] in known:
-            out += known[m[0]]
+            out.append(known[m[0]])
         elif not out and (m := _BARE.match(text, at)) and (tight or _LINE_END.match(text, m.end())):
-            return [(*m.span(), m[0])]
+            return [Value(m[0], m.span())]
         else:
             return out
         at = m.end()
@@ -136,8 +197,8 @@ def _right_side(text: str, at: int, known: dict[str, list[Part]], tight: bool) -
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants."""
-    known: dict[str, list[Part]] = {}
-    found: set[tuple[int, int]] = set()
+    known: dict[str, Value] = {}
+    found: list[Value] = []
     for sign in _SIGN.finditer(text):
         left = text[max(0, sign.start() - NAME_LENGTH) : sign.start()]
         name, typed = _NAME.search(left), None
@@ -153,11 +214,12 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, in
             for n in names:
                 known.pop(n, None)
             continue
-        known.update(dict.fromkeys(names, parts))
+        value = Value.joined(parts)
+        known.update(dict.fromkeys(names, value))
         weight = max(map(name_score, names))
-        if weight >= threshold and weight * literal_score("".join(p[2] for p in parts)) >= threshold:
-            found.update((a, b) for a, b, _ in parts if b > a)
-    return [("literal", a, b) for a, b in sorted(found)]
+        if weight >= threshold and weight * value.score() >= threshold:
+            found.append(value)
+    return [("literal", a, b) for a, b in _spans_of(found)]
 
 
 def all_spans(text: str, threshold: float = THRESHOLD) -> tuple[list, list]:
@@ -211,7 +273,9 @@ def joined(spans: Column) -> Column:
 def masked_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with every secret in ``text`` replaced by ``MASK``; n_chars follows the text.
 
-    Other rows and columns are unchanged, and so is a null text.
+    Other rows and columns are unchanged, and so is a null or empty text. Repeated rows are masked alike, null ids
+    stay, texts of any length are read whole, and columns beside text and n_chars are passed on
+    whatever their names. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
