@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wtel.functions.once import with_once
 from wtel.functions.text import full_table_name, labelled_comment, last_alias
 from wtel.sinks.staging import staged
 
@@ -138,8 +139,10 @@ def stage_keys(ops: DataFrame, attrs: DataFrame) -> DataFrame:
 
 
 # Titles of an operator's comment, in order, for each operator type. The third item
-# says how a value is shown: as it is, after its position (first five only), or only if positive.
-AS_IS, AFTER_POSITION, IF_POSITIVE = "as is", "after position", "if positive"
+# says how a value is shown: as it is, after its position, only if positive, or (of a select item) by its kind.
+AS_IS, AFTER_POSITION, IF_POSITIVE, OF_KIND = "as is", "after position", "if positive", "of kind"
+# An attribute that is worked out instead of stored.
+MADE = "made"
 _JOIN = [
     ("cond", "condition map", AS_IS),
     ("filterString", "condition expressions", AFTER_POSITION),
@@ -150,21 +153,21 @@ _JOIN = [
     ("nullSafe", "nullSafes", AS_IS),
 ]
 TITLES = {
-    "JOIN": [*_JOIN, ("joinKey", "joinKeys", AS_IS)],
+    "JOIN": [*_JOIN, ("joinKey", "joinKeys", MADE)],
     "MAPJOIN": [
         *_JOIN,
         ("mapKey", "keys", AFTER_POSITION),
         ("bigTablePos", "Position of Big Table", AS_IS),
-        ("joinVariant", "Map Join Variant", AS_IS),
+        ("joinVariant", "Map Join Variant", MADE),
     ],
     "GROUPBY": [
         ("key", "keys", AS_IS),
         ("outputCol", "outputCols", AS_IS),
         ("aggregation", "aggregations", AS_IS),
-        ("implied", "distinct", AS_IS),
-        ("explicit", "distinct", AS_IS),
+        ("implied", "distinct", MADE),
+        ("explicit", "distinct", MADE),
     ],
-    "SELECT": [("shownExpr", "select", AS_IS), ("outputCol", "outputCols", AS_IS)],
+    "SELECT": [("expr", "select", OF_KIND), ("outputCol", "outputCols", AS_IS)],
     "TABLESCAN": [
         ("alias", "alias", AS_IS),
         ("partitionCol", "partitionCols", AS_IS),
@@ -173,7 +176,7 @@ TITLES = {
     ],
     "FILESINK": [
         ("dirName", "dirName", AS_IS),
-        ("otherDirName", "finalDirName", AS_IS),
+        ("otherDirName", "finalDirName", MADE),
         ("numFiles", "numFiles", AS_IS),
         ("partitionCol", "partitionCols", AS_IS),
     ],
@@ -186,48 +189,89 @@ TITLES = {
         ("numReducers", "numReducers", IF_POSITIVE),
     ],
 }
+# The attribute and the words around it of operators that are told in one line.
+PLAIN = {
+    "EXTRACT": ("expr", "extract: ", ""),
+    "FILTER": ("predicate", "", ""),
+    "LIMIT": ("limit", "limit: ", ""),
+    "SCRIPT": ("command", "", ""),
+    "UNION": ("inputs", "union of ", " inputs"),
+    "UDTF": ("name", "UDTF: ", ""),
+}
+# The attribute of which all values are told in one line, and the words before them.
+SPACED = {"LATERALVIEWJOIN": ("outputCol", "Lateral View Join: "), "HASHTABLESINK": ("cond", "conditions: ")}
 
 
-def _named(attr: str) -> Column:
-    return F.filter("attrs", lambda a: a["attr"] == attr)
-
-
-def _value(attr: str) -> Column:
-    return F.get(_named(attr), F.lit(0))["value"]
-
-
-def _shown(attr: str, show: str) -> Column:
-    """Values of an attribute as they appear in a comment."""
-    found = F.filter(_named(attr), lambda a: F.coalesce(a["value"], F.lit("")) != "")
-    if show == IF_POSITIVE:
-        found = F.filter(found, lambda a: F.coalesce(a["value"].try_cast("int") > 0, F.lit(False)))
+def _rules(spark) -> DataFrame:
+    """The rules as rows: what an attribute of an operator type adds to the comment, and where."""
+    rows = []
+    for kind, titles in TITLES.items():
+        order = list(dict.fromkeys(title for _, title, _ in titles))
+        rows += [(kind, a, order.index(t), i, f"{t}: ", show) for i, (a, t, show) in enumerate(titles) if show != MADE]
+    rows += [(kind, a, -1, 0, "", "plain") for kind, (a, _, _) in PLAIN.items()]
+    rows += [(kind, a, -1, 0, "", "spaced") for kind, (a, _) in SPACED.items()]
+    # attributes that only decide about others
+    rows += [("FILESINK", a, -1, 0, "", a) for a in ("dirName", "finalDirName")]
+    rows += [("GROUPBY", a, -1, 0, "", a) for a in ("aggregation", "distinct")]
+    return spark.createDataFrame(rows, "op_type string, attr string, title int, rule int, lead string, show string")
 
-    def text(a: Column) -> Column:
-        if show == AFTER_POSITION:
-            return F.concat(a["pos"].cast("string"), F.lit(": "), a["value"])
-        return a["value"]
 
-    return F.transform(found, text)
+def _made(kind: str, attr: str, value: Column) -> Column:
+    """The entry of an attribute that is worked out; null without a value."""
+    titles = TITLES[kind]
+    order = list(dict.fromkeys(title for _, title, _ in titles))
+    at, title = next((i, t) for i, (a, t, _) in enumerate(titles) if a == attr)
+    fits = (F.col("op_type") == kind) & (F.coalesce(value, F.lit("")) != "")
+    none = F.lit(None)
+    entry = F.struct(
+        F.lit(order.index(title)).alias("title"), F.lit(at).alias("rule"), F.lit(0).alias("pos"), value.alias("value"),
+        none.cast("string").alias("kind"), F.lit(f"{title}: ").alias("lead"), value.alias("text"),
+    )
+    return F.when(fits, entry)
 
 
-def _titled(rules: list[tuple[str, str, str]]) -> Column:
-    """One line per title that has a value."""
-    titles = list(dict.fromkeys(title for _, title, _ in rules))
-    lines = []
-    for title in titles:
-        values = F.array_join(F.concat(*[_shown(a, show) for a, t, show in rules if t == title]), ", ")
-        lines.append(F.when(values != "", F.concat(F.lit(title + ": "), values)))
-    return F.concat_ws("\n", *lines)
+def _lines(entries: Column) -> Column:
+    """Sorted entries as text: a line for each title with its values."""
 
+    def text(e: Column, i: Column) -> Column:
+        same = e["title"].eqNullSafe(F.get(entries, i - 1)["title"])
+        glue = F.when(same, F.lit(", ")).when(i == 0, e["lead"]).otherwise(F.concat(F.lit("\n"), e["lead"]))
+        return F.concat(glue, e["text"])
 
-def _spaced(attr: str) -> Column:
-    return F.array_join(F.transform(_named(attr), lambda a: F.concat(F.lit(" "), a["value"])), "")
+    return F.array_join(F.transform(entries, text), "")
 
 
 def operator_comment(ops: DataFrame, attrs: DataFrame) -> DataFrame:
-    """The text that describes each operator, by its type; null for types that have none."""
-    gathered = attrs.groupBy(*OP).agg(
-        F.array_sort(F.collect_list(F.struct("attr", "pos", "value", "kind"))).alias("attrs")
+    """The text that describes each operator, by its type; null for types that have none.
+
+    Attributes meet the rules of their operator's type as rows of a small table, and one aggregation
+    per operator puts what they add in order.
+    """
+    held = attrs.select(*OP, "attr", "pos", "value", "kind")
+    rows = ops.select(*OP, "op_type", "variant", "seq", _shown_type().alias("shown_type")).join(held, OP, "left")
+    rows = rows.join(F.broadcast(_rules(ops.sparkSession)), ["op_type", "attr"], "left")
+    show, value = F.col("show"), F.col("value")
+    is_shown = (
+        show.isin(AS_IS, AFTER_POSITION)
+        | ((show == IF_POSITIVE) & (value.try_cast("int") > 0))
+        | ((show == OF_KIND) & F.col("kind").isin("field", "column", "constant", "func"))
+    )
+    text = F.when(show == AFTER_POSITION, F.concat(F.col("pos").cast("string"), F.lit(": "), value)).otherwise(value)
+    entry = F.struct("title", "rule", "pos", "value", "kind", "lead", text.alias("text"))
+    own = F.struct("pos", "value", "kind")
+    first = lambda what: F.min(F.when(show == what, own))["value"]
+    gathered = rows.groupBy(*OP).agg(
+        F.first("op_type").alias("op_type"),
+        F.first("shown_type").alias("shown_type"),
+        F.first("variant").alias("variant"),
+        F.first("seq").alias("seq"),
+        F.collect_list(F.when(is_shown & (value != ""), entry)).alias("entries"),
+        F.array_sort(F.collect_list(F.when(show == "spaced", own))).alias("spaced"),
+        first("plain").alias("plain"),
+        first("dirName").alias("dir"),
+        first("finalDirName").alias("final_dir"),
+        first("distinct").alias("distinct"),
+        F.count(F.when(show == "aggregation", 1)).alias("n_aggregations"),
     )
     # a common join also shows the partition columns its stage has collected so far
     parts = (
@@ -236,79 +280,34 @@ def operator_comment(ops: DataFrame, attrs: DataFrame) -> DataFrame:
         .groupBy(*STAGE)
         .agg(F.array_sort(F.collect_list(F.struct("seq", "pos", "value"))).alias("parts"))
     )
-    none = F.filter(F.col("attrs"), lambda a: F.lit(False))
-
-    def made(attr: str, value: Column, given: Column | None = None) -> Column:
-        """An attribute that is worked out instead of stored."""
-        one = F.array(
-            F.struct(
-                F.lit(attr).alias("attr"), F.lit(0).alias("pos"), value.alias("value"),
-                F.lit(None).cast("string").alias("kind"),
-            )
-        )
-        return one if given is None else F.when(given, one).otherwise(none)
-
     flags = F.col("variant")
     variant = (
         F.when(F.contains(flags, F.lit("sink")), "HashTable Sink")
         .when(F.contains(flags, F.lit("sorted")), "Sorted Merge Bucket")
         .when(F.contains(flags, F.lit("bucket")), "Bucket")
     )
-    shown = F.transform(
-        F.filter(
-            _named("expr"), lambda a: a["kind"].isin("field", "column", "constant", "func")
-        ),
-        lambda a: F.struct(F.lit("shownExpr").alias("attr"), a["pos"], a["value"], a["kind"]),
-    )
-    join_keys = F.transform(
-        F.filter("parts", lambda p: p["seq"] < F.col("seq")),
-        lambda p: F.struct(
-            F.lit("joinKey").alias("attr"), p["pos"], p["value"],
-            F.lit(None).cast("string").alias("kind"),
-        ),
-    )
-    empty = F.array().cast("array<struct<attr:string,pos:int,value:string,kind:string>>")
-    op = F.col("op_type")
-    extra = (
-        F.when(op == "JOIN", F.coalesce(join_keys, empty))
-        .when(op == "MAPJOIN", made("joinVariant", variant))
-        .when(op == "SELECT", shown)
-        .when(
-            op == "FILESINK",
-            made("otherDirName", _value("finalDirName"), _value("finalDirName") != _value("dirName")),
-        )
-        .when(
-            op == "GROUPBY",
-            F.concat(
-                made("implied", F.lit("implied"), F.size(_named("aggregation")) == 0),
-                made("explicit", F.lit("explicit"), _value("distinct") == "true"),
-            ),
+    earlier = F.filter("parts", lambda p: (p["seq"] < F.col("seq")) & (F.coalesce(p["value"], F.lit("")) != ""))
+    keys = F.array_join(F.transform(earlier, lambda p: p["value"]), ", ")
+    known = gathered.join(parts, STAGE, "left")
+    made = F.array_compact(
+        F.array(
+            _made("JOIN", "joinKey", keys),
+            _made("MAPJOIN", "joinVariant", variant),
+            _made("FILESINK", "otherDirName", F.when(F.col("final_dir") != F.col("dir"), F.col("final_dir"))),
+            _made("GROUPBY", "implied", F.when(F.col("n_aggregations") == 0, F.lit("implied"))),
+            _made("GROUPBY", "explicit", F.when(F.col("distinct") == "true", F.lit("explicit"))),
         )
-        .otherwise(none)
-    )
-    titled = F.lit(None).cast("string")
-    for kind, rules in TITLES.items():
-        titled = F.when(op == kind, _titled(rules)).otherwise(titled)
-    plain = (
-        F.when(op == "EXTRACT", F.concat(F.lit("extract: "), _value("expr")))
-        .when(op == "FILTER", _value("predicate"))
-        .when(op == "LIMIT", F.concat(F.lit("limit: "), _value("limit")))
-        .when(op == "SCRIPT", _value("command"))
-        .when(op == "UNION", F.concat(F.lit("union of "), _value("inputs"), F.lit(" inputs")))
-        .when(op == "UDTF", F.concat(F.lit("UDTF: "), _value("name")))
-        .when(op == "LATERALVIEWJOIN", F.concat(F.lit("Lateral View Join: "), _spaced("outputCol")))
-        .when(op == "LATERALVIEWFORWARD", F.lit("Lateral View Forward"))
-        .when(op == "HASHTABLESINK", F.concat(F.lit("conditions: "), _spaced("cond")))
-    )
-    known = (
-        ops.join(gathered, OP, "left")
-        .join(parts, STAGE, "left")
-        .withColumn("attrs", F.coalesce("attrs", empty))
-        .withColumn("attrs", F.concat("attrs", extra))
-    )
-    return known.select(
-        *OP, "seq", _shown_type().alias("op_type"), F.coalesce(titled, plain).alias("comment")
     )
+    known = with_once(known, {"entries": F.array_sort(F.concat("entries", made))})
+    op = F.col("op_type")
+    spaced = F.array_join(F.transform("spaced", lambda a: F.concat(F.lit(" "), a["value"])), "")
+    told = F.when(op == "LATERALVIEWFORWARD", F.lit("Lateral View Forward"))
+    for kind, (_, before, after) in PLAIN.items():
+        told = told.when(op == kind, F.concat(F.lit(before), F.col("plain"), F.lit(after)))
+    for kind, (_, before) in SPACED.items():
+        told = told.when(op == kind, F.concat(F.lit(before), spaced))
+    comment = F.when(op.isin(*TITLES), _lines(F.col("entries"))).otherwise(told)
+    return known.select(*OP, "seq", F.col("shown_type").alias("op_type"), comment.alias("comment"))
 
 
 def attribute_comment(attrs: DataFrame) -> DataFrame:
