@@ -57,6 +57,15 @@ def _src3(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _snk4(s: SparkSession, d: str) -> DataFrame:
+    """The tag tables after two snapshots: the registered tags with 0, then their current values."""
+    root = f"{shared_folder(s).rstrip('/')}/tags-{uuid.uuid4().hex}"
+    registry = view(s, d, "registry")
+    tables.write_tags(tables.initial_tags(registry), root)
+    tables.write_tags(counters.current_tags(registry, counters.tag_values(_packets(s, d))), root)
+    return tables.read_tags(s, root).select("table_name", "tag", "value")
+
+
 def _snk3(s: SparkSession, d: str) -> DataFrame:
     """Rows of a metric table after they were appended to it."""
     long_value = F.repeat(F.concat("id", F.lit(";")), 20)
@@ -87,9 +96,7 @@ QUERIES: dict[str, Query] = {
     ).select("query_id", "query_string"),
     "src8_parse_statsd": _packets,
     "snk3_append_metric": _snk3,
-    "snk4_upsert_tags": lambda s, d: counters.current_tags(
-        view(s, d, "registry"), counters.tag_values(_packets(s, d))
-    ),
+    "snk4_upsert_tags": _snk4,
     "prj1_to_long_metrics": lambda s, d: changes.to_long_metrics(
         _apps(s, d).withColumn("AppId", F.col("id")), ["AppId"], changes.APP_FIELDS
     ),

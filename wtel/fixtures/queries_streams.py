@@ -12,7 +12,7 @@ from wtel import schemas
 from wtel.fixtures.queries_polls import PREFIX
 from wtel.fixtures.views import view
 from wtel.operators import runs
-from wtel.sinks import tables
+from wtel.sinks import tables, versions
 from wtel.sinks.staging import shared_folder
 from wtel.sources import logs
 from wtel.streaming import jobs
@@ -51,30 +51,26 @@ def _replay(s: SparkSession, rows: DataFrame, order: str, start: Callable) -> st
     return out
 
 
-def _job(name: str, order: str, job: Callable) -> Query:
+def _job(name: str, order: str, job: Callable, read: Callable = jobs.parts) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        return s.read.parquet(replay(s, view(s, d, name), order, job))
+        return read(s, replay(s, view(s, d, name), order, job))
 
     return run
 
 
-def _str1_cluster(s: SparkSession, d: str) -> DataFrame:
-    return jobs.parts(s, replay(s, view(s, d, "cluster_docs"), "poll_no", jobs.cluster_changes))
-
-
 def _str2_apps(s: SparkSession, d: str) -> DataFrame:
     docs = view(s, d, "node_apps_docs")
     first = docs.agg(F.min("poll_no")).first()[0]
     out = replay(
         s, docs, "poll_no", lambda df, o, c: jobs.node_app_changes(df, first, o, c)
     )
-    return s.read.parquet(out)
+    return jobs.parts(s, out)
 
 
 def _str3(kind: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         job = lambda df, o, c: jobs.tag_values(df, PREFIX, o, c)
-        rows = s.read.parquet(replay(s, view(s, d, "packets"), "seq", job))
+        rows = versions.current(s, replay(s, view(s, d, "packets"), "seq", job))
         return rows.where(F.col("table_name") == kind).select(F.col("tag").alias("name"), "value")
 
     return run
@@ -83,7 +79,7 @@ def _str3(kind: str) -> Query:
 def _str4(s: SparkSession, d: str) -> DataFrame:
     registry = view(s, d, "registry")
     job = lambda df, o, c: jobs.registry_snapshot(df, registry, PREFIX, o, c)
-    return s.read.parquet(replay(s, view(s, d, "packets"), "seq", job))
+    return versions.current(s, replay(s, view(s, d, "packets"), "seq", job))
 
 
 def _str7(s: SparkSession, d: str) -> DataFrame:
@@ -101,10 +97,8 @@ def _snk1(s: SparkSession, d: str) -> DataFrame:
     tables.append_rows(log, root, "queries")
     tables.ensure_tables(s, root)
     counts = [
-        s.read.schema(schema).parquet(tables.table_path(root, t)).agg(F.count("*").alias("n")).select(
-            F.lit(t).alias("table_name"), "n"
-        )
-        for t, schema in schemas.TABLES.items()
+        tables.read_table(s, root, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n")
+        for t in schemas.TABLES
     ]
     out = counts[0]
     for c in counts[1:]:
@@ -118,16 +112,16 @@ def _snk2(s: SparkSession, d: str) -> DataFrame:
     log = view(s, d, "query_log").select(
         F.col("query_id").alias("queryId"), F.col("query_string").alias("queryString")
     )
-    tables.append_rows(log.where("queryId % 2 = 0"), root, "queries")
-    tables.append_rows(log.where("queryId % 2 = 1"), root, "queries")
-    return s.read.parquet(tables.table_path(root, "queries"))
+    for batch, rest in (("a", 0), ("b", 1), ("a", 0)):  # one append is repeated, as after a failure
+        tables.append_rows(log.where(F.col("queryId") % 2 == rest), root, "queries", batch=batch)
+    return tables.read_table(s, root, "queries")
 
 
 def _stored(s: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     """Rows of a fact table after they were appended to it."""
     root = folder(s, "tables")
     tables.append_rows(rows, root, name)
-    return s.read.schema(schemas.TABLES[name]).parquet(tables.table_path(root, name))
+    return tables.read_table(s, root, name)
 
 
 def _run_queries(s: SparkSession, d: str) -> DataFrame:
@@ -173,7 +167,7 @@ QUERIES: dict[str, Query] = {
     "tbl_hive_stages": _hive_stages,
     "snk1_ensure_tables": _snk1,
     "snk2_append_rows": _snk2,
-    "str1_cluster_changes": _str1_cluster,
+    "str1_cluster_changes": _job("cluster_docs", "poll_no", jobs.cluster_changes),
     "str1_app_changes": _job("apps_docs", "poll_no", jobs.app_changes),
     "str1_queue_changes": _job("scheduler_docs", "poll_no", jobs.queue_changes),
     "str2_node_app_changes": _str2_apps,
@@ -181,7 +175,7 @@ QUERIES: dict[str, Query] = {
     "str3_counters": _str3("counts"),
     "str3_gauges": _str3("gauges"),
     "str4_registry_snapshot": _str4,
-    "str5_class_counts": _job("query_log", "start_time", jobs.class_counts),
+    "str5_class_counts": _job("query_log", "start_time", jobs.class_counts, versions.current),
     "str6_paired_events": _job("lifecycle_events", "ts", jobs.paired_events),
     "str7_query_states": _str7,
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wtel import schemas
+from wtel.sinks import versions
 
 
 def table_path(root: str, table: str) -> str:
@@ -27,9 +28,29 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.to(schemas.TABLES[table])
 
 
-def append_rows(df: DataFrame, root: str, table: str, fmt: str = "parquet") -> None:
-    """Append rows that fit the table's schema."""
-    conform(df, table).write.mode("append").format(fmt).save(table_path(root, table))
+def append_rows(
+    df: DataFrame, root: str, table: str, fmt: str = "parquet", batch: str | int | None = None
+) -> None:
+    """Append rows that fit the table's schema; read them with ``read_table``.
+
+    With ``batch``, the name of this append, a repeated append replaces what it wrote before and the rows are
+    there once.
+    """
+    _append(conform(df, table), root, table, fmt, batch)
+
+
+def _append(rows: DataFrame, root: str, table: str, fmt: str, batch: str | int | None) -> None:
+    path = table_path(root, table)
+    if batch is None:
+        rows.write.mode("append").format(fmt).save(path)
+    else:
+        rows.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch}")
+
+
+def read_table(spark: SparkSession, root: str, table: str, fmt: str = "parquet") -> DataFrame:
+    """All rows of a fact table, whether appended by batch or not."""
+    reader = spark.read.format(fmt).schema(schemas.TABLES[table]).option("recursiveFileLookup", "true")
+    return reader.load(table_path(root, table))
 
 
 def metric_rows(df: DataFrame, table: str, longest: int | None = None) -> DataFrame:
@@ -40,10 +61,10 @@ def metric_rows(df: DataFrame, table: str, longest: int | None = None) -> DataFr
 
 
 def append_metric(
-    df: DataFrame, root: str, table: str, fmt: str = "parquet", longest: int | None = None
+    df: DataFrame, root: str, table: str, fmt: str = "parquet", longest: int | None = None, batch: str | int | None = None
 ) -> None:
-    """Append to a long metric table."""
-    metric_rows(df, table, longest).write.mode("append").format(fmt).save(table_path(root, table))
+    """Append to a long metric table; ``batch`` as in ``append_rows``."""
+    _append(metric_rows(df, table, longest), root, table, fmt, batch)
 
 
 def initial_tags(registry: DataFrame) -> DataFrame:
@@ -53,9 +74,14 @@ def initial_tags(registry: DataFrame) -> DataFrame:
     )
 
 
-def write_tags(tags: DataFrame, root: str, fmt: str = "parquet") -> None:
-    """Replace the tag tables by the given snapshot, one directory per table."""
-    tags.write.mode("overwrite").format(fmt).partitionBy("table_name").save(table_path(root, "tags"))
+def write_tags(tags: DataFrame, root: str) -> int:
+    """Publish the tag tables, one directory per table; the tables before stay readable until then."""
+    return versions.publish(tags, table_path(root, "tags"), by=["table_name"])
+
+
+def read_tags(spark: SparkSession, root: str) -> DataFrame:
+    """The tag tables in force."""
+    return versions.current(spark, table_path(root, "tags"))
 
 
 # File names of a full and of a preliminary query record.

@@ -1,188 +1,80 @@
-"""State that a stream keeps between polls.
+"""What a job remembers between micro-batches.
 
-The state functions only hand each row its previous row; what changed is then worked out by the same
-expressions as in batch. Rows travel through them as JSON text. Rows that reach a key in one
-micro-batch are put in poll order first; a poll must not be split over micro-batches.
+A poll is only ever compared with the poll before it, and a completed event only with the latest start,
+so a job need not keep state per key in a store: it keeps a small table, written once per batch. Rows
+of one key are never gathered; they go through the same chunked helpers as in batch. A poll
+must not be split over micro-batches.
 """
 
 from __future__ import annotations
 
-import json
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# executors get the classes below with the job, they need not have the package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from wtel.sinks import versions
 
-_KEPT = T.StructType([T.StructField("kept", T.StringType())])
 
+class Kept:
+    """A table beside a job's checkpoint, a version per batch.
 
-def use_rocksdb(spark) -> None:
-    """The state functions need the RocksDB state store."""
-    spark.conf.set(PROVIDER, ROCKSDB)
-
-
-class _Kept(StatefulProcessor):
-    """One JSON value per key."""
-
-    def init(self, handle) -> None:
-        self._state = handle.getValueState("kept", _KEPT)
-
-    def close(self) -> None:
-        pass
-
-    def load(self, default):
-        return json.loads(self._state.get()[0]) if self._state.exists() else default
-
-    def save(self, value) -> None:
-        self._state.update((json.dumps(value),))
-
-
-def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
-
-
-class PreviousRow(_Kept):
-    """Each row with the row of its key before it; of repeats in one poll the last one counts."""
-
-    def __init__(self, keys: Sequence[str]):
-        self._keys = list(keys)
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _in_order(rows, ["poll_no", "pos"]).drop_duplicates("poll_no", keep="last")
-        kept = self.load([None, None])
-        texts = pdf["row"].tolist()
-        polls = [int(p) for p in pdf["poll_no"]]
-        out = pd.DataFrame(dict(zip(self._keys, [[k] * len(pdf) for k in key])))
-        out["row"] = texts
-        out["prev_poll"] = pd.array([kept[0], *polls[:-1]], dtype="Int64")
-        out["prev_row"] = [kept[1], *texts[:-1]]
-        self.save([polls[-1], texts[-1]])
-        yield out
-
-
-class LiveApps(_Kept):
-    """As ``PreviousRow`` per node, for one application on all its nodes, until it has finished.
-
-    Nothing is passed on of an application that is finished at the first poll, and nothing behind
-    the first poll that shows it finished.
+    Batch n reads the version of batch n - 1 and writes its own, so a batch that is repeated after a
+    failure finds what it found before.
     """
 
-    def __init__(self, first_poll: int):
-        self._first = first_poll
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _in_order(rows, ["poll_no", "node"])
-        kept = self.load({"fin": None, "last": {}})
-        done = pdf.loc[pdf["state"] == "FINISHED", "poll_no"]
-        if kept["fin"] is None and len(done):
-            kept["fin"] = int(done.min())
-        fin = kept["fin"]
-        if fin is not None:
-            pdf = pdf[(pdf["poll_no"] <= fin) & (fin > self._first)]
-        out = []
-        for node, poll, row in zip(pdf["node"], pdf["poll_no"], pdf["row"]):
-            prev_poll, prev_row = kept["last"].get(node, (None, None))
-            out.append((node, key[0], row, prev_poll, prev_row))
-            kept["last"][node] = (int(poll), row)
-        if fin is not None:
-            kept["last"] = {}
-        self.save(kept)
-        frame = pd.DataFrame(out, columns=["node", "id", "row", "prev_poll", "prev_row"])
-        frame["prev_poll"] = pd.array(frame["prev_poll"].tolist(), dtype="Int64")
-        yield frame
-
-
-class LastStart(_Kept):
-    """Completed events with the latest start of their run and level."""
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _in_order(rows, ["ts", "done"])
-        start = self.load(None)
-        out = []
-        for ts, done, row in zip(pdf["ts"], pdf["done"], pdf["row"]):
-            if done:
-                out.append((key[0], key[1], row, start))
-            else:
-                start = int(ts)
-        self.save(start)
-        frame = pd.DataFrame(out, columns=["run", "level", "row", "startTime"])
-        frame["startTime"] = pd.array(frame["startTime"].tolist(), dtype="Int64")
-        yield frame
-
-
-def _schema(df: DataFrame, keys: Sequence[str], *more: T.StructField) -> T.StructType:
-    return T.StructType([*[df.schema[k] for k in keys], *more])
-
-
-_ROWS = [
-    T.StructField("row", T.StringType()),
-    T.StructField("prev_poll", T.LongType()),
-    T.StructField("prev_row", T.StringType()),
-]
-
-
-def _parsed(df: DataFrame, keys: Sequence[str], row: T.StructType) -> DataFrame:
-    """Rows as columns again, and ``prev`` where the previous row is from the previous poll."""
-    # a generator keeps the parsing in one place, whatever the columns are used for later
-    parsed = F.struct(
-        F.from_json("row", row).alias("_row"), F.from_json("prev_row", row).alias("_prev")
-    )
-    both = df.select(*keys, "prev_poll", F.inline(F.array(parsed)))
-    is_previous = F.col("prev_poll") == F.col("_row.poll_no") - 1
-    return both.select(
-        *keys, "_row.*", F.when(is_previous, F.col("_prev")).alias("prev")
-    )
+    def __init__(self, checkpoint: str, name: str):
+        self.path = f"{checkpoint.rstrip('/')}-{name}"
 
+    def read(self, spark: SparkSession, number: int) -> DataFrame | None:
+        """The table as batch ``number`` finds it; none for the first."""
+        return versions.read(spark, self.path, number - 1) if number else None
 
-def with_previous_poll(stream: DataFrame, keys: Sequence[str], pos: str | None = None) -> DataFrame:
-    """Streaming counterpart of the batch helper of the same name."""
-    fields = [f for f in stream.schema.fields if f.name not in keys and f.name != pos]
-    row = T.StructType(fields)
-    packed = stream.select(
-        *keys, "poll_no", F.col(pos).alias("pos") if pos else F.lit(0).alias("pos"),
-        F.to_json(F.struct(*row.names)).alias("row"),
-    )
-    out = packed.groupBy(*keys).transformWithStateInPandas(
-        PreviousRow(keys), _schema(packed, keys, *_ROWS), "Append", "None"
-    )
-    return _parsed(out, keys, row)
+    def remember(self, rows: DataFrame, number: int) -> None:
+        versions.publish(rows, self.path, number, replace=True)
 
+    def with_remembered(self, rows: DataFrame, number: int) -> DataFrame:
+        """The rows and those remembered, told apart by ``_remembered``."""
+        own = rows.withColumn("_remembered", F.lit(False))
+        before = self.read(rows.sparkSession, number)
+        return own if before is None else own.unionByName(before.withColumn("_remembered", F.lit(True)))
 
-def live_apps(stream: DataFrame, first_poll: int) -> DataFrame:
-    """Node applications that are not suppressed, each with its previous row on the node."""
-    keys = ["node", "id"]
-    row = T.StructType([f for f in stream.schema.fields if f.name not in keys])
-    packed = stream.select(*keys, "poll_no", "state", F.to_json(F.struct(*row.names)).alias("row"))
-    out = packed.groupBy("id").transformWithStateInPandas(
-        LiveApps(first_poll), _schema(packed, keys, *_ROWS), "Append", "None"
-    )
-    return _parsed(out, keys, row)
 
+def last_polls(rows: DataFrame, source: Sequence[str], horizon: int) -> DataFrame:
+    """Rows of the last poll of each source, unless it lies ``horizon`` polls behind the latest one.
 
-def paired_events(events: DataFrame) -> DataFrame:
-    """Completed events with their start, as the batch ``pair_events``."""
-    keys = ["run", "level"]
-    row = T.StructType([f for f in events.schema.fields if f.name not in keys])
-    packed = events.select(
-        *keys, "ts", (F.col("kind") == "completed").alias("done"),
-        F.to_json(F.struct(*row.names)).alias("row"),
-    )
-    schema = _schema(
-        packed, keys, _ROWS[0], T.StructField("startTime", T.LongType())
-    )
-    out = packed.groupBy(*keys).transformWithStateInPandas(LastStart(), schema, "Append", "None")
-    e = F.from_json("row", row)
-    return out.withColumn("_e", e).select(
-        *keys, "_e.key", "_e.name", "_e.engine", "_e.user_name", "startTime",
-        F.col("_e.ts").alias("endTime"),
+    ``source`` names what is polled on its own, as a node; without it all rows come from one.
+    """
+    last = rows.groupBy(*source).agg(F.max("poll_no").alias("_last"))
+    latest = rows.agg((F.max("poll_no") - horizon).alias("_least"))
+    near = last.join(F.broadcast(latest), F.col("_last") > F.col("_least")).drop("_least")
+    same = F.col("poll_no") == F.col("_last")
+    for c in source:
+        same = same & rows[c].eqNullSafe(near[c])
+    return rows.join(near, same, "left_semi")
+
+
+def live_until(apps: DataFrame, before: DataFrame | None, horizon: int) -> DataFrame:
+    """id, finished (first poll that shows it) and seen (last poll with it) of finished applications."""
+    seen = apps.groupBy("id").agg(
+        F.min(F.when(F.col("state") == "FINISHED", F.col("poll_no"))).alias("finished"), F.max("poll_no").alias("seen")
     )
+    if before is not None:
+        seen = seen.unionByName(before).groupBy("id").agg(F.min("finished").alias("finished"), F.max("seen").alias("seen"))
+    latest = seen.agg((F.max("seen") - horizon).alias("_least"))
+    ended = seen.where("finished is not null")
+    return ended.join(F.broadcast(latest), F.col("seen") > F.col("_least")).drop("_least")
+
+
+def last_starts(events: DataFrame, longest_ms: int | None) -> DataFrame:
+    """The latest start of each run and level whose run goes on, and that is not too old."""
+    started = F.when(F.col("kind") == "started", F.struct("ts", "key"))
+    rest = [c for c in events.columns if c not in ("run", "level")]
+    starts = events.groupBy("run", "level").agg(F.max_by(F.struct(*rest), started).alias("_start"))
+    starts = starts.where("_start is not null").select("run", "level", "_start.*").select(*events.columns)
+    ended = events.where("level = 'workflow' and kind = 'completed'").groupBy("run").agg(F.max("ts").alias("_ended"))
+    live = starts.join(ended, "run", "left").where("_ended is null or ts > _ended").drop("_ended")
+    if longest_ms is None:
+        return live
+    latest = events.agg((F.max("ts") - longest_ms).alias("_least"))
+    return live.join(F.broadcast(latest), F.col("ts") > F.col("_least")).drop("_least")
