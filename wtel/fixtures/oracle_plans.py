@@ -456,6 +456,38 @@ def statements() -> dict[str, str]:
         LEFT JOIN tb USING (query_id) LEFT JOIN cf USING (query_id) LEFT JOIN ed USING (query_id)
         LEFT JOIN output USING (query_id) LEFT JOIN failure USING (query_id)
         LEFT JOIN ro USING (query_id) LEFT JOIN sk USING (query_id) LEFT JOIN li USING (query_id)"""
+    q["src10_record_operators"] = f"""
+        WITH {_COMMENT} SELECT o.query_id, o.stage_id AS "stageId", o.stage_id || o.task_type AS "taskId",
+          o.op_id AS "operatorId", c.op_type AS "operatorType", p.op_id AS "parentId", c.comment
+        FROM $plan_ops o JOIN commented c USING (query_id, stage_id, op_id)
+        LEFT JOIN $plan_ops p ON p.query_id = o.query_id AND p.stage_id = o.stage_id AND p.task_type = o.task_type
+          AND p.op_id = o.parent_op_id"""
+    q["src10_record_stages"] = f"""
+        WITH {_KEYS}, {_CONST}, {_EDGES},
+        k AS (SELECT query_id, stage_id FROM $stages UNION SELECT query_id, stage_id FROM $plan_ops),
+        child AS (SELECT DISTINCT query_id, to_stage FROM edges WHERE kind = 'dependency'),
+        cf AS (SELECT query_id, stage_id, count(*)::INT AS n FROM const GROUP BY 1, 2),
+        tk AS (SELECT query_id, stage_id, count(DISTINCT task_type)::INT AS n FROM $plan_ops GROUP BY 1, 2)
+        SELECT k.query_id, k.stage_id AS "stageId", s.stage_type AS "stageType", s.job_id AS "hadoopJobId",
+          s.stage_id IS NOT NULL AND c.to_stage IS NULL AS "isRoot", join_type AS "joinType",
+          array_to_string(coalesce(children, []), ',') AS "dependentChildren",
+          array_to_string(coalesce(conditional, []), ',') AS "conditionalChildren",
+          array_to_string(coalesce(backup, []), ',') AS "backupChildren",
+          coalesce(tk.n, 0) AS n_tasks, coalesce(cf.n, 0) AS n_filters, coalesce(join_keys, '') AS join_keys
+        FROM k LEFT JOIN $stages s USING (query_id, stage_id) LEFT JOIN keyed USING (query_id, stage_id)
+        LEFT JOIN child c ON c.query_id = k.query_id AND c.to_stage = k.stage_id
+        LEFT JOIN cf USING (query_id, stage_id) LEFT JOIN tk USING (query_id, stage_id)"""
+    q["src10_record_queries"] = f"""
+        WITH {_OUTPUT}, {_FAILURE}, sk AS ({q["agg14_error_chain"]}), li AS ({q["agg18_lineage_report"]}),
+        tb AS (SELECT query_id, string_agg(DISTINCT full_table, ',' ORDER BY full_table) AS tables
+          FROM $stage_aliases GROUP BY 1),
+        mr AS (SELECT query_id, count(*)::INT AS n FROM $stages WHERE stage_type = 'MAPRED' GROUP BY 1)
+        SELECT q.query_id, CASE WHEN end_time IS NULL THEN 'executing' ELSE 'completed' END AS state,
+          q.query_string AS "queryString", q.start_time AS "startTime", q.end_time AS "endTime", coalesce(mr.n, 0) AS "numMRJobs",
+          named_output AS "namedOutput", output_type AS "outputType", coalesce(fail_code, 0) AS "failRetCode", fail_task AS "failTID",
+          fail_job AS "failJID", fail_kind AS "failTaskKind", stack, version, details, tables
+        FROM $orders_as_queries q LEFT JOIN output USING (query_id) LEFT JOIN failure USING (query_id)
+        LEFT JOIN sk USING (query_id) LEFT JOIN li USING (query_id) LEFT JOIN tb USING (query_id) LEFT JOIN mr USING (query_id)"""
     q["pln4_preferred_record"] = f"""
         SELECT top, query_id, arg_max(record, (file = 'HiveQueryInfo.json')::int * 10 + {rank}) AS record
         FROM $query_files WHERE file LIKE 'Hive%' GROUP BY 1, 2"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from wtel.fixtures.views import view
 from wtel.functions.text import full_table_name, joined_or_empty, last_alias
 from wtel.functions.zones import archive_path
 from wtel.operators import archive, layout, runs
-from wtel.plans import plan_nodes
+from wtel.plans import plan_nodes, records
+from wtel.sinks import tables
+from wtel.sinks.staging import shared_folder
 from wtel.sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +111,46 @@ def _profile(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _records(s: SparkSession, d: str) -> DataFrame:
+    """Whole query records, written as documents and read back."""
+    times = runs.stage_end_times(stages(s, d), view(s, d, "jobs")).select(
+        "query_id", F.col("stageId").alias("stage_id"), "startTime", "endTime"
+    )
+    made = records.query_records(
+        _named_queries(s, d), ops(s, d), attrs(s, d), aliases(s, d), stages(s, d), view(s, d, "outputs"),
+        view(s, d, "exceptions"), view(s, d, "lineage_edges"), view(s, d, "table_columns"), times,
+    )
+    state = F.when(F.get_json_object("record", "$.endTime").isNull(), "executing").otherwise("completed")
+    root = f"{shared_folder(s).rstrip('/')}/records-{uuid.uuid4().hex}"
+    tables.write_documents(made.withColumn("state", state), root)
+    return records.read_records(tables.read_documents(s, root))
+
+
+def _record_operators(s: SparkSession, d: str) -> DataFrame:
+    return records.record_operators(_records(s, d)).select(
+        F.col("queryId").cast("long").alias("query_id"), "stageId", "taskId", "operatorId", "operatorType", "parentId", "comment"
+    )
+
+
+def _record_stages(s: SparkSession, d: str) -> DataFrame:
+    text = lambda c: F.array_join(F.coalesce(c, F.array()), ",").alias(c)
+    return records.record_stages(_records(s, d)).select(
+        F.col("queryId").cast("long").alias("query_id"), "stageId", "stageType", "hadoopJobId", "isRoot", "joinType",
+        text("dependentChildren"), text("conditionalChildren"), text("backupChildren"),
+        F.size("hiveTaskInfos").alias("n_tasks"), F.coalesce(F.size("constFilters"), F.lit(0)).alias("n_filters"),
+        F.array_join(F.transform("joinKeys", lambda k: F.concat_ws(".", k["tableAlias"], k["columnName"])), ",").alias("join_keys"),
+    )
+
+
+def _record_queries(s: SparkSession, d: str) -> DataFrame:
+    rows = _records(s, d)
+    return rows.select(
+        F.col("queryId").cast("long").alias("query_id"), "state", "queryString", "startTime", "endTime", "numMRJobs", "namedOutput",
+        "outputType", "failRetCode", "failTID", "failJID", "failTaskKind", F.array_join("failExStack", "\n").alias("stack"),
+        "version", "details", F.array_join(F.array_sort(F.map_keys("fullTableNameToInfos")), ",").alias("tables"),
+    )
+
+
 def _run_queries(s: SparkSession, d: str) -> DataFrame:
     """Starts of the numbered queries, with the run they belong to."""
     started = events(s, d).where("level = 'query' and kind = 'started'")
@@ -212,5 +255,8 @@ QUERIES: dict[str, Query] = {
     "pln1_plan_nodes": lambda s, d: plan_nodes.plan_nodes(ops(s, d)),
     "pln2_operator_comment": lambda s, d: plan_nodes.operator_comment(ops(s, d), attrs(s, d)),
     "pln3_query_profile": _profile,
+    "src10_record_operators": _record_operators,
+    "src10_record_stages": _record_stages,
+    "src10_record_queries": _record_queries,
     "pln4_preferred_record": lambda s, d: layout.preferred_record(files(s, d)),
 }

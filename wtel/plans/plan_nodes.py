@@ -8,11 +8,17 @@ aliases of a stage ``(query_id, stage_id, alias, full_table, pos)``, and stages
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wtel.functions.once import with_once
 from wtel.functions.text import full_table_name, labelled_comment, last_alias
+from wtel.plans.tree_walk import whole_queries
 from wtel.sinks.staging import staged
 
 STAGE = ["query_id", "stage_id"]
@@ -346,19 +352,85 @@ def root_stages(stages: DataFrame) -> DataFrame:
     return stages.join(child, STAGE, "left_anti").select(*STAGE)
 
 
-def reachable_stages(stages: DataFrame, roots: DataFrame) -> DataFrame:
+#: Edges above which a query's stages are not followed in one task.
+LONG_QUERY = 1 << 20
+
+
+def reachable_stages(stages: DataFrame, roots: DataFrame, long_query: int = LONG_QUERY) -> DataFrame:
     """Stages reached from the roots along any edge, each once.
 
-    Every round follows the edges out of the newest stages and keeps what was not seen before. Each
-    round's result is written to the shared folder, so the plan does not grow, and the test for an
-    empty round reads only that. There are as many rounds as the longest path has steps.
+    The edges of a query meet in one task, which follows those of many queries at a time, so that the number of
+    jobs does not depend on the length of a path. Queries with more than ``long_query`` edges go by a
+    join per step.
     """
-    edges = staged(
-        stage_edges(stages)
-        .select("query_id", "from_stage", F.col("to_stage").alias("stage_id"))
-        .distinct(),
-        "edges",
+    edges = staged(stage_edges(stages).select("query_id", "from_stage", "to_stage").distinct(), "edges")
+    counts = edges.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    long = staged(counts.where(F.col("n") > long_query).select("query_id"), "long-queries")
+    if long.isEmpty():
+        return _followed(stages, edges, roots)
+    split = lambda df, how: df.join(long, "query_id", how)
+    short = _followed(*(split(df, "left_anti") for df in (stages, edges, roots)))
+    return short.unionByName(_by_steps(*(split(df, "left_semi") for df in (stages, edges, roots))))
+
+
+def _followed(stages: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``reachable_stages`` by one shuffle on the query."""
+    none = F.lit(None).cast("string")
+    rows = (
+        edges.select("query_id", F.lit("edge").alias("what"), F.col("from_stage").alias("a"), F.col("to_stage").alias("b"))
+        .unionByName(roots.select("query_id", F.lit("root").alias("what"), F.col("stage_id").alias("a"), none.alias("b")))
+        .unionByName(stages.select("query_id", F.lit("stage").alias("what"), F.col("stage_id").alias("a"), none.alias("b")))
+        .where("query_id is not null and a is not null")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_queries(batches):
+            yield _reached(table)
+
+    kind = stages.schema["query_id"].dataType.simpleString()
+    dealt = rows.repartition("query_id").sortWithinPartitions("query_id")
+    return dealt.mapInArrow(run, f"query_id {kind}, stage_id string")
+
+
+def _reached(table: pa.Table) -> pa.RecordBatch:
+    """Stages of whole queries that their roots lead to; every round follows the edges of all newest stages."""
+    query = table.column("query_id").combine_chunks().dictionary_encode()
+    names = pa.concat_arrays([table.column(c).combine_chunks() for c in ("a", "b")]).dictionary_encode()
+    codes = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    size, width = len(table), max(len(names.dictionary), 1)
+    q = query.indices.to_numpy().astype(np.int64)
+    a, b = q * width + codes[:size], np.where(codes[size:] < 0, -1, q * width + codes[size:])
+    what = table.column("what").combine_chunks()
+    edge, root, stage = (pc.equal(what, w).to_numpy(zero_copy_only=False) for w in ("edge", "root", "stage"))
+    edge &= b >= 0
+    nodes = np.unique(np.concatenate([a, b[edge]]))
+    start, to = np.searchsorted(nodes, a[edge]), np.searchsorted(nodes, b[edge])
+    order = np.argsort(start, kind="stable")
+    start, to = start[order], to[order]
+    cuts = np.searchsorted(start, np.arange(len(nodes) + 1))
+    seen = np.zeros(len(nodes), bool)
+    newest = np.unique(np.searchsorted(nodes, a[root]))
+    while len(newest):
+        seen[newest] = True
+        counts = cuts[newest + 1] - cuts[newest]
+        ends = np.cumsum(counts)
+        at = np.arange(ends[-1]) + np.repeat(cuts[newest] - (ends - counts), counts)
+        newest = np.unique(to[at])
+        newest = newest[~seen[newest]]
+    found = np.unique(a[stage & seen[np.searchsorted(nodes, a)]])
+    return pa.RecordBatch.from_arrays(
+        [query.dictionary.take(pa.array(found // width)), names.dictionary.take(pa.array(found % width)).cast(pa.string())],
+        ["query_id", "stage_id"],
     )
+
+
+def _by_steps(stages: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``reachable_stages`` by joins: every round follows the edges out of the newest stages.
+
+    Each round's result is written to the shared folder, so the plan does not grow, and the test for an
+    empty round reads only that.
+    """
+    edges = edges.withColumnRenamed("to_stage", "stage_id")
     newest = staged(roots.select(*STAGE).distinct(), "reached")
     seen = newest
     while not newest.isEmpty():
@@ -367,7 +439,7 @@ def reachable_stages(stages: DataFrame, roots: DataFrame) -> DataFrame:
         )
         newest = staged(step.select(*STAGE).distinct().join(seen, STAGE, "left_anti"), "reached")
         seen = seen.unionByName(newest)
-    return seen.join(stages.select(*STAGE), STAGE, "left_semi")
+    return seen.join(stages.select(*STAGE).distinct(), STAGE, "left_semi")
 
 
 def named_output(queries: DataFrame, outputs: DataFrame) -> DataFrame:

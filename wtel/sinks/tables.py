@@ -103,3 +103,18 @@ def write_query_info(records: DataFrame, root: str) -> None:
     records.select(*ids, F.to_json(F.struct("queryId", *body)).alias("record")).write.mode(
         "append"
     ).partitionBy("state").json(root)
+
+
+def write_documents(records: DataFrame, root: str, per_query: bool = False) -> None:
+    """Whole record documents (state, queryId, record), a line each, in a directory per state.
+
+    With ``per_query`` every query has a directory of its own below its state, as many files as queries.
+    """
+    by = ["state", "queryId"] if per_query else ["state"]
+    records.select(*by, F.col("record").alias("value")).write.mode("append").partitionBy(*by).text(root)
+
+
+def read_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Documents as written by ``write_documents``: state and doc."""
+    rows = spark.read.text(root)
+    return rows.select("state", F.col("value").alias("doc"))
