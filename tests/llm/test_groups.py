@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from wtel.llm import components, embed, setsketch
+from wtel.llm.common import staged
 
 
 def union(nodes, edges):
@@ -110,6 +111,44 @@ def test_a_group_of_near_copies_makes_few_pairs(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_texts_of_one_template_are_not_read_again(spark, monkeypatch):
+    """Texts that share a template, far below the limit, meet in buckets; their registers rule them out."""
+    rng = random.Random(7)
+    template = [f"t{rng.randrange(10**6)}" for _ in range(181)]
+    rows = [(i, " ".join(template + [f"x{rng.randrange(10**9)}" for _ in range(120)])) for i in range(700)]  # similarity 0.43
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = []
+    own = setsketch.marked_members
+
+    def counted(members):
+        out = staged(own(members), "counted")
+        marked.append((members.select("c").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(setsketch, "marked_members", counted)
+    got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    assert marked[0][0] > 600  # nearly all share buckets
+    assert marked[0][1] <= 20  # but the sets of next to none are read
+
+
+def test_links_that_no_first_member_shows(spark):
+    """Members of a bucket that are like each other but not like its first one are linked too."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(30):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(14):
+            copy = list(base)
+            for k in rng.sample(range(120), rng.randrange(4, 9)):
+                copy[k] = f"y{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, groups = expected(rows, 2)
+    assert {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs).collect()} == groups
+
+
 def test_registers():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)

@@ -34,6 +34,8 @@ SKETCH_ROWS = 20_000
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
 #: Shingles that go through the registers at once.
 BLOCK = 2048
+#: Rows and pairs whose registers are compared at once, and the share of equal ones below which a pair is not estimated.
+SKETCH_BLOCK, SKETCH_PAIRS, SAME = 256, 1 << 15, 0.55
 
 _RANDOM = np.random.default_rng(20)
 _FACTORS = (_RANDOM.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -232,22 +234,22 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np
     return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
 
 
-def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between classes that share a cluster but no root.
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of buckets (key, root, n and more) for each pair of blocks in which they meet members of other roots.
 
-    ``members`` has c, cluster, root and n. Most of a cluster often has one root already: these are its
-    main part and need no comparison among themselves. The others meet each other and the main
-    part, both cut into blocks of bounded size, a pair of blocks at a time.
+    Most of a bucket often has one root already: these are its main part and need no comparison among
+    themselves. The others meet each other and the main part, both cut into blocks of bounded size.
     """
-    counts = members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("cluster").agg(F.max(F.struct("k", "root")).alias("m")).select("cluster", F.col("m.root").alias("main"))
-    rows = join_small(members, staged(main, "main"), "cluster", "inner").withColumn("is_main", F.col("root") == F.col("main"))
+    counts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("key").agg(F.max(F.struct("k", "root")).alias("m"), F.count(F.lit(1)).alias("roots"))
+    main = staged(main.where("roots > 1").select("key", F.col("m.root").alias("main")), "main")
+    rows = join_small(members, main, "key", "inner").withColumn("is_main", F.col("root") == F.col("main"))
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = rows.groupBy("cluster", "is_main").agg(parts.alias("parts"))
-    sizes = sizes.groupBy("cluster").agg(
+    sizes = rows.groupBy("key", "is_main").agg(parts.alias("parts"))
+    sizes = sizes.groupBy("key").agg(
         F.max(F.when(F.col("is_main"), F.col("parts"))).alias("mains"), F.max(F.when(~F.col("is_main"), F.col("parts"))).alias("others")
     )
-    rows = join_small(rows, staged(sizes, "sizes"), "cluster", "inner")
+    rows = join_small(rows, staged(sizes, "sizes"), "key", "inner")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("c"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     task = lambda main, i, j: F.struct(F.lit(main).alias("with_main"), i.alias("i"), j.alias("j"))
     up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -258,30 +260,95 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.transform(up_to("others"), lambda j: task(False, F.least(part, j), F.greatest(part, j))),
     )
     tasks = rows.withColumn("task", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_others)))
-    tasks = tasks.select("c", "cluster", "root", "is_main", "part", "task.*")
-    keys = ["cluster", "with_main", "i", "j"]
+    return tasks.select(*members.columns, "is_main", "part", "task.*")
+
+
+_TASK = ["key", "with_main", "i", "j"]
+
+
+def _sides(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two blocks that meet in a task."""
+    is_main, part = (group.column(c).to_numpy(zero_copy_only=False) for c in ("is_main", "part"))
+    if group.column("with_main")[0].as_py():
+        return np.flatnonzero(~is_main), np.flatnonzero(is_main)
+    return np.flatnonzero(part == group.column("i")[0].as_py()), np.flatnonzero(part == group.column("j")[0].as_py())
+
+
+def _likely_pairs(group: pa.RecordBatch, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, one of each side, of different roots whose registers make a similarity of ``ESTIMATE`` or more likely.
+
+    A pair that an earlier band shows too is left to that band.
+    """
+    rows = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    root, n = group.column("root").to_numpy(), group.column("n").to_numpy().astype(float)
+    band = group.column("band")[0].as_py()
+    out = []
+    for at in range(0, len(left), SKETCH_BLOCK):
+        own = left[at : at + SKETCH_BLOCK]
+        good = root[own][:, None] != root[right][None, :]
+        good &= 100 * np.minimum(n[own][:, None], n[right][None, :]) >= 100 * ESTIMATE * np.maximum(n[own][:, None], n[right][None, :])
+        x, y = np.nonzero(good)
+        for start in range(0, len(x), SKETCH_PAIRS):
+            i, j = own[x[start : start + SKETCH_PAIRS]], right[y[start : start + SKETCH_PAIRS]]
+            near = (rows[i] == rows[j]).sum(axis=1) >= SAME * REGISTERS
+            i, j = i[near], j[near]
+            near = estimate(rows[i], rows[j], n[i], n[j]) >= ESTIMATE
+            i, j = i[near], j[near]
+            if band:
+                before = (rows[i] == rows[j])[:, : band * BAND_ROWS].reshape(len(i), band, BAND_ROWS)
+                fresh = ~before.all(axis=2).any(axis=1)
+                i, j = i[fresh], j[fresh]
+            out.append((i, j))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(side) for side in zip(*out, strict=True))
+
+
+def marked_members(members: DataFrame) -> DataFrame:
+    """key, c of the members of buckets whose registers are like those of a member with another root.
+
+    Only they have their sets read: candidates that the sketch rules out cost no more than their registers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, keys):
-            is_main, part = (group.column(c).to_numpy(zero_copy_only=False) for c in ("is_main", "part"))
-            c, root = (group.column(x).to_numpy() for x in ("c", "root"))
-            if group.column("with_main")[0].as_py():
-                left, right = np.flatnonzero(~is_main), np.flatnonzero(is_main)
-            else:
-                left, right = np.flatnonzero(part == group.column("i")[0].as_py()), np.flatnonzero(part == group.column("j")[0].as_py())
+        for group in runs(batches, _TASK):
+            left, right = _sides(group)
+            if len(left) and len(right):
+                i, j = _likely_pairs(group, left, right)
+                c = group.column("c").to_numpy()[np.unique(np.concatenate([i, j]))]
+                if len(c):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), group.column("key")[0].as_py())), pa.array(c)], ["key", "c"])
+
+    rows = _dealt(members).repartition(*_TASK).sortWithinPartitions(*_TASK)
+    return rows.mapInArrow(run, "key long, c long").distinct()
+
+
+def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members (key, band, c, n, root, registers) of a bucket that have different roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, _TASK):
+            left, right = _sides(group)
             if not len(left) or not len(right):
                 continue
-            sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
-            for at in range(0, len(left), BLOCK_ROWS // 4):
-                own = left[at : at + BLOCK_ROWS // 4]
-                good = similar([sets[k] for k in own], [sets[k] for k in right], percent)
-                good &= root[own][:, None] != root[right][None, :]
-                x, y = np.nonzero(good)
+            i, j = _likely_pairs(group, left, right)
+            c, root = (group.column(x).to_numpy() for x in ("c", "root"))
+            raw = group.column("shingles")
+            sets = {k: np.frombuffer(raw[int(k)].as_py(), np.uint64) for k in np.unique(np.concatenate([i, j]))}
+            for own in np.array_split(np.unique(i), max(1, len(np.unique(i)) * 4 // BLOCK_ROWS)):
+                here = np.isin(i, own)
+                others = np.unique(j[here])
+                if not len(others):
+                    continue
+                good = similar([sets[k] for k in own], [sets[k] for k in others], percent)
+                x, y = np.searchsorted(own, i[here]), np.searchsorted(others, j[here])
+                linked = good[x, y]
+                a, b = own[x[linked]], others[y[linked]]
                 # one link for each class and root is enough
-                first = np.unique(np.stack([x, root[right][y]], axis=1), axis=0, return_index=True)[1]
-                yield pa.RecordBatch.from_arrays([pa.array(c[own][x[first]]), pa.array(c[right][y[first]])], ["a", "b"])
+                first = np.unique(np.stack([a, root[b]], axis=1), axis=0, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(c[a[first]]), pa.array(c[b[first]])], ["a", "b"])
 
-    rows = tasks.join(sets, "c").repartition(*keys).sortWithinPartitions(*keys)
+    rows = _dealt(members).join(sets, "c").repartition(*_TASK).sortWithinPartitions(*_TASK)
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -289,9 +356,9 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple
     """Rows doc_id, n_shingles, digest; and digest, component_id, chosen, chosen_id of shared groups.
 
     Documents with one set are one class, which the search sees once. In each bucket of a band the
-    members are compared with the bucket's first; the links found make components. Buckets that
-    share members make clusters; within a cluster, classes that still are in different components are
-    compared by blocks. So every pair that shares a bucket is either compared or already connected, and
+    members are compared with the bucket's first; the links found make components. In buckets whose members still are in
+    different components these meet by blocks: first their registers, and the sets of those that the
+    registers make likely. So every pair that shares a bucket is either compared or already connected, and
     a large group of near copies costs little more than a comparison per member.
 
     ``chosen`` marks the digest and ``chosen_id`` the id of the one document that a group keeps.
@@ -302,22 +369,22 @@ def groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple
         F.first("n_shingles").alias("n"), F.first("registers").alias("registers"),
     )
     classes = staged(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    bands = staged(_with_bands(classes), "bands").select("c", "n", F.explode("bands").alias("key"))
+    bands = staged(_with_bands(classes), "bands").select("c", "n", F.posexplode("bands").alias("band", "key"))
     firsts = bands.groupBy("key").agg(F.min("c").alias("center"), F.count(F.lit(1)).alias("k"))
     firsts = staged(firsts.where("k > 1").select("key", "center"), "buckets")
-    shared = join_small(bands, firsts, "key", "inner")
+    shared = staged(join_small(bands, firsts, "key", "inner"), "shared")
     stars = shared.where("c <> center").select(F.col("c").alias("b"), F.col("center").alias("a")).distinct()
-    stars = staged(stars, "stars")
     links = _linked(stars, classes, docs, percent, words)
     root = components(links).toDF("c", "root")
-    cluster = components(stars).toDF("c", "cluster")
-    members = join_small(cluster, root, "c").withColumn("root", F.coalesce("root", "c"))
-    several = members.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    members = join_small(members, staged(several.select("cluster"), "open"), "cluster", "left_semi")
-    members = staged(join_small(members, classes.select("c", "n"), "c", "inner"), "members")
-    sets = _sets(members.select("c"), classes, docs, words)
-    more = staged(_rest(members, sets, percent), "more")
-    if not more.isEmpty():
+    members = join_small(shared.drop("center"), root, "c").withColumn("root", F.coalesce("root", "c"))
+    several = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    members = join_small(members, staged(several.select("key"), "open"), "key", "left_semi")
+    members = staged(join_small(members, classes.select("c", "registers"), "c", "inner"), "members")
+    marked = staged(marked_members(members), "marked")
+    if not marked.isEmpty():
+        sets = _sets(marked.select("c").distinct(), classes, docs, words)
+        members = staged(join_small(members, marked, ["key", "c"], "left_semi"), "likely-members")
+        more = staged(_rest(members, sets, percent), "more")
         root = components(staged(links.unionByName(more), "all-links")).toDF("c", "root")
     known = join_small(classes.select("c", "digest", "rep", "size"), root, "c").withColumn("root", F.coalesce("root", "c"))
     linked = staged(root.select("root").distinct(), "roots").toDF("r")
