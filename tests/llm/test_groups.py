@@ -232,6 +232,51 @@ def test_embeddings(spark, monkeypatch, block):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (n[i], groups[i], groups[i] == i) for i in n}
 
 
+def test_signs_grow_with_the_label():
+    """Twice as many vectors take little more than twice as many comparisons; the chance to miss a pair stays."""
+    work = []
+    for n in (1 << 12, 1 << 16, 1 << 20):
+        bits = embed.bits_for(n)
+        tables = embed.tables_for(bits)
+        assert (1 - embed.AGREE**bits) ** tables <= embed.MISSED
+        work.append(tables * n * n / 2**bits / n)  # comparisons of one vector
+    assert work[1] < 2 * work[0] and work[2] < 2 * work[1]
+
+
+def test_recall_of_buckets():
+    """Pairs at the limit share a bucket and have similar signatures."""
+    rng = np.random.default_rng(1)
+    for n in (200, 40_000):
+        x = rng.standard_normal((4000, 32))
+        other = rng.standard_normal((4000, 32))
+        other -= (other * x).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x
+        unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+        y = 0.931 * unit(x) + np.sqrt(1 - 0.931**2) * unit(other)
+        a, b = (embed.codes(v, embed.bits_for(n)) for v in (x, y))
+        assert (a == b).any(axis=1).mean() >= 0.999
+        signs = np.bitwise_count(embed.signatures(x) ^ embed.signatures(y)).sum(axis=1)
+        assert (signs <= embed.DIFFER).all()
+
+
+def test_unlike_vectors_are_not_compared(spark, monkeypatch):
+    """Of vectors without partners none is sent to a comparison."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.standard_normal(48)], 1) for i in range(2000)]
+    rows += [(5000 + i, [v * 2 for v in rows[i][1]], 1) for i in range(10)]
+    found = []
+    own = embed.similar_members
+
+    def counted(members):
+        out = staged(own(members), "counted")
+        found.append(out.select("c").distinct().count())
+        return out
+
+    monkeypatch.setattr(embed, "similar_members", counted)
+    got = embed.links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sum(r.n_links for r in got) == 20
+    assert found[0] <= 40
+
+
 def test_odd_embeddings(spark):
     rows = [(1, [1.0, 0.0], 3), (1, [1.0, 0.0], 3), (None, [1.0, 0.0], 3), (None, None, None), (None, [0.0, 1.0], 3)]
     schema = "vec_id long, embedding array<float>, label int"

@@ -1,8 +1,15 @@
-"""Near-duplicate embeddings: random-hyperplane signs in several tables, exact cosine, components."""
+"""Near-duplicate embeddings: random-hyperplane signs in several tables, exact cosine, components.
+
+Vectors of a label meet where all signs of a table agree. The signs of a table grow with the logarithm of the
+label's vectors, so buckets of unlike vectors stay small, and the tables grow so that the chance to miss a pair stays
+the same. Only ids and a signature go through the buckets; vectors are sent to the buckets in which they have a
+partner with a similar signature.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,23 +23,46 @@ from wtel.llm.common import join_small, runs, staged
 from wtel.llm.components import components
 
 THRESHOLD = 0.93
-#: Two vectors of cosine 0.93 agree in one sign with probability 0.88, in all of a table's with
-#: 0.36, and in no table with 6 in 100,000.
-TABLES, BITS = 22, 8
+#: Two vectors of cosine 0.93 agree in one sign with this probability.
+AGREE = 1 - math.acos(THRESHOLD) / math.pi
+#: Unlike vectors that a bucket holds on average, least and most signs of a table, chance to miss a pair of cosine 0.93.
+BUCKET, LEAST_BITS, MOST_BITS, MISSED = 16, 6, 32, 6e-5
+#: Signs of the signature, and how many may differ: at cosine 0.93 the mean is 31 and the standard deviation 5.2,
+#: so a pair differs in more with a chance below one in a hundred million.
+SIGNATURE, DIFFER = 256, 64
 #: Vectors of a bucket that are compared at once; a larger bucket is cut into blocks.
 BLOCK = 1500
 SEED = 93
 
 
-@lru_cache(maxsize=4)
-def _planes(dim: int) -> np.ndarray:
-    return np.random.default_rng(SEED + dim).standard_normal((dim, TABLES * BITS))
+def bits_for(count: int) -> int:
+    """Signs of a table for so many vectors of a label."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(count, 1) / BUCKET))))
+
+
+def tables_for(bits: int) -> int:
+    """Tables that leave ``MISSED`` of the pairs at the threshold in no common bucket."""
+    return math.ceil(math.log(MISSED) / math.log1p(-(AGREE**bits)))
+
+
+@lru_cache(maxsize=64)
+def _planes(dim: int, first: int, count: int) -> np.ndarray:
+    """``count`` hyperplanes from the ``first`` on; the same ones whoever asks."""
+    return np.random.default_rng((SEED, dim, first)).standard_normal((dim, count))
 
 
-def codes(vectors: np.ndarray) -> np.ndarray:
+def signatures(vectors: np.ndarray) -> np.ndarray:
+    """Bytes with the signs of each vector's signature."""
+    return np.packbits(vectors @ _planes(vectors.shape[1], 0, SIGNATURE) >= 0, axis=1)
+
+
+def codes(vectors: np.ndarray, bits: int) -> np.ndarray:
     """The sign pattern of each vector in each table."""
-    signs = (vectors @ _planes(vectors.shape[1]) >= 0).reshape(len(vectors), TABLES, BITS)
-    return (signs << np.arange(BITS)).sum(axis=2).astype(np.uint16)
+    out = []
+    for table in range(tables_for(bits)):
+        signs = vectors @ _planes(vectors.shape[1], 1 + table, bits) >= 0
+        out.append((signs.astype(np.int64) << np.arange(bits)).sum(axis=1))
+    return np.stack(out, axis=1)
 
 
 def _usable(batch: pa.RecordBatch) -> list[np.ndarray | None]:
@@ -74,20 +104,92 @@ def _digests(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _bucketed(classes: DataFrame) -> DataFrame:
-    """A row per class and table: bucket key, and what the comparison needs."""
+def _coded(classes: DataFrame) -> DataFrame:
+    """c, label, dim, size, bits, signature and codes of each class; ``bits`` says how many signs a table has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column("vector").to_pylist()
-            made = [codes(np.frombuffer(r)[None, :])[0] for r in raw]
-            lists = pa.array([m.astype(np.int32) for m in made], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "codes"])
+            raw, bits = batch.column("vector").to_pylist(), batch.column("bits").to_numpy()
+            shape = np.array([len(r) for r in raw]) * 64 + bits
+            signs: list = [None] * len(raw)
+            tables: list = [None] * len(raw)
+            for kind in np.unique(shape):
+                at = np.flatnonzero(shape == kind)
+                vectors = np.frombuffer(b"".join(raw[i] for i in at)).reshape(len(at), -1)
+                made = codes(vectors, int(kind) % 64)
+                for i, s, m in zip(at, signatures(vectors), made, strict=True):
+                    signs[i], tables[i] = s.tobytes(), m
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("c", "label", "size", "bits")),
+                    pa.array([len(r) // 8 for r in raw], pa.int32()),
+                    pa.array(signs, pa.binary()),
+                    pa.array(tables, pa.list_(pa.int64())),
+                ],
+                ["c", "label", "size", "bits", "dim", "signature", "codes"],
+            )
 
-    coded = classes.select("c", "label", "size", "vector").mapInArrow(
-        run, "c long, label string, size long, vector binary, codes array<int>"
+    return classes.select("c", "label", "size", "bits", "vector").mapInArrow(
+        run, "c long, label string, size long, bits int, dim int, signature binary, codes array<long>"
     )
-    return coded.select("*", F.posexplode("codes").alias("t", "code")).withColumn("dim", F.length("vector"))
+
+
+#: What names a bucket.
+_KEY = ["t", "code", "label", "dim"]
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Members of a bucket for each pair of blocks that meet."""
+    sizes = staged(members.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("count")).where("count > 1"), "buckets")
+    rows = join_small(members, sizes, _KEY, "inner")
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select(*members.columns, "block", other)
+    return rows.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("other")
+
+
+_PAIR = [*_KEY, "first", "second"]
+#: How many signs are set in a byte.
+_SET = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, bool]]:
+    """Block pairs of a sorted partition: the rows, those of either side, and whether these are the same."""
+    for group in runs(batches, _PAIR):
+        first, second = (group.column(c)[0].as_py() for c in ("first", "second"))
+        block = group.column("block").to_numpy()
+        a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        if len(a) and len(b) and group.num_rows > 1:
+            yield group, a, b, first == second
+
+
+def _similar(group: pa.RecordBatch, a: np.ndarray, b: np.ndarray, same: bool) -> np.ndarray:
+    """Which rows of the sides have similar signatures."""
+    signs = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(group.num_rows, -1)
+    spread = np.unpackbits(signs, axis=1).astype(np.float32)
+    x, y = spread[a], spread[b]
+    differ = x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :] - 2 * (x @ y.T)
+    near = differ <= DIFFER
+    if same:
+        np.fill_diagonal(near, False)
+    return near
+
+
+def similar_members(members: DataFrame) -> DataFrame:
+    """Bucket and c of the members of buckets that have a partner there with a similar signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, a, b, same in _groups(batches):
+            near = _similar(group, a, b, same)
+            c = group.column("c").to_numpy()
+            found = np.unique(np.concatenate([c[a[near.any(axis=1)]], c[b[near.any(axis=0)]]]))
+            if len(found):
+                first = pa.array(np.zeros(len(found), np.int64))
+                yield pa.RecordBatch.from_arrays([*(group.column(k).take(first) for k in _KEY), pa.array(found)], [*_KEY, "c"])
+
+    dealt = _in_blocks(members).repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+    return dealt.mapInArrow(run, "t int, code long, label string, dim int, c long").distinct()
 
 
 def _compare(a: dict, b: dict, table: int, same: bool, threshold: float) -> tuple:
@@ -125,60 +227,49 @@ def _compare(a: dict, b: dict, table: int, same: bool, threshold: float) -> tupl
         root = least
 
 
-def _links(rows: DataFrame, threshold: float) -> DataFrame:
-    """c, n (links found first here), root (a class of the same component) from sorted block pairs."""
-
-    def side(part: pa.RecordBatch, mask: np.ndarray) -> dict:
-        part = part.filter(pa.array(mask))
-        vector = np.frombuffer(b"".join(part.column("vector").to_pylist())).reshape(part.num_rows, -1)
-        return {
-            "c": part.column("c").to_numpy(), "size": part.column("size").to_numpy(), "vector": vector,
-            "norm": np.sqrt((vector * vector).sum(axis=1)),
-            "codes": part.column("codes").flatten().to_numpy().reshape(part.num_rows, -1),
-        }
-
-    def found(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        first, second, table = (group.column(c)[0].as_py() for c in ("first", "second", "t"))
-        block = group.column("block").to_numpy()
-        same = first == second
-        a = side(group, block == first)
-        b = a if same else side(group, block == second)
-        if not len(a["c"]) or not len(b["c"]):
-            return
-        here, there, root = _compare(a, b, table, same, threshold)
-        if here is None:
-            return
-        sides = [(a["c"], here, root)] if same else [(a["c"], here, root[0]), (b["c"], there, root[1])]
-        for c, n, r in sides:
-            r = np.where(r < 0, c, r)
-            used = (n > 0) | (r != c)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[used]), pa.array(n[used].astype(np.int64)), pa.array(r[used])], ["c", "n", "root"]
-            )
-
-    keys = ["t", "code", "label", "dim", "first", "second"]
+def _links(members: DataFrame, coded: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """c, n (links found first here), root (a class of the same component) from the marked members of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, keys):
-            if group.num_rows > 1:
-                yield from found(group)
-
-    return (
-        rows.repartition(*keys)
-        .sortWithinPartitions(*keys)
-        .mapInArrow(run, "c long, n long, root long")
-    )
+        for group, left, right, same in _groups(batches):
+
+            def side(at: np.ndarray, group: pa.RecordBatch = group) -> dict:
+                part = group.take(pa.array(at))
+                vector = np.frombuffer(b"".join(part.column("vector").to_pylist())).reshape(len(at), -1)
+                return {
+                    "c": part.column("c").to_numpy(), "size": part.column("size").to_numpy(), "vector": vector,
+                    "norm": np.sqrt((vector * vector).sum(axis=1)),
+                    "codes": part.column("codes").flatten().to_numpy().reshape(len(at), -1),
+                }
+
+            a = side(left)
+            b = a if same else side(right)
+            here, there, root = _compare(a, b, group.column("t")[0].as_py(), same, threshold)
+            if here is None:
+                continue
+            sides = [(a["c"], here, root)] if same else [(a["c"], here, root[0]), (b["c"], there, root[1])]
+            for c, n, r in sides:
+                r = np.where(r < 0, c, r)
+                used = (n > 0) | (r != c)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[used]), pa.array(n[used].astype(np.int64)), pa.array(r[used])], ["c", "n", "root"]
+                )
+
+    rows = _in_blocks(members).join(coded.select("c", "codes"), "c").join(classes.select("c", "size", "vector"), "c")
+    dealt = rows.repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+    return dealt.mapInArrow(run, "c long, n long, root long")
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vec_id, embedding, label.
 
-    Vectors of one label are linked if their cosine, in double precision, is ``threshold`` or more.
+    Vectors of one label are linked if their cosine, in double precision, is ``threshold`` (0.93, for which the tables
+    are made) or more.
     ``n_links`` counts the other vectors linked directly, ``component_id`` is the smallest vec_id
     reachable, ``kept`` is vec_id = component_id.
 
-    Equal vectors of a label are one class and compared once. A bucket of more than ``BLOCK``
-    classes is cut into blocks, and each pair of blocks is a group of its own. A pair is
+    Equal vectors of a label are one class and compared once. The number of signs follows from the label's classes. A
+    bucket of more than ``BLOCK`` classes is cut into blocks, and each pair of blocks is a group of its own. A pair is
     counted in the first table that shows it.
 
     A row with null label or vector, a zero vector, or null or non-finite components links with
@@ -191,16 +282,14 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("label").alias("label"), F.first("vector").alias("vector")
     )
     classes = staged(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    rows = _bucketed(classes)
-    bucket = ["t", "code", "label", "dim"]
-    sizes = staged(rows.groupBy(*bucket).count().where("count > 1"), "buckets")
-    rows = join_small(rows, sizes, bucket, "inner")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("c", "size", "vector", "codes", *bucket, "block", other)
-    rows = rows.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
-    found = staged(_links(rows.drop("other"), threshold), "found")
+    counts = classes.groupBy("label").agg(F.count(F.lit(1)).alias("k"))
+    levels = F.ceil(F.log2(F.col("k") / BUCKET)).cast("int")
+    bits = F.least(F.lit(MOST_BITS), F.greatest(F.lit(LEAST_BITS), levels)).alias("bits")
+    sized = join_small(classes, staged(counts.select("label", bits), "bits"), "label", "inner")
+    coded = staged(_coded(sized), "coded")
+    members = coded.select("c", "label", "dim", "signature", F.posexplode("codes").alias("t", "code"))
+    marked = staged(similar_members(members), "marked")
+    found = staged(_links(marked, coded, classes, threshold), "found")
     counts = found.groupBy("c").agg(F.sum("n").alias("n"))
     edges = found.where("root <> c").select(F.col("root").alias("a"), F.col("c").alias("b")).distinct()
     root = components(staged(edges, "edges")).toDF("c", "root")
