@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from wtel.operators import archive
@@ -41,6 +42,36 @@ def test_packing(spark, seed, by_joins):
     assert {r.path: r.archive_no for r in packed.collect()} == model(rows, 100)
 
 
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_blocks_of_any_size(spark, monkeypatch, parts):
+    """Blocks smaller than an archive, and more blocks of a day than one task follows."""
+    monkeypatch.setattr(archive, "FAN", 4)
+    rows = entries(parts, 400)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.path: r.archive_no for r in archive._pack_by_blocks(df, 100, parts).collect()}
+    assert got == model(rows, 100)
+
+
+def test_summaries_compose():
+    """The summary of two runs is that of the whole, for every fill on entry."""
+    r = random.Random(3)
+    for _ in range(300):
+        cap = r.choice([1, 7, 50])
+        sizes = np.array([r.choice([0, 1, 2, 5, 20, 60]) for _ in range(r.randrange(1, 14))])
+        cut = r.randrange(len(sizes) + 1)
+        fills = np.arange(0, cap + 70)
+        parts = [archive.Summary.of(x, cap) for x in (sizes[:cut], sizes[cut:]) if len(x)]
+        whole = parts[0] if len(parts) == 1 else parts[0].then(parts[1])
+        for fill, closed, left in zip(fills, *whole.after(fills), strict=True):
+            n, f = 0, int(fill)
+            for size in sizes.tolist():
+                if f + size >= cap:
+                    n, f = n + 1, size
+                else:
+                    f += size
+            assert (closed, left) == (n, f)
+
+
 def test_oversize_and_exact_cap(spark):
     rows = [("a", 300, 0, "d"), ("b", 60, 1, "d"), ("c", 40, 2, "d"), ("e", 39, 3, "d")]
     df = spark.createDataFrame(rows, SCHEMA)
