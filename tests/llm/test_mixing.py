@@ -89,3 +89,56 @@ def test_odd_rows(odd, none):
     assert first.count() == odd.count()
     assert {r.source for r in sources.collect()} == {"a", "b", "c", None}
     assert mixing.mixed_documents(none).count() == 0
+
+
+def test_a_source_for_nearly_every_document(spark, tmp_path, monkeypatch):
+    """Sources that no other pattern has need no flow: more of them than the driver would plan, equal to the SQL."""
+    import duckdb
+
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    rng = random.Random(6)
+    rows = []
+    for i in range(9000):
+        source = None if i % 997 == 0 else f"www{rng.randrange(6000)}.example"
+        rows.append((i, " ".join(["w"] * rng.choice([0, 1, 2, 5, 40])) or None, "en", source, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(queries.STATEMENTS["op1_mix_sources"])
+    names = [c[0] for c in found.description]
+    want = sorted(found.fetchall(), key=str)
+    got = queries.op1_mix_sources(spark, str(tmp_path))
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == want
+
+
+def test_shared_and_private_sources_together(spark):
+    """The flow of overlapping sources beside private ones is that of all together."""
+    rng = random.Random(2)
+    kinds = [["a"], ["a", "b"], ["b", "c"], ["x"], ["y"], [None], []]
+    rows = [(i, rng.choice(kinds), rng.randrange(1, 30)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, n long")
+    _, units, sources = mixing.mix(docs, F.col("sources"), F.col("n"))
+    wanted = {r.source: r.target for r in sources.collect()}
+    names = sorted(wanted, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for _, m, n in rows if s in m) for s in names]
+    everything = sum(n for _, m, n in rows if m)
+    weights = [(3, 1, 2)[k % 3] for k in range(len(names))]
+    assert [wanted[s] for s in names] == mixing.targets(sizes, weights, 1.5 * everything, 2)
+    patterns = {}
+    for _, m, n in rows:
+        key = tuple(sorted(m, key=lambda s: (s is not None, s or "")))
+        patterns[key] = patterns.get(key, 0) + n
+    given = mixing.flow([([names.index(s) for s in m], n) for m, n in patterns.items()], [int(wanted[s]) for s in names], 2)
+    taken = {}
+    for r in units.collect():
+        key = tuple(r.members)
+        taken[key] = taken.get(key, 0) + r.copies * r["size"]
+    assert all(taken[k] <= 2 * n for k, n in patterns.items())
+    private = [("x",), ("y",), (None,)]
+    for (k, n), g in zip(patterns.items(), given, strict=True):
+        if k in private:
+            assert abs(taken[k] - g) <= 15  # whole documents
+        if not k:
+            assert taken[k] == 0
+    assert abs(sum(taken.values()) - sum(given)) < 40

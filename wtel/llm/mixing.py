@@ -14,9 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wtel.functions.ordered import number_all
 from wtel.llm.common import WORD, join_small, staged
 
-#: Patterns that the driver plans at most; more raise an error.
+#: Patterns that share a source with another one and that the driver plans at most; more raise an error. Sources that
+#: only one pattern has are planned in Spark, however many there are.
 MAX_PATTERNS = 200_000
 WEIGHTS = (3, 1, 2)
 #: Tokens asked for, as a share of all tokens, and the most a source is asked for of its own.
@@ -122,24 +124,79 @@ def flow(
     return [graph[p][way[2]][1] for p, way in enumerate(ways)]
 
 
-def _plan(totals: list, weights: Sequence[float], total: float, most: int) -> tuple[list, list]:
-    """Rows of sources (source, size, target) and of patterns (members, copies, rest)."""
-    named = sorted({s for r in totals for s in r["members"]}, key=lambda s: (s is None, s or ""))
-    place = {s: i for i, s in enumerate(named)}
-    sizes = [0] * len(named)
-    for r in totals:
-        for s in r["members"]:
-            sizes[place[s]] += r["size"]
-    everything = sum(r["size"] for r in totals if r["members"])
-    wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(named))], total * everything, most)
-    patterns = [([place[s] for s in r["members"]], r["size"]) for r in totals]
-    given = flow(patterns, [int(t) for t in wanted], most)
-    cut = [divmod(g, r["size"]) if r["size"] else (0, 0) for g, r in zip(given, totals, strict=True)]
-    return (
-        list(zip(named, sizes, wanted, strict=True)),
-        [(r["members"], c, rest) for r, (c, rest) in zip(totals, cut, strict=True)],
+def _weighed(summed: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """source, size, patterns (how many have it) and weight of every source; nulls come last."""
+    each = summed.select(F.explode("members").alias("source"), "size")
+    sizes = each.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("patterns"))
+    order = sizes.withColumns({"_none": F.col("source").isNull().cast("int"), "_name": F.coalesce("source", F.lit(""))})
+    numbered = number_all(staged(order, "sources"), ["_none", "_name"], "_rank")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("_rank") - 1) % len(weights)).cast("int"))
+    return staged(numbered.select("source", "size", "patterns", weight.alias("weight")), "weighed")
+
+
+def _level(sources: DataFrame, total: float, most: int) -> float:
+    """The level at which shares min(cap, level x weight) add up to ``total``, as in ``targets``.
+
+    Each round caps the sources that the level before is too high for; that raises the level, until no more are capped.
+    """
+    cap = F.col("size") * most
+    capped, level = -1, 0.0
+    while True:
+        over = cap / F.col("weight") < level
+        n, fixed, left = sources.agg(
+            F.count(F.when(over, 1)), F.coalesce(F.sum(F.when(over, cap)), F.lit(0)), F.sum(F.when(~over, F.col("weight")))
+        ).first()
+        if n == capped or not left:
+            return level if left else float("inf")
+        capped, level = n, (total - fixed) / left
+
+
+def _plan(summed: DataFrame, weights: Sequence[float], total: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """Sources (source, source_size, target), and patterns (members, copies, rest).
+
+    A pattern whose only source no other one has gives that source's target. Only patterns that share sources go
+    through the flow on the driver.
+    """
+    spark = summed.sparkSession
+    sources = _weighed(summed, weights)
+    everything = summed.where(F.size("members") > 0).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    level = F.lit(_level(sources, total * everything, most))
+    target = F.least((F.col("size") * most).cast("double"), level * F.col("weight"))
+    target = F.when(F.col("size") == 0, F.lit(0.0)).otherwise(target)
+    aimed = staged(sources.select("source", F.col("size").alias("source_size"), target.alias("target"), "patterns"), "targets")
+
+    own = summed.where(F.size("members") == 1).withColumn("source", F.get("members", F.lit(0))).drop("members")
+    alone = aimed.where("patterns = 1").drop("source_size").withColumnRenamed("source", "_source")
+    own = join_small(own, staged(alone, "alone"), F.col("source").eqNullSafe(F.col("_source")), "inner")
+    given, size = F.floor("target").cast("long"), F.col("size")
+    some = lambda x: F.when(size > 0, x).otherwise(F.lit(0)).cast("long")
+    private = own.select(
+        F.array("source").alias("members"), some(F.call_function("div", given, size)).alias("copies"), some(given % size).alias("rest")
     )
 
+    shared = staged(aimed.where("patterns > 1"), "shared")
+    mixed_ = summed.where(F.size("members") > 0).withColumn("source", F.explode("members"))
+    mixed_ = join_small(mixed_, shared.select(F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s")), "left_semi")
+    more = summed.where(F.size("members") > 1).select("members", "size").unionByName(mixed_.select("members", "size"))
+    totals = more.distinct().orderBy("members").limit(MAX_PATTERNS + 1).collect()
+    if len(totals) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} combinations of sources overlap; merge rare sources first")
+    rows = []
+    if totals:
+        names = sorted({s for r in totals for s in r["members"]}, key=lambda s: (s is None, s or ""))
+        place = {s: i for i, s in enumerate(names)}
+        asked = spark.createDataFrame([(n,) for n in names], "_s string")
+        found = aimed.join(F.broadcast(asked), F.col("source").eqNullSafe(F.col("_s")), "left_semi").collect()
+        wanted = [0] * len(names)
+        for r in found:
+            wanted[place[r["source"]]] = int(r["target"])
+        patterns = [([place[s] for s in r["members"]], r["size"]) for r in totals]
+        for r, g in zip(totals, flow(patterns, wanted, most), strict=True):
+            rows.append((r["members"], *(divmod(g, r["size"]) if r["size"] else (0, 0))))
+    without = summed.where(F.size("members") == 0).select("members", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("rest"))
+    planned = spark.createDataFrame(rows, "members array<string>, copies long, rest long")
+    return aimed.drop("patterns"), staged(private.unionByName(planned).unionByName(without), "patterns")
+
 
 def _chosen(units: DataFrame, patterns: DataFrame) -> DataFrame:
     """Units with ``copies``. The rest of a pattern goes to a prefix of its seeded order and to a few
@@ -151,11 +208,8 @@ def _chosen(units: DataFrame, patterns: DataFrame) -> DataFrame:
     key, by = ["members"], Window.partitionBy("members")
     sums = units.groupBy("members", "slice").agg(F.sum("tokens").alias("in_slice"))
     until = F.sum("in_slice").over(by.orderBy("slice"))
-    places = (
-        sums.withColumn("before", until - F.col("in_slice"))
-        .join(F.broadcast(patterns), key)
-        .select("members", "slice", "copies", "rest", "before", "in_slice")
-    )
+    places = join_small(sums.withColumn("before", until - F.col("in_slice")), patterns, key, "inner")
+    places = places.select("members", "slice", "copies", "rest", "before", "in_slice")
     placed = staged(join_small(units, staged(places, "slices"), ["members", "slice"], "inner"), "placed")
     whole = F.col("before") + F.col("in_slice") <= F.col("rest")
     cut = ~whole & (F.col("before") <= F.col("rest"))
@@ -174,21 +228,25 @@ def _chosen(units: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def _filled(marked: DataFrame) -> DataFrame:
     """Take the unit of each pattern that fits best what its taken units leave open."""
-    had = marked.groupBy("members").agg((F.first("rest") - F.sum(F.col("taken") * F.col("tokens"))).alias("open"))
+    had = staged(_open(marked), "open")
     gap = F.abs(F.col("open") - F.col("tokens"))
     best = F.min(F.struct(gap.alias("gap"), "order", F.struct("doc_id", "size").alias("unit"))).alias("best")
     more = (
-        marked.where("taken = 0 AND tokens > 0")
-        .join(F.broadcast(had), "members")
+        join_small(marked.where("taken = 0 AND tokens > 0"), had, "members", "inner")
         .where(gap < F.col("open"))
         .groupBy("members")
         .agg(best)
         .select("members", F.col("best.order").alias("order"), F.col("best.unit").alias("unit"), F.lit(1).alias("more"))
     )
-    found = marked.withColumn("unit", F.struct("doc_id", "size")).join(F.broadcast(more), ["members", "order", "unit"], "left")
+    found = join_small(marked.withColumn("unit", F.struct("doc_id", "size")), staged(more, "more"), ["members", "order", "unit"])
     return found.withColumn("taken", F.col("taken") + F.coalesce("more", F.lit(0))).select(*marked.columns)
 
 
+def _open(marked: DataFrame) -> DataFrame:
+    """What the taken units of each pattern leave open."""
+    return marked.groupBy("members").agg((F.first("rest") - F.sum(F.col("taken") * F.col("tokens"))).alias("open"))
+
+
 def mix(
     docs: DataFrame,
     members: Column,
@@ -210,9 +268,8 @@ def mix(
     a document without members is never taken. A null id takes part like any other, null and
     blank texts have size 0 and are not needed. Equal places in the seeded order are resolved by
     id and size. All results are the same in each run. An empty table gives empty results. Only
-    the patterns' sums, at most ``MAX_PATTERNS``, reach the driver.
+    the sums of patterns that share sources, at most ``MAX_PATTERNS``, reach the driver.
     """
-    spark = docs.sparkSession
     rows = staged(
         docs.select("doc_id", F.array_sort(F.array_distinct(members)).alias("members"), size.cast("long").alias("size")),
         "sizes",
@@ -227,18 +284,18 @@ def mix(
         .withColumn("slice", F.substring("order", 1, DIGITS)),
         "units",
     )
-    summed = units.groupBy("members").agg(F.sum("tokens").alias("size")).orderBy("members")
-    totals = summed.limit(MAX_PATTERNS + 1).collect()
-    if len(totals) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} combinations of sources; merge rare sources first")
-    sources, patterns = _plan(totals, weights, total, most)
-    pattern_rows = spark.createDataFrame(patterns, "members array<string>, copies long, rest long")
-    source_rows = spark.createDataFrame(sources, "source string, source_size long, target double")
-    return rows, _chosen(units, pattern_rows), source_rows
+    summed = staged(units.groupBy("members").agg(F.sum("tokens").alias("size")), "totals")
+    sources, patterns = _plan(summed, weights, total, most)
+    return rows, _chosen(units, patterns), sources
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as many times as it is taken, all columns kept."""
+    """The documents of the mix, each as many times as it is taken, all columns kept.
+
+    Rows that agree in id, source and size are taken alike. Null ids and sources take part, null and blank texts are
+    never taken, texts of any length count whole, and columns beside doc_id, text and source are passed on whatever
+    their names. Equal places are resolved as in ``mix``. An empty table gives an empty result.
+    """
     members, size = F.array("source"), n_words(F.col("text"))
     _, units, _ = mix(docs, members, size, **options)
     taken = staged(units.where("copies > 0").select("doc_id", "members", "size", "copies"), "taken")

@@ -39,7 +39,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("members").eqNullSafe(F.col("_members"))
     taken = join_small(rows, copies, same & (F.col("size") == F.col("_size")), "inner")
     on = F.get("members", F.lit(0)).eqNullSafe(F.col("source"))
-    return taken.join(F.broadcast(sources), on).select(
+    return join_small(taken, sources, on, "inner").select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
 
