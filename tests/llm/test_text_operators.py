@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -412,3 +413,80 @@ def test_constants_follow_random_assignments():
             if weight >= secrets.THRESHOLD and weight * secrets.literal_score(whole) >= secrets.THRESHOLD:
                 want.update((a, b) for a, b, _ in parts)
         assert {(a, b) for _, a, b in secrets.literal_spans("\n".join(lines))} == want
+
+
+def test_terms_that_tell_only_together(spark):
+    """Labels that are the exclusive or of two words, neither of which tells anything alone."""
+    rng = random.Random(1)
+    rows, truth = [], []
+    for i in range(2400):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randrange(200)}" for _ in range(20)] + ["alpha" if a else "gamma", "beta" if b else "delta"]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        truth.append((i, int(a != b)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(truth, "doc_id long, toxic int")
+    found = toxicity.score(docs, labels).collect()
+    held = [(r.score >= 0.5) == bool(truth[r.doc_id][1]) for r in found if r.held_out]
+    assert sum(held) >= 0.97 * len(held)
+
+
+def test_toxicity_scores_are_those_of_the_machine(spark):
+    """Every score is the logistic of bias, weights and the inner products of all pairs, added up one by one."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) < 2500")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    machine = toxicity.learn(docs, labels)
+    place = {h: i for i, h in enumerate(machine.hashes.tolist())}
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    for r in docs.limit(60).collect():
+        own = set()
+        for word in (r.text or "").split():
+            word = word.lower().strip(toxicity.EDGES)
+            for k, size in enumerate((None, *toxicity.PREFIXES)):
+                if word and (size is None or len(word) >= size):
+                    h = xxhash.xxh3_64_intdigest((word if size is None else word[:size]).encode())
+                    own.add(place.get(int(toxicity.mixed(np.array([h], np.uint64) + np.uint64(k))[0])))
+        at = sorted(own - {None})
+        total = machine.bias + sum(machine.w[i] for i in at)
+        total += sum(float(machine.v[i] @ machine.v[j]) for k, i in enumerate(at) for j in at[:k])
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, total)))), abs=1e-6)
+
+
+def test_language_vectors_and_decisions_one_by_one():
+    """Vectors counted by plain loops; a decision by counting the pairs that each name wins."""
+    texts = ["Ein Haus steht im Wald.", "el perro come", "a", "", "ÀÉ ß 12"]
+    got = langid.vectors(texts)
+    for text, row in zip(texts, got, strict=True):
+        raw = text.lower().encode()
+        want = np.zeros(langid.DIMENSIONS)
+        for width, start, dims in ((2, 0, langid.PAIRS), (3, langid.PAIRS, langid.TRIPLES)):
+            for i in range(len(raw) - width + 1):
+                key = 0
+                for b in raw[i : i + width]:
+                    key = (key * 257 + b) % 2**32
+                want[start + (key * 2654435761 % 2**32 >> 12) % dims] += 1
+            part = want[start : start + dims]
+            part[:] = np.sqrt(part / max(part.sum(), 1))
+        assert np.allclose(row, want, atol=1e-6)
+    rng = np.random.default_rng(4)
+    names = ["en", "de", "fr", "es", "fr", "de", "en", "es"] * 6
+    model = langid.Model(rng.random((48, langid.DIMENSIONS)).astype(np.float32), names, langid.FAMILIES)
+    x = rng.random((20, langid.DIMENSIONS)).astype(np.float32)
+    found, _ = model.predict(x)
+
+    def winner(row, options, machines):
+        votes = {o: 0 for o in range(len(options))}
+        sums = {o: 0.0 for o in range(len(options))}
+        for i, j, w in machines:
+            p = 1 / (1 + math.exp(-langid.STEEPNESS * (float(row @ w[:-1]) + float(w[-1]))))
+            votes[i] += p >= 0.5
+            votes[j] += p < 0.5
+            sums[i] += p
+            sums[j] += 1 - p
+        return max(votes, key=lambda o: votes[o] + sums[o] / (len(options) + 1))
+
+    for row, name in zip(x, found, strict=True):
+        families = list(model.families)
+        family = families[winner(row, families, model.between)]
+        own = model.families[family]
+        assert own[winner(row, own, model.within[family])] == name

@@ -175,7 +175,11 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that ``judge`` keeps, all columns and repeated rows as they are."""
+    """The documents that ``judge`` keeps, all columns and repeated rows as they are.
+
+    Null, empty and blank texts go; null ids stay with their rows; columns beside doc_id and text are passed on whatever their
+    names; texts of any length are read whole, equal scores are judged alike, and an empty table gives an empty result.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
     return _judged(docs, rows, labels, threshold, "_row").where("kept").select("_row.*")
 

@@ -20,6 +20,8 @@ from wtel.llm.common import join_small, mixed, remainder_is, sampled, slices, st
 PER_CLASS = 8000
 #: Terms of the machine at most, texts a term must be in, least chi-square of a term and the label.
 TERMS, MIN_TEXTS, CHI_SQUARE = 1 << 14, 4, 12.0
+#: Most frequent terms that the machine gets whatever they tell alone, and the least share of texts they are in.
+COMMON, COMMON_SHARE = 256, 0.05
 #: Beginnings of words that are terms too, for endings that were not learnt.
 PREFIXES = (4, 5, 6)
 FACTORS, PENALTY, FACTOR_PENALTY, RATE, ROUNDS = 8, 1e-4, 1e-3, 0.1, 300
@@ -176,8 +178,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = PER_CLASS) -> Machine:
     a, k = F.col("a").cast("double"), F.col("k").cast("double")
     gap = a * n - k * n_toxic
     counts = counts.withColumn("chi", gap * gap * n / (k * (n - k + 0.5) * n_toxic * (n - n_toxic)))
-    counts = counts.where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS)
-    chosen = counts.select("term", "a", "k").toArrow()
+    counts = staged(counts.where((F.col("chi") >= CHI_SQUARE) | (k >= COMMON_SHARE * n)), "terms")
+    telling = counts.where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS)
+    # two terms can tell together what neither tells alone
+    common = counts.where(k >= COMMON_SHARE * n).orderBy(F.desc("k"), "term").limit(COMMON)
+    chosen = telling.unionByName(common).select("term", "a", "k").distinct().orderBy("term").toArrow()
     hashes, a, k = (chosen[x].to_numpy() for x in ("term", "a", "k"))
     hashes = hashes.view(np.uint64)
     # the machine's terms are sorted
