@@ -16,8 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wtel.functions.once import with_once
 from wtel.functions.text import full_table_name, labelled_comment, last_alias
+from wtel.plans import comments
+from wtel.plans.comments import AFTER_POSITION, AS_IS, IF_POSITIVE, MADE, OF_KIND
 from wtel.plans.tree_walk import whole_queries
 from wtel.sinks.staging import staged
 
@@ -145,10 +146,8 @@ def stage_keys(ops: DataFrame, attrs: DataFrame) -> DataFrame:
 
 
 # Titles of an operator's comment, in order, for each operator type. The third item
-# says how a value is shown: as it is, after its position, only if positive, or (of a select item) by its kind.
-AS_IS, AFTER_POSITION, IF_POSITIVE, OF_KIND = "as is", "after position", "if positive", "of kind"
-# An attribute that is worked out instead of stored.
-MADE = "made"
+# says how a value is shown: as it is, after its position, only if positive, or (of a select item) by its kind;
+# an attribute may also be made from others.
 _JOIN = [
     ("cond", "condition map", AS_IS),
     ("filterString", "condition expressions", AFTER_POSITION),
@@ -208,112 +207,33 @@ PLAIN = {
 SPACED = {"LATERALVIEWJOIN": ("outputCol", "Lateral View Join: "), "HASHTABLESINK": ("cond", "conditions: ")}
 
 
-def _rules(spark) -> DataFrame:
-    """The rules as rows: what an attribute of an operator type adds to the comment, and where."""
-    rows = []
-    for kind, titles in TITLES.items():
-        order = list(dict.fromkeys(title for _, title, _ in titles))
-        rows += [(kind, a, order.index(t), i, f"{t}: ", show) for i, (a, t, show) in enumerate(titles) if show != MADE]
-    rows += [(kind, a, -1, 0, "", "plain") for kind, (a, _, _) in PLAIN.items()]
-    rows += [(kind, a, -1, 0, "", "spaced") for kind, (a, _) in SPACED.items()]
-    # attributes that only decide about others
-    rows += [("FILESINK", a, -1, 0, "", a) for a in ("dirName", "finalDirName")]
-    rows += [("GROUPBY", a, -1, 0, "", a) for a in ("aggregation", "distinct")]
-    return spark.createDataFrame(rows, "op_type string, attr string, title int, rule int, lead string, show string")
-
-
-def _made(kind: str, attr: str, value: Column) -> Column:
-    """The entry of an attribute that is worked out; null without a value."""
-    titles = TITLES[kind]
-    order = list(dict.fromkeys(title for _, title, _ in titles))
-    at, title = next((i, t) for i, (a, t, _) in enumerate(titles) if a == attr)
-    fits = (F.col("op_type") == kind) & (F.coalesce(value, F.lit("")) != "")
-    none = F.lit(None)
-    entry = F.struct(
-        F.lit(order.index(title)).alias("title"), F.lit(at).alias("rule"), F.lit(0).alias("pos"), value.alias("value"),
-        none.cast("string").alias("kind"), F.lit(f"{title}: ").alias("lead"), value.alias("text"),
-    )
-    return F.when(fits, entry)
-
-
-def _lines(entries: Column) -> Column:
-    """Sorted entries as text: a line for each title with its values."""
-
-    def text(e: Column, i: Column) -> Column:
-        same = e["title"].eqNullSafe(F.get(entries, i - 1)["title"])
-        glue = F.when(same, F.lit(", ")).when(i == 0, e["lead"]).otherwise(F.concat(F.lit("\n"), e["lead"]))
-        return F.concat(glue, e["text"])
-
-    return F.array_join(F.transform(entries, text), "")
-
-
 def operator_comment(ops: DataFrame, attrs: DataFrame) -> DataFrame:
     """The text that describes each operator, by its type; null for types that have none.
 
-    Attributes meet the rules of their operator's type as rows of a small table, and one aggregation
-    per operator puts what they add in order.
+    Operators and the attributes that some rule names meet by one shuffle on the query, and ``comments.written`` applies
+    the rules to many queries at a time.
     """
-    held = attrs.select(*OP, "attr", "pos", "value", "kind")
-    rows = ops.select(*OP, "op_type", "variant", "seq", _shown_type().alias("shown_type")).join(held, OP, "left")
-    rows = rows.join(F.broadcast(_rules(ops.sparkSession)), ["op_type", "attr"], "left")
-    show, value = F.col("show"), F.col("value")
-    is_shown = (
-        show.isin(AS_IS, AFTER_POSITION)
-        | ((show == IF_POSITIVE) & (value.try_cast("int") > 0))
-        | ((show == OF_KIND) & F.col("kind").isin("field", "column", "constant", "func"))
-    )
-    text = F.when(show == AFTER_POSITION, F.concat(F.col("pos").cast("string"), F.lit(": "), value)).otherwise(value)
-    entry = F.struct("title", "rule", "pos", "value", "kind", "lead", text.alias("text"))
-    own = F.struct("pos", "value", "kind")
-    first = lambda what: F.min(F.when(show == what, own))["value"]
-    gathered = rows.groupBy(*OP).agg(
-        F.first("op_type").alias("op_type"),
-        F.first("shown_type").alias("shown_type"),
-        F.first("variant").alias("variant"),
-        F.first("seq").alias("seq"),
-        F.collect_list(F.when(is_shown & (value != ""), entry)).alias("entries"),
-        F.array_sort(F.collect_list(F.when(show == "spaced", own))).alias("spaced"),
-        first("plain").alias("plain"),
-        first("dirName").alias("dir"),
-        first("finalDirName").alias("final_dir"),
-        first("distinct").alias("distinct"),
-        F.count(F.when(show == "aggregation", 1)).alias("n_aggregations"),
-    )
-    # a common join also shows the partition columns its stage has collected so far
-    parts = (
-        _typed(ops, attrs)
-        .where("op_type = 'REDUCESINK' and attr = 'partitionCol' and kind = 'column'")
-        .groupBy(*STAGE)
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "pos", "value"))).alias("parts"))
-    )
-    flags = F.col("variant")
-    variant = (
-        F.when(F.contains(flags, F.lit("sink")), "HashTable Sink")
-        .when(F.contains(flags, F.lit("sorted")), "Sorted Merge Bucket")
-        .when(F.contains(flags, F.lit("bucket")), "Bucket")
-    )
-    earlier = F.filter("parts", lambda p: (p["seq"] < F.col("seq")) & (F.coalesce(p["value"], F.lit("")) != ""))
-    keys = F.array_join(F.transform(earlier, lambda p: p["value"]), ", ")
-    known = gathered.join(parts, STAGE, "left")
-    made = F.array_compact(
-        F.array(
-            _made("JOIN", "joinKey", keys),
-            _made("MAPJOIN", "joinVariant", variant),
-            _made("FILESINK", "otherDirName", F.when(F.col("final_dir") != F.col("dir"), F.col("final_dir"))),
-            _made("GROUPBY", "implied", F.when(F.col("n_aggregations") == 0, F.lit("implied"))),
-            _made("GROUPBY", "explicit", F.when(F.col("distinct") == "true", F.lit("explicit"))),
+    rules = comments.Rules(TITLES, PLAIN, SPACED)
+    none = F.lit(None)
+    rows = ops.select(
+        *OP, F.lit(True).alias("is_op"), "op_type", _shown_type().alias("shown_type"), "variant", F.col("seq").cast("long").alias("seq"),
+        none.cast("string").alias("attr"), none.cast("long").alias("pos"), none.cast("string").alias("value"), none.cast("string").alias("kind"),
+    ).unionByName(
+        attrs.where(F.col("attr").isin(*rules.attributes())).select(
+            *OP, F.lit(False).alias("is_op"), *[none.cast("string").alias(c) for c in ("op_type", "shown_type", "variant")],
+            none.cast("long").alias("seq"), "attr", F.col("pos").cast("long").alias("pos"), "value", "kind",
         )
-    )
-    known = with_once(known, {"entries": F.array_sort(F.concat("entries", made))})
-    op = F.col("op_type")
-    spaced = F.array_join(F.transform("spaced", lambda a: F.concat(F.lit(" "), a["value"])), "")
-    told = F.when(op == "LATERALVIEWFORWARD", F.lit("Lateral View Forward"))
-    for kind, (_, before, after) in PLAIN.items():
-        told = told.when(op == kind, F.concat(F.lit(before), F.col("plain"), F.lit(after)))
-    for kind, (_, before) in SPACED.items():
-        told = told.when(op == kind, F.concat(F.lit(before), spaced))
-    comment = F.when(op.isin(*TITLES), _lines(F.col("entries"))).otherwise(told)
-    return known.select(*OP, "seq", F.col("shown_type").alias("op_type"), comment.alias("comment"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_queries(batches):
+            yield comments.written(table, rules)
+
+    kind = ops.schema["query_id"].dataType.simpleString()
+    seq = ops.schema["seq"].dataType.simpleString()
+    dealt = rows.where("query_id is not null").repartition("query_id").sortWithinPartitions("query_id")
+    out = dealt.mapInArrow(run, f"query_id {kind}, stage_id string, op_id string, seq long, op_type string, comment string")
+    return out.withColumn("seq", F.col("seq").cast(seq))
 
 
 def attribute_comment(attrs: DataFrame) -> DataFrame:
