@@ -57,7 +57,7 @@ def test_tags_start_at_zero_and_are_replaced(spark, tmp_path):
         spark.createDataFrame([("counts", "a", "7")], "table_name string, tag string, value string"),
         str(tmp_path),
     )
-    got = spark.read.parquet(str(tmp_path / "tags")).collect()
+    got = tables.read_tags(spark, str(tmp_path)).collect()
     assert [(r.table_name, r.tag, r.value) for r in got] == [("counts", "a", "7")]
 
 
