@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wtel import schemas
 from wtel.functions import text, zones
-from wtel.operators import changes, counters, runs, workload
+from wtel.operators import changes, counters, layout, runs, workload
 from wtel.plans import plan_nodes, semantics
 from wtel.sources import logs, snapshots
 
@@ -299,3 +299,12 @@ def test_missing_job_ids_and_tags_of_two_tables(spark):
     values = spark.createDataFrame([("counts", "a", 3), ("gauges", "a", 8)], "table_name string, tag string, value long")
     got = {(r.table_name, r.tag): r.value for r in counters.registry_values(registry, values).collect()}
     assert got == {("counts", "a"): 3, ("gauges", "a"): 8, ("gauges", "b"): -1}
+
+
+def test_preferred_record_of_equal_ones(spark):
+    """Two records of one query in one place: the greatest text, in whatever order they are read."""
+    rows = [("t", "executing", "q", layout.PRELIMINARY_FILE, r) for r in ("record 1", "preliminary 1", "a")]
+    schema = "top string, state string, query_id string, file string, record string"
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        files = spark.createDataFrame(order, schema).coalesce(1)
+        assert [r.record for r in layout.preferred_record(files).collect()] == ["record 1"]
