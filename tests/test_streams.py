@@ -1,7 +1,11 @@
 """A backlog in many micro-batches gives what one batch gives."""
 
+import uuid
+
 import pytest
+from pyspark.sql import functions as F
 
+from wtel.fixtures import queries_streams
 from wtel.fixtures.views import view
 from wtel.operators import changes, runs
 from wtel.sinks import tables, versions
@@ -161,3 +165,48 @@ def test_parts_of_states_are_merged(spark, tmp_path):
     assert len(jobs._tail(spark, out, versions.latest(spark, f"{out}/base"))) <= 10
     assert len([n for n in versions.names(spark, out) if n.startswith("part=")]) <= 11
     assert versions.latest(spark, f"{out}/base") == 49
+
+
+class Landed:
+    """A job that only looks at what has landed."""
+
+    def awaitTermination(self):
+        pass
+
+    def exception(self):
+        return None
+
+
+def test_halves_hold_every_row_once(spark, monkeypatch):
+    """The middle may come out otherwise each time it is computed, and rows may have none: all rows land, once."""
+    around = F.udf(lambda top: uuid.uuid4().int % top, "long").asNondeterministic()
+    monkeypatch.setattr(queries_streams.F, "percentile_approx", lambda c, p: around(F.max(c)))
+    rows = spark.range(1000).select(F.when(F.col("id") != 7, F.col("id")).alias("seq"))
+    landed = []
+
+    def start(df, out, checkpoint):
+        landed.append(out.replace("/out", "/landing"))
+        return Landed()
+
+    queries_streams.replay(spark, rows, "seq", start)
+    got = [r.seq for r in spark.read.parquet(landed[0]).collect()]
+    assert sorted(got, key=str) == sorted([None if k == 7 else k for k in range(1000)], key=str)
+
+
+def test_many_files_in_no_order(spark):
+    """A landing of more files than a micro-batch usually takes, with polls in no order, is compared as a whole."""
+    docs = view(spark, SF_DIR, "cluster_docs").repartition(jobs.MAX_FILES * 2 + 3).cache()
+    got = jobs.parts(spark, queries_streams.replay(spark, docs, "poll_no", jobs.cluster_changes))
+    want = changes.cluster_changes(snapshots.read_cluster_metrics(docs))
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_finished_long_before_the_end_of_a_batch(spark, tmp_path):
+    """An application stays finished for the rest of a micro-batch that spans more polls than the horizon."""
+    polls = [(p, {"n1": [("a", "FINISHED" if p == 3 else "RUNNING"), ("b", "RUNNING")]}) for p in range(1, 6)]
+    polls += [(p, {"n1": [("b", "RUNNING")]}) for p in range(6, 60)]
+    docs = node_docs(spark, polls)
+    out, _ = landed_run(spark, tmp_path, [docs], lambda d, o, c: jobs.node_app_changes(d, 1, o, c, horizon=20))
+    want = changes.node_app_changes(snapshots.read_node_apps(docs), 1)
+    got = jobs.parts(spark, out).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

@@ -19,8 +19,9 @@ from pyspark.sql.streaming import StreamingQuery
 from wtel.functions.ordered import with_previous_poll
 from wtel.operators import changes, counters, layout, runs, workload
 from wtel.sinks import versions
+from wtel.sinks.staging import staged
 from wtel.sources import logs, snapshots
-from wtel.streaming.state import Kept, last_polls, last_starts, live_until
+from wtel.streaming.state import Kept, finished_apps, last_polls, last_starts, still_seen
 
 # How often the collector polls and writes.
 POLL_INTERVAL = "250 milliseconds"
@@ -102,16 +103,15 @@ def node_app_changes(
     """Applications on nodes as they appear, get containers and finish.
 
     Nothing is written of an application that is finished at the first poll, nor behind the first poll
-    that shows it finished. That poll is remembered until the application was absent for ``horizon`` polls; should
-    it come back after that, it is a new one.
+    that shows it finished. That poll holds for its whole micro-batch, and later ones remember it until the
+    application was absent for ``horizon`` polls; should it come back after that, it is a new one.
     """
     kept, ended = Kept(checkpoint, "polls"), Kept(checkpoint, "finished")
 
     def write(batch: DataFrame, number: int) -> None:
         own = snapshots.read_node_apps(batch)
-        finished = live_until(own, ended.read(own.sparkSession, number), horizon)
-        ended.remember(finished, number)
-        finished = ended.read(own.sparkSession, number + 1)
+        finished = staged(finished_apps(own, ended.read(own.sparkSession, number)), "finished")
+        ended.remember(still_seen(finished, own, horizon), number)
         live = own.join(finished.select("id", "finished"), "id", "left")
         live = live.where(F.expr(f"finished is null or (finished > {first_poll} and poll_no <= finished)")).select(*own.columns)
         both = kept.with_remembered(live, number)

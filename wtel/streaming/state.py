@@ -54,16 +54,21 @@ def last_polls(rows: DataFrame, source: Sequence[str], horizon: int) -> DataFram
     return rows.join(near, same, "left_semi")
 
 
-def live_until(apps: DataFrame, before: DataFrame | None, horizon: int) -> DataFrame:
+def finished_apps(apps: DataFrame, before: DataFrame | None) -> DataFrame:
     """id, finished (first poll that shows it) and seen (last poll with it) of finished applications."""
     seen = apps.groupBy("id").agg(
         F.min(F.when(F.col("state") == "FINISHED", F.col("poll_no"))).alias("finished"), F.max("poll_no").alias("seen")
     )
     if before is not None:
         seen = seen.unionByName(before).groupBy("id").agg(F.min("finished").alias("finished"), F.max("seen").alias("seen"))
-    latest = seen.agg((F.max("seen") - horizon).alias("_least"))
-    ended = seen.where("finished is not null")
-    return ended.join(F.broadcast(latest), F.col("seen") > F.col("_least")).drop("_least")
+    return seen.where("finished is not null")
+
+
+def still_seen(finished: DataFrame, apps: DataFrame, horizon: int) -> DataFrame:
+    """Those of ``finished_apps`` whose last poll lies less than ``horizon`` polls behind the latest one."""
+    polls = finished.select("seen").unionByName(apps.select(F.col("poll_no").alias("seen")))
+    latest = polls.agg((F.max("seen") - horizon).alias("_least"))
+    return finished.join(F.broadcast(latest), F.col("seen") > F.col("_least")).drop("_least")
 
 
 def last_starts(events: DataFrame, longest_ms: int | None) -> DataFrame:
