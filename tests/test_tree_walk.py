@@ -141,3 +141,13 @@ def test_one_shuffle_of_the_nodes(spark):
     nodes = spark.createDataFrame(grown(6, 5), SCHEMA)
     plan = semantics._narrow(semantics.walked(nodes, semantics._rules("dim_lookup")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_paths_are_cut_once(spark):
+    """The view of landed nodes carries ready paths: none is split again for every query."""
+    from wtel.fixtures.views import view
+
+    nodes = view(spark, "/root/testdata/sf0.001", "ast_nodes")
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
+    assert nodes.schema["path"].dataType.simpleString() == "array<int>"
