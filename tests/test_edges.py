@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wtel import schemas
+from wtel.fixtures import registry
 from wtel.functions import text, zones
 from wtel.operators import changes, counters, layout, runs, workload
 from wtel.plans import plan_nodes, semantics
@@ -308,3 +309,9 @@ def test_preferred_record_of_equal_ones(spark):
     for order in (rows, rows[::-1], rows[1:] + rows[:1]):
         files = spark.createDataFrame(order, schema).coalesce(1)
         assert [r.record for r in layout.preferred_record(files).collect()] == ["record 1"]
+
+
+def test_run_tables_read_their_own_level(spark):
+    """The table of workflows needs no event of a query, and none of the tables is written on the way."""
+    rows = registry.QUERIES["tbl_workflows"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in rows.inputFiles() if "lineitem" in f or "/runs-" in f]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from wtel.functions.ordered import as_of, fill, number_all, number_rows, position_chunk, time_chunk
 from wtel.functions.text import joined_or_empty
 from wtel.plans.plan_nodes import mapred_stages
-from wtel.sinks.staging import staged
 
 NO_JOB = -1
 
@@ -70,12 +69,14 @@ def pair_events(events: DataFrame) -> DataFrame:
 def run_tables(events: DataFrame, last_wid: int = 0) -> dict[str, DataFrame]:
     """The tables ``workflows``, ``components`` and ``executedQueries`` of finished runs.
 
-    All three read one staged table of numbered and paired events.
+    Each table reads only the events of its own level and the columns it shows.
     """
-    rows = staged(pair_events(events).join(assign_ids(events, last_wid), ["level", "key"]), "runs")
+    ids = assign_ids(events, last_wid)
 
     def level(name: str, *cols: str | Column) -> DataFrame:
-        return rows.where(F.col("level") == name).select(*cols, "startTime", "endTime")
+        own = pair_events(events.where(F.col("level") == name))
+        numbers = ids.where(F.col("level") == name)
+        return own.join(numbers, ["level", "key"]).select(*cols, "startTime", "endTime")
 
     return {
         "workflows": level("workflow", "wid", "name", F.col("user_name").alias("userName")),
