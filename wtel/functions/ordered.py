@@ -107,13 +107,15 @@ def as_of(
     order: Sequence[str],
     chunk: Column,
     values: Sequence[str],
+    once: bool = False,
 ) -> DataFrame:
     """Add to each left row the values of the latest right row of its key at or before its order.
 
     Both sides have the key and order columns; ``chunk`` is computed from them. A left row sees a
     right row with the same order. Inside a chunk one window over both sides finds the value. Every
     chunk of either side also learns the last right row of the chunks before it, and the rows meet that
-    summary on key and chunk, so that no row is compared with more than one.
+    summary on key and chunk, so that no row is compared with more than one. With ``once`` the windowed rows
+    are staged, which pays where the sides cost more to compute than to write.
     """
     names = left.columns
     packed = F.struct(*values)
@@ -122,18 +124,18 @@ def as_of(
     both = left.withColumns(
         {"_side": F.lit(1), "_v": F.lit(None).cast(r.schema["_v"].dataType), "_chunk": chunk}
     ).unionByName(r, allowMissingColumns=True)
-    inside = (
-        Window.partitionBy(*keys, "_chunk")
-        .orderBy(*order, "_side")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = both.withColumn("_here", F.last("_v", ignorenulls=True).over(inside)).where("_side = 1")
-    at = F.when(F.col("_v").isNotNull(), F.struct(*order))
-    heads = both.groupBy(*keys, "_chunk").agg(F.max_by("_v", at).alias("_head"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order, "_side")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # what the last row of a chunk sees is what the chunk hands on
+    seen = both.withColumns({"_here": F.last("_v", ignorenulls=True).over(upto), "_more": F.lead("_side").over(inside)})
+    seen = seen.where("_side = 1 or _more is null").drop("_v")
+    if once:
+        seen = staged(seen, "as-of")
+    heads = seen.where("_more is null").select(*keys, "_chunk", F.col("_here").alias("_head"))
     before = F.last("_head", ignorenulls=True).over(_earlier_chunks(keys)).alias("_before")
     carried = heads.select(*keys, "_chunk", before).where("_before is not null")
     value = F.coalesce("_here", "_before")
-    return local.join(carried, [*keys, "_chunk"], "left").select(
+    return seen.where("_side = 1").join(carried, [*keys, "_chunk"], "left").select(
         *names, *[value[v].alias(v) for v in values]
     )
 

@@ -10,6 +10,8 @@ from wtel.functions.text import joined_or_empty
 from wtel.plans.plan_nodes import mapred_stages
 
 NO_JOB = -1
+#: A day, the width of the chunks of a stage's jobs: an application lists one stage in few jobs an hour.
+DAY_MS = 86_400_000
 
 
 def assign_ids(events: DataFrame, last_wid: int = 0) -> DataFrame:
@@ -124,7 +126,7 @@ def stage_to_job(stages: DataFrame, jobs: DataFrame) -> DataFrame:
     )
     last = F.lit(2**31 - 1)
     left = stages.withColumns({"ts": F.col("completionTime"), "tie": last})
-    found = as_of(left, listed, ["app", "stageId"], ["ts", "tie"], time_chunk("ts"), ["jobId"])
+    found = as_of(left, listed, ["app", "stageId"], ["ts", "tie"], time_chunk("ts", DAY_MS), ["jobId"], once=True)
     return found.select(*stages.columns, F.coalesce("jobId", F.lit(NO_JOB)).alias("jobId"))
 
 
@@ -136,7 +138,7 @@ def attribute_to_query(stages: DataFrame, queries: DataFrame) -> DataFrame:
     left = stages.withColumn("ts", F.col("completionTime"))
     right = queries.withColumn("ts", F.col("start"))
     ids = ["wid", "cid", "qid"]
-    return as_of(left, right, ["run"], ["ts"], time_chunk("ts"), ids).select(*stages.columns, *ids)
+    return as_of(left, right, ["run"], ["ts"], time_chunk("ts"), ids, once=True).select(*stages.columns, *ids)
 
 
 def spark_stages(stages: DataFrame, queries: DataFrame) -> DataFrame:
