@@ -3,13 +3,65 @@
 import json
 
 from wtel.operators import runs
+from wtel.plans import plan_nodes
 from wtel.sources import logs
 
+OPS = "query_id long, stage_id string, task_type string, op_id string, parent_op_id string, op_type string, variant string, seq int"
+ATTRS = "query_id long, stage_id string, op_id string, attr string, pos int, value string, kind string, alias string"
+
 
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_labelled_comments_without_lists(spark):
+    """No operator's attributes are collected by an aggregate; null and empty values and titles are left out."""
+    rows = [
+        (1, "S", "a", "y", 1, "2"), (1, "S", "a", "x", 0, "é"), (1, "S", "a", "y", 0, "1"), (1, "S", "a", "z", None, "0"),
+        (1, "S", "b", "x", 0, ""), (1, "S", "b", "x", 1, None), (1, None, "a", "x", 0, "n"), (None, "S", "a", "x", 0, "m"), (2, "S", "a", None, 0, "t"),
+    ]
+    attrs = spark.createDataFrame([(*r, None, None) for r in rows], ATTRS)
+    out = plan_nodes.attribute_comment(attrs)
+    assert "collect_list" not in optimized(out)
+    got = {(r.query_id, r.stage_id, r.op_id): r.comment for r in out.collect()}
+    assert got == {
+        (1, "S", "a"): "z: 0\nx: é\ny: 1, 2", (1, "S", "b"): "", (1, None, "a"): "x: n", (None, "S", "a"): "x: m", (2, "S", "a"): "",
+    }
+    assert plan_nodes.attribute_comment(attrs.limit(0)).count() == 0
+
+
+def test_operators_and_attributes_share_their_columns(spark):
+    """What is shuffled for comments is a row of eight columns."""
+    ops = spark.createDataFrame([(1, "S", "MAP", "a", None, "FILTER", "", 0)], OPS)
+    attrs = spark.createDataFrame([(1, "S", "a", "predicate", 0, "(k > 1)", None, None)], ATTRS)
+    out = plan_nodes.operator_comment(ops, attrs)
+    assert [r.comment for r in out.collect()] == ["(k > 1)"]
+    step = out._jdf.queryExecution().analyzed().toString().split("MapInArrow run(")[1]
+    assert len(step.split(")")[0].split(",")) == 8
+
+
+def test_profile_describes_operators_by_one_shuffle(spark):
+    """Described operators are not joined with the operators again, and stages are computed once."""
+    ops = spark.createDataFrame([(1, "S", "MAP", "a", None, "FILTER", "", 0), (1, "R", "MAP", "b", None, "LIMIT", "", 1)], OPS)
+    attrs = spark.createDataFrame([(1, "S", "a", "predicate", 0, "(k > 1)", None, None)], ATTRS)
+    empty = lambda schema: spark.createDataFrame([], schema)
+    out = plan_nodes.query_profile(
+        spark.createDataFrame([(1, "q", 0, 1, "1"), (2, "r", 0, 1, "1")], "query_id long, query_string string, start_time long, end_time long, version string"),
+        ops, attrs, empty("query_id long, stage_id string, alias string, full_table string, pos int"),
+        empty("query_id long, stage_id string, stage_no long, job_id string, children array<string>, backup array<string>, conditional array<string>,"
+              " running boolean, exit_code int, task_kind string"),
+        empty("query_id long, seq long, kind string, db string, target string"),
+        empty("query_id long, chain_no int, frame_no int, class string, text string, message string, frame string"),
+        empty("query_id long, target_table string, partition_spec string, target_col string, dep_type string, base_pos int, src_table string,"
+              " src_alias string, src_col string, src_type string, comment string"),
+    )
+    joins = [line for line in out._jdf.queryExecution().analyzed().toString().splitlines() if "Join " in line and "op_id#" in line]
+    assert len(joins) == 2  # attributes with their operators, for keys and for constant filters
+    got = {r.query_id: r.stages for r in out.collect()}
+    assert got[2] is None
+    assert [(s.stage_id, [(o.op_id, o.comment) for o in s.operators]) for s in got[1]] == [("R", [("b", None)]), ("S", [("a", "(k > 1)")])]
+
+
 def test_event_lines_are_parsed_once(spark):
     """Jobs of stages are found from rows that are written once; the latest job counts across days."""
     day = runs.DAY_MS
