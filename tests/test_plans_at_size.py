@@ -3,7 +3,7 @@
 import json
 
 from wtel.operators import runs
-from wtel.plans import plan_nodes
+from wtel.plans import plan_nodes, records
 from wtel.sources import logs
 
 OPS = "query_id long, stage_id string, task_type string, op_id string, parent_op_id string, op_type string, variant string, seq int"
@@ -14,6 +14,44 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, "")
+    run()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_jobs_do_not_grow_with_a_forest(spark):
+    """A chain of a hundred operators takes as many jobs as one of three, to write and to read."""
+
+    def chain(n):
+        rows = [(1, "S", f"o{k:03}", "MAP", f"o{k - 1:03}" if k else None, k, "T", None) for k in range(n)]
+        schema = "query_id long, stage_id string, op_id string, task_type string, parent_op_id string, seq int, op_type string, comment string"
+        forest = records.operator_forest(spark.createDataFrame(rows, schema)).first().forest
+        tasks = [{"taskId": "SMAP", "hiveOperatorInfos": json.loads(forest)}]
+        doc = json.dumps({"queryId": "1", "hiveStageInfos": [{"stageId": "S", "hiveTaskInfos": tasks}]})
+        read = records.read_records(spark.createDataFrame([(doc,)], "doc string"))
+        assert max(r.depth for r in records.record_operators(read).collect()) == n
+
+    assert jobs_of(spark, "short", lambda: chain(3)) == jobs_of(spark, "long", lambda: chain(100))
+
+
+def test_odd_records_have_rows(spark):
+    """Numbers are read as they are written; what is no object or no list has no operators below it."""
+    nodes = [{"operatorId": 7, "comment": 1.50, "childHiveOperatorInfos": [{"operatorId": "b", "childHiveOperatorInfos": "x"}]}, 5]
+    stage = {"stageId": "S", "hiveTaskInfos": [{"taskId": "T", "hiveOperatorInfos": nodes}, None]}
+    docs = [json.dumps({"queryId": "q", "hiveStageInfos": [stage, {"stageId": "U"}]}), json.dumps({"queryId": "r", "hiveStageInfos": 3}), "[1]"]
+    rows = spark.createDataFrame([("q", d) for d in docs], "queryId string, doc string")
+    got = [(r.taskId, r.operatorId, r.comment, r.parentId, r.path) for r in records.record_operators(rows).collect()]
+    assert got == [("T", "7", "1.5", None, [0]), ("T", "b", None, "7", [0, 0]), ("T", None, None, None, [1])]
+
+
+def test_circles_hang_below_no_root(spark):
+    rows = [(1, "S", o, "MAP", p, 0, "T", None) for o, p in (("a", "b"), ("b", "a"), ("c", None))]
+    schema = "query_id long, stage_id string, op_id string, task_type string, parent_op_id string, seq int, op_type string, comment string"
+    forest = records.operator_forest(spark.createDataFrame(rows, schema)).collect()
+    assert [[n["operatorId"] for n in json.loads(r.forest)] for r in forest] == [["c"]]
+
+
 def test_labelled_comments_without_lists(spark):
     """No operator's attributes are collected by an aggregate; null and empty values and titles are left out."""
     rows = [

@@ -1,22 +1,23 @@
 """Whole query records: put together from node rows, and taken apart into rows again.
 
 A record is one JSON document per query. Its operators are nested to any depth, so they are neither read
-nor written by a schema: the forest is built from the leaves up and unfolded from the roots down, a level
-of all queries at a time.
+nor written by a schema: forests are written as the depth-first series of their operators, for many queries
+at a time, and every document is walked once from its roots down.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wtel.plans import plan_nodes
+from wtel.plans import forests, plan_nodes
 from wtel.plans.plan_nodes import OP, STAGE
-from wtel.sinks.staging import staged
+from wtel.plans.tree_walk import whole_queries
 
 # Field names and types of a stored query record and of what it holds.
 TEXTS = T.ArrayType(T.StringType())
@@ -86,40 +87,63 @@ def record_stages(records: DataFrame) -> DataFrame:
 def record_operators(records: DataFrame) -> DataFrame:
     """One row per operator: queryId, stageId, taskId, operatorId, operatorType, comment, parentId, path, depth.
 
-    Every round unfolds one level of all forests; ``path`` holds the positions from the task down. There are as many
-    rounds as the deepest forest has levels.
+    Every document is read once and its forests are walked from the roots down; ``path`` holds the positions from the task down.
     """
-    stages = records.select("queryId", F.expr("try_parse_json(doc)").alias("v"))
-    variants = "array<variant>"
-    stages = stages.select("queryId", F.explode(F.try_variant_get("v", "$.hiveStageInfos", variants)).alias("s"))
-    tasks = stages.select(
-        "queryId", F.try_variant_get("s", "$.stageId", "string").alias("stageId"),
-        F.explode(F.try_variant_get("s", "$.hiveTaskInfos", variants)).alias("t"),
-    )
-    level = tasks.select(
-        "queryId", "stageId", F.try_variant_get("t", "$.taskId", "string").alias("taskId"),
-        F.lit(None).cast("string").alias("parentId"), F.array().cast("array<int>").alias("_above"),
-        F.posexplode(F.try_variant_get("t", "$.hiveOperatorInfos", variants)).alias("_pos", "_node"),
-    )
-    get = lambda name: F.try_variant_get("_node", f"$.{name}", "string").alias(name)
-    ids = ["queryId", "stageId", "taskId"]
-    out: list[DataFrame] = []
-    while True:
-        rows = level.select(
-            *ids, get("operatorId"), get("operatorType"), get("comment"), "parentId",
-            F.concat("_above", F.array("_pos")).alias("path"), F.to_json(F.try_variant_get("_node", f"$.{CHILDREN}", "variant")).alias("_below"),
-        )
-        rows = staged(rows.withColumn("depth", F.size("path")), "operators")
-        if rows.isEmpty():
-            break
-        out.append(rows.drop("_below"))
-        below = rows.where("_below is not null and _below <> '[]'")
-        level = below.select(
-            *ids, F.col("operatorId").alias("parentId"), F.col("path").alias("_above"),
-            F.posexplode(F.from_json("_below", "array<variant>")).alias("_pos", "_node"),
-        )
-    empty = rows.drop("_below")
-    return reduce(DataFrame.unionByName, out, empty)
+    fields = "stageId string, taskId string, operatorId string, operatorType string, comment string, parentId string, path array<int>"
+    names = [f.split()[0] for f in fields.split(", ")]
+    kinds = [pa.list_(pa.int32()) if n == "path" else pa.string() for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(at, DOCUMENTS)
+                owners, rows = [], []
+                for k, doc in enumerate(part.column("doc").to_pylist()):
+                    found = list(_operators(doc))
+                    owners += [k] * len(found)
+                    rows += found
+                columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+                arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                ids = part.column("queryId").take(pa.array(owners, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *arrays], ["queryId", *names])
+
+    out = records.select("queryId", "doc").mapInArrow(run, f"queryId string, {fields}")
+    return out.withColumn("depth", F.size("path"))
+
+
+#: Documents whose operators are handed on together.
+DOCUMENTS = 1024
+
+
+def _objects(holder: dict, name: str) -> list[dict]:
+    """The members of a list in an object, with an empty object for what is none."""
+    held = holder.get(name)
+    return [x if isinstance(x, dict) else {} for x in held] if isinstance(held, list) else []
+
+
+def _shown(value: object) -> str | None:
+    """A value as text; numbers are read as they are written."""
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+
+
+def _operators(doc: str) -> Iterator[tuple]:
+    """stageId, taskId, operatorId, operatorType, comment, parentId and path of a document's operators, depth first."""
+    try:
+        record = json.loads(doc, parse_int=str, parse_float=str)
+    except ValueError:
+        return
+    for stage in _objects(record, "hiveStageInfos") if isinstance(record, dict) else ():
+        for task in _objects(stage, "hiveTaskInfos"):
+            ids = _shown(stage.get("stageId")), _shown(task.get("taskId"))
+            waiting = [(node, None, [i]) for i, node in enumerate(_objects(task, "hiveOperatorInfos"))][::-1]
+            while waiting:
+                node, parent, path = waiting.pop()
+                own = _shown(node.get("operatorId"))
+                yield (*ids, own, _shown(node.get("operatorType")), _shown(node.get("comment")), parent, path)
+                below = _objects(node, CHILDREN)
+                waiting += [(x, own, [*path, i]) for i, x in enumerate(below)][::-1]
 
 
 # --- putting records together --------------------------------------------------------------------
@@ -137,35 +161,18 @@ def _with_member(head: Column, name: str, value: Column) -> Column:
 def operator_forest(ops: DataFrame) -> DataFrame:
     """query_id, stage_id, task_type and ``forest``: the JSON array of each task's operators with those below them.
 
-    ``ops`` has OP, task_type, parent_op_id, seq, op_type and comment. Depths are found from the roots down, then the texts are
-    put together from the deepest level up: a node's text is handed to its parent. An operator whose parent is not in its
-    task is a root. Both take a round per level.
+    ``ops`` has OP, task_type, parent_op_id, seq, op_type and comment. The operators of a query meet by one shuffle, and the
+    forests of many queries are put together at a time (``forests.texts``). An operator whose parent is not in its task is a root.
     """
-    task = [*STAGE, "task_type"]
-    key = [*task, "op_id"]
-    head = _json(
-        F.col("op_id").alias("operatorId"), F.col("op_type").alias("operatorType"), F.col("comment").alias("comment")
-    )
-    nodes = staged(ops.select(*OP, "task_type", "parent_op_id", "seq", head.alias("head")), "nodes")
-    parents = nodes.select(*task, F.col("op_id").alias("parent_op_id"), F.lit(True).alias("_has"))
-    rooted = nodes.join(parents, [*task, "parent_op_id"], "left")
-    newest = staged(rooted.where("_has is null").select(*key), "level")
-    levels = [newest]
-    while True:
-        above = newest.withColumnRenamed("op_id", "parent_op_id")
-        newest = staged(nodes.join(above, [*task, "parent_op_id"], "left_semi").select(*key), "level")
-        if newest.isEmpty():
-            break
-        levels.append(newest)
-    below = None
-    ordered = lambda text: F.array_sort(F.collect_list(F.struct("seq", "op_id", text.alias("text"))))
-    joined = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x["text"]), ","), F.lit("]"))
-    for level in reversed(levels):
-        rows = nodes.join(level, key, "left_semi")
-        rows = rows.withColumn("below", F.lit("[]")) if below is None else rows.join(below, key, "left").na.fill("[]", ["below"])
-        rows = staged(rows.withColumn("text", _with_member(F.col("head"), CHILDREN, F.col("below"))), "texts")
-        below = rows.groupBy(*task, F.col("parent_op_id").alias("op_id")).agg(joined(ordered(F.col("text"))).alias("below"))
-    return rows.groupBy(*task).agg(joined(ordered(F.col("text"))).alias("forest"))
+    rows = ops.select(*OP, "task_type", "parent_op_id", F.col("seq").cast("long").alias("seq"), "op_type", "comment")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_queries(batches):
+            yield forests.texts(table, CHILDREN)
+
+    kind = ops.schema["query_id"].dataType.simpleString()
+    dealt = rows.where("query_id is not null").repartition("query_id").sortWithinPartitions("query_id")
+    return dealt.mapInArrow(run, f"query_id {kind}, stage_id string, task_type string, forest string")
 
 
 def _listed(columns: Sequence[str], order: str, value: Column) -> Column:
@@ -189,10 +196,14 @@ def query_records(
 
     ``queries`` has ``(query_id, query_string, start_time, end_time, version)``, ``columns`` describes tables as
     ``plan_nodes.table_profile`` takes them, ``times`` has ``(query_id, stage_id, startTime, endTime)``. A table without a
-    description is a name; a preliminary record has no end.
+    description is a name; a preliminary record has no end. ``stages`` are read several times: stage those that are
+    costly to compute.
     """
-    detail = ops.select(*OP, "task_type", "parent_op_id").join(plan_nodes.operator_comment(ops, attrs), OP)
-    forest = operator_forest(detail)
+    known_ops = ops.where("stage_id is not null and op_id is not null and task_type is not null")
+    forest = plan_nodes.per_plan(
+        known_ops, attrs, "stage_id string, task_type string, forest string",
+        lambda told: forests.texts(pa.Table.from_batches([told]), CHILDREN), ("task_type", "parent_op_id"),
+    )
     text = F.col("query_id").cast("string")
     task = _with_member(
         _json(F.concat("stage_id", "task_type").alias("taskId"), F.col("task_type").alias("taskType")),
