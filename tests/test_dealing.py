@@ -50,3 +50,15 @@ def test_nodes_are_shuffled_packed(spark):
     rows = nodes.select("query_id", "token", "text", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
     blocks = rows.mapInArrow(lambda batches: dealing.packed(batches, "query_id"), dealing.PACKED).select(F.sum("n"), F.sum(F.length("packed"))).first()
     assert blocks[0] == rows.count() and blocks[1] < 12 * blocks[0]
+
+
+def test_plans_are_shuffled_packed(spark):
+    """Operators and attributes of plans go through the shuffle as blocks."""
+    from wtel.plans import plan_nodes
+
+    ops = spark.createDataFrame([], "query_id long, stage_id string, task_type string, op_id string, parent_op_id string, op_type string, variant string, seq int")
+    attrs = spark.createDataFrame([], "query_id long, stage_id string, op_id string, attr string, pos int, value string, kind string, alias string")
+    out = plan_nodes.operator_comment(ops, attrs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [bucket" in plan and "RepartitionByExpression [query_id" not in plan
+    assert out.count() == 0
