@@ -3,10 +3,11 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wtel.plans import plan_nodes, records
+from wtel.plans import forests, plan_nodes, records
 from wtel.sinks import tables
 
 OPS = "query_id long, stage_id string, op_id string, task_type string, parent_op_id string, seq int, op_type string, comment string"
@@ -153,3 +154,28 @@ def test_record_of_nothing(spark):
     assert records.operator_forest(spark.createDataFrame([], OPS)).count() == 0
     docs = spark.createDataFrame([], "doc string").withColumn("state", F.lit("x"))
     assert records.record_operators(records.read_records(docs)).count() == 0
+
+
+def test_documents_are_compressed(spark, tmp_path, monkeypatch):
+    """Documents of a state are compressed files of bounded size; what is in them is read back as it is."""
+    monkeypatch.setattr(tables, "FILE_DOCUMENTS", 10)
+    docs = [("completed", str(i), json.dumps({"queryId": str(i), "comments": "é" * 500})) for i in range(25)]
+    frame = spark.createDataFrame(docs, "state string, queryId string, record string").coalesce(1)
+    tables.write_documents(frame, str(tmp_path / "docs"))
+    files = [f for f in (tmp_path / "docs" / "state=completed").iterdir() if f.name.startswith("part-")]
+    assert len(files) == 3 and sum(f.stat().st_size for f in files) < 25 * 200
+    assert sorted(r.doc for r in tables.read_documents(spark, str(tmp_path / "docs")).collect()) == sorted(d[2] for d in docs)
+
+
+def test_forests_of_a_query_stay_together():
+    """The forests of each query are one row, by stage and task."""
+    rows = [(q, s, t, "o", None, "T", 0, None) for q in (7, 3) for s in ("S2", "S1") for t in ("REDUCE", "MAP")]
+    names = ["query_id", "stage_id", "task_type", "op_id", "parent_op_id", "op_type", "seq", "comment"]
+    kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string()]
+    table = pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+    told = forests.texts(table, records.CHILDREN)
+    got = forests.by_query(told).to_pylist()
+    assert sorted(r["query_id"] for r in got) == [3, 7]
+    for r in got:
+        assert [(f["stage_id"], f["task_type"]) for f in r["forests"]] == [(s, t) for s in ("S1", "S2") for t in ("MAP", "REDUCE")]
+    assert forests.by_query(told.slice(0, 0)).num_rows == 0

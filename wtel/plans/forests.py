@@ -92,3 +92,14 @@ def texts(table: pa.Table, children: str) -> pa.RecordBatch:
     names = ["query_id", "stage_id", "task_type"]
     at = pa.array(walk[starts])
     return pa.RecordBatch.from_arrays([*[column[c].take(at) for c in names], pc.binary_join_element_wise("[", body, tail, "")], [*names, "forest"])
+
+
+def by_query(told: pa.RecordBatch) -> pa.RecordBatch:
+    """query_id and ``forests``: per query the rows of ``texts``, which follow each other, by stage and task."""
+    names = ["stage_id", "task_type", "forest"]
+    query = told.column("query_id").dictionary_encode()
+    q = query.indices.to_numpy()
+    starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
+    rows = pa.StructArray.from_arrays([told.column(c).cast(pa.string()) for c in names], names)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(q)), pa.int32()), rows)
+    return pa.RecordBatch.from_arrays([told.column("query_id").take(pa.array(starts)), lists], ["query_id", "forests"])

@@ -200,17 +200,17 @@ def query_records(
     costly to compute.
     """
     known_ops = ops.where("stage_id is not null and op_id is not null and task_type is not null")
+    # texts of forests are most of a record: they stay with their query and meet its stages there
     forest = plan_nodes.per_plan(
-        known_ops, attrs, "stage_id string, task_type string, forest string",
-        lambda told: forests.texts(pa.Table.from_batches([told]), CHILDREN), ("task_type", "parent_op_id"),
+        known_ops, attrs, "forests array<struct<stage_id string, task_type string, forest string>>",
+        lambda told: forests.by_query(forests.texts(pa.Table.from_batches([told]), CHILDREN)), ("task_type", "parent_op_id"),
     )
     text = F.col("query_id").cast("string")
-    task = _with_member(
-        _json(F.concat("stage_id", "task_type").alias("taskId"), F.col("task_type").alias("taskType")),
-        "hiveOperatorInfos",
-        F.col("forest"),
-    )
-    tasks = forest.groupBy(*STAGE).agg(F.array_join(_listed([], "task_type", task), ",").alias("tasks"))
+
+    def task(t: Column) -> Column:
+        ids = _json(F.concat(t["stage_id"], t["task_type"]).alias("taskId"), t["task_type"].alias("taskType"))
+        return _with_member(ids, "hiveOperatorInfos", t["forest"])
+
     is_empty = F.array().cast("array<string>")
     one = aliases.where("alias is not null").groupBy(*STAGE, "alias").agg(F.max_by("full_table", "pos").alias("full_table"))
     named = one.groupBy(*STAGE).agg(
@@ -226,7 +226,7 @@ def query_records(
     # a stage is in the record whether the plan or the run tells of it
     known = stages.select(*STAGE).unionByName(ops.select(*STAGE)).distinct()
     rows = known.join(stages.select(*STAGE, "stage_type", "job_id", "children", "backup", "conditional"), STAGE, "left")
-    for part in (tasks, named, constant, keys, roots, times):
+    for part in (named, constant, keys, roots, times):
         rows = rows.join(part, STAGE, "left")
 
     def column_infos(listed: str) -> Column:
@@ -241,9 +241,14 @@ def query_records(
         *[F.coalesce(c, is_empty).alias(n) for c, n in (("children", "dependentChildren"), ("conditional", "conditionalChildren"), ("backup", "backupChildren"))],
         column_infos("partition_columns").alias("partitionColumns"), column_infos("join_keys").alias("joinKeys"), "constFilters",
     )
-    tasks_text = F.concat(F.lit("["), F.coalesce("tasks", F.lit("")), F.lit("]"))
-    stage = _with_member(head, "hiveTaskInfos", tasks_text)
-    plan = rows.groupBy("query_id").agg(F.array_join(_listed([], "stage_id", stage), ",").alias("plan"))
+    heads = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("stage_id", head.alias("head")))).alias("heads"))
+
+    def stage(h: Column) -> Column:
+        own = F.filter(F.coalesce("forests", F.array()), lambda t: t["stage_id"] == h["stage_id"])
+        tasks = F.concat(F.lit("["), F.array_join(F.transform(own, task), ","), F.lit("]"))
+        return _with_member(h["head"], "hiveTaskInfos", tasks)
+
+    plan = heads.join(forest, "query_id", "left").select("query_id", F.array_join(F.transform("heads", stage), ",").alias("plan"))
 
     described = plan_nodes.table_profile(columns)
     cut = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda x: x != "").alias
